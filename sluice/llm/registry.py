@@ -6,8 +6,10 @@ from importlib import import_module
 
 _QUERIES = {
     "op1_mix_sources": "mixing",
+    "op3_substring_dedup": "substrings",
     "op5_topk_exact": "topk",
     "op6_pii": "pii",
+    "op8_ngram_jaccard": "jaccard",
     "op9_url_filter": "urls",
     "op10_license_scan": "licenses",
 }
