@@ -6,9 +6,11 @@ from importlib import import_module
 
 _QUERIES = {
     "op1_mix_sources": "mixing",
+    "op2_toxicity": "toxicity",
     "op3_substring_dedup": "substrings",
     "op5_topk_exact": "topk",
     "op6_pii": "pii",
+    "op7_decontaminate": "decontaminate",
     "op8_ngram_jaccard": "jaccard",
     "op9_url_filter": "urls",
     "op10_license_scan": "licenses",
