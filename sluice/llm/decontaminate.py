@@ -170,37 +170,66 @@ def _aligned(items: Items, least: float, kind: pa.DataType, item_kind: pa.DataTy
                         out.append((d, i, *found))
                 rows = [x[0] for x in out]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(pa.array(rows, pa.int64())), pa.array([items.ids[x[1]] for x in out], item_kind), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.int64()), pa.array([x[4] for x in out], pa.int64())],
+                    [part.column("key").take(pa.array(rows, pa.int64())), pa.array([None if item_kind == pa.null() else items.ids[x[1]] for x in out], item_kind), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.int64()), pa.array([x[4] for x in out], pa.int64())],
                     names=["key", "item", "score", "first_word", "end_word"],
                 )
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = CONTAMINATED) -> DataFrame:
-    """``key, item, score, first_word, end_word`` for each row and item whose alignment scores at least ``least``."""
-    from pyspark.sql.pandas.types import to_arrow_type
-
+def _item_chunks(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str) -> Iterator[Items]:
+    """Chunks of test items with their rare seeds. rows: the corpus's texts."""
     tests = benchmark.select(F.col(item).alias("item"), F.col(item_text).cast("string").alias("text")).where(F.length(F.trim(F.col("text"))) > 0)
     words = tests.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
     chunks = parts_for(words, CHUNK_WORDS)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    kind, item_kind = rows.schema["key"].dataType, tests.schema["item"].dataType
-    schema = f"key {kind.simpleString()}, item {item_kind.simpleString()}, score double, first_word long, end_word long"
-    out = None
     for c in range(chunks):
         table = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(chunks)) == c).toArrow().combine_chunks()
         items = Items(table.sort_by([("item", "ascending"), ("text", "ascending")]))
+        counts: dict[int, int] = {}
         if len(items.seed):
             counted = rows.select("text").mapInArrow(_counted(items), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-            items.keep(dict(zip(counted.column("seed").to_pylist(), counted.column("n").to_pylist(), strict=True)))
-        else:
-            items.keep({})
+            counts = dict(zip(counted.column("seed").to_pylist(), counted.column("n").to_pylist(), strict=True))
+        items.keep(counts)
+        yield items
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = CONTAMINATED) -> DataFrame:
+    """``key, item, score, first_word, end_word`` for each row and item whose alignment scores at least ``least``."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    kind, item_kind = rows.schema["key"].dataType, benchmark.schema[item].dataType
+    schema = f"key {kind.simpleString()}, item {item_kind.simpleString()}, score double, first_word long, end_word long"
+    out = None
+    for items in _item_chunks(rows, benchmark, item, item_text):
         found = rows.mapInArrow(_aligned(items, least, to_arrow_type(kind), to_arrow_type(item_kind)), schema)
         out = found if out is None else out.union(found)
     return out.withColumnsRenamed({"key": key, "item": item})
 
 
+def _clean(items: Items, text: str, least: float):
+    find = _aligned(items, least, pa.int64(), pa.null())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                texts = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part.column(part.schema.get_field_index(text))], names=["key", "text"])
+                keep = np.ones(part.num_rows, bool)
+                for found in find(iter([texts])):
+                    keep[found.column("key").to_numpy()] = False
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: float = CONTAMINATED) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no test item. Texts are filtered where they are read."""
+    rows = docs.select(F.col(text).cast("string").alias("text"))
+    for items in _item_chunks(rows, benchmark, item, item_text):
+        docs = docs.mapInArrow(_clean(items, text, least), docs.schema)
+    return docs
+
+
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     """Contaminated documents with the items that they hold."""
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -8,6 +8,7 @@ _QUERIES = {
     "op1_mix_sources": "mixing",
     "op2_toxicity": "toxicity",
     "op3_substring_dedup": "substrings",
+    "op4_lm_score": "maxent",
     "op5_topk_exact": "topk",
     "op6_pii": "pii",
     "op7_decontaminate": "decontaminate",

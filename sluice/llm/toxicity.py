@@ -212,6 +212,22 @@ def score_toxicity(docs: DataFrame, model: Model | float, key: str = "doc_id", t
     return rows.mapInArrow(_scored(model, to_arrow_type(kind)), f"key {kind.simpleString()}, score double").withColumnRenamed("key", key)
 
 
+def _ordinary(model: Model | float, text: str, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text):
+                texts = pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(text))], names=["text"])
+                score = model.scores(texts) if isinstance(model, Model) else np.full(part.num_rows, model)
+                yield part.filter(pa.array(score < threshold))
+
+    return run
+
+
+def keep_ordinary(docs: DataFrame, model: Model | float, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below the threshold."""
+    return docs.mapInArrow(_ordinary(model, text, threshold), docs.schema)
+
+
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
