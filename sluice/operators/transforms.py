@@ -308,7 +308,7 @@ class Enrich(Operator):
     def apply(self, frame):
         keys = {r: f"_on_{i}" for i, r in enumerate(self.on.values())}
         side = self.reference.select(*[q(r).alias(k) for r, k in keys.items()], *[q(c) for c in self.columns])
-        size = int(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = int(str(side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         if size <= self.most_bytes:
             side = F.broadcast(side)
         held = [q(c) == F.col(keys[r]) for c, r in self.on.items()]

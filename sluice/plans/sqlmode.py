@@ -90,7 +90,7 @@ def estimate(frame: DataFrame) -> dict[str, int]:
     """What the optimiser thinks a query's result takes."""
     stats = frame._jdf.queryExecution().optimizedPlan().stats()
     rows = stats.rowCount()
-    return {"bytes": int(stats.sizeInBytes().toString()), "rows": int(rows.get().toString()) if rows.isDefined() else -1}
+    return {"bytes": int(str(stats.sizeInBytes())), "rows": int(str(rows.get())) if rows.isDefined() else -1}
 
 
 def explain(frame: DataFrame) -> str:

@@ -1,0 +1,566 @@
+"""Registered queries of the engine's own operators, each with the SQL that states the same rows.
+
+Where rows come from inline data, the SQL states them as VALUES. Queries without SQL are held against brute force in
+the tests.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalars
+from .operators import chain
+from .operators.transforms import AddColumn, Aggregate, Cast, Dedupe, Enrich, Filter, Flatten, Mask, Project, Rename, ScalarUdf, Select, Split, Unnest, Validate, Virtual
+from .plans import audit, sqlmode
+from .plans.evolution import diff
+from .sources import changes, cursor, readers
+from .streaming import windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+class Tables:
+    """Tables of a folder, read when asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(function: Callable[[Tables], DataFrame]):
+        key = name or function.__name__
+        QUERIES[key] = lambda spark, folder: function(Tables(spark, folder))
+        if sql:
+            ORACLE[key] = sql
+        return function
+
+    return add
+
+
+def kept(frame: DataFrame, *operators) -> DataFrame:
+    return chain.apply(list(operators), frame).kept
+
+
+# ---- transforms ----
+
+
+@query("SELECT c_mktsegment, c_custkey FROM customer")
+def select_reorder(t):
+    return kept(t.customer, Select(("c_mktsegment", "c_custkey")))
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE nullif(c_nationkey, 7) IS NOT NULL")
+def filter_is_not_null(t):
+    rows = t.customer.select("c_custkey", "c_name", F.nullif("c_nationkey", F.lit(7)).alias("id"))
+    return kept(rows, Filter("id IS NOT NULL", strict=True)).drop("id")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE nullif(c_nationkey, 7) IS NULL")
+def filter_is_null(t):
+    rows = t.customer.select("c_custkey", "c_name", F.nullif("c_nationkey", F.lit(7)).alias("id"))
+    return kept(rows, Filter("id IS NULL", strict=True)).drop("id")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 42")
+def filter_eq_int(t):
+    return kept(t.orders.select("o_orderkey", "o_custkey"), Filter("o_custkey = 42", strict=True))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def filter_in_strings(t):
+    return kept(t.orders.select("o_orderkey", "o_orderstatus"), Filter("o_orderstatus IN ('F', 'P', NULL)", strict=True))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE (p_size BETWEEN 10 AND 20 OR p_name LIKE '%1%') AND NOT p_partkey % 3 = 0 AND p_retailprice * 2 > 1800.5")
+def filter_full_language(t):
+    return kept(t.part, Filter("(p_size BETWEEN 10 AND 20 OR p_name LIKE '%1%') AND NOT p_partkey % 3 = 0 AND p_retailprice * 2 > 1800.5"), Select(("p_partkey", "p_size")))
+
+
+@query("SELECT c_custkey, sha256('pepper' || c_name) AS c_name FROM customer")
+def mask_sha256(t):
+    return kept(t.customer.select("c_custkey", "c_name"), Mask("c_name", "sha256", salt="pepper"))
+
+
+@query()
+def mask_blake3(t):
+    return kept(t.customer.select("c_custkey", "c_name"), Mask("c_name"))
+
+
+@query("SELECT c_custkey, CAST(NULL AS VARCHAR) AS c_name FROM customer")
+def mask_null(t):
+    return kept(t.customer.select("c_custkey", "c_name"), Mask("c_name", "null"))
+
+
+@query("SELECT c_custkey, CASE WHEN nullif(c_mktsegment, 'BUILDING') IS NOT NULL THEN '[REDACTED]' END AS segment FROM customer")
+def mask_redact(t):
+    rows = t.customer.select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("segment"))
+    return kept(rows, Mask("segment", "redact"))
+
+
+@query("SELECT c_custkey, repeat('*', greatest(length(c_name) - 4, 0)) || right(c_name, 4) AS c_name FROM customer")
+def mask_keep_last(t):
+    return kept(t.customer.select("c_custkey", "c_name"), Mask("c_name", "redact", keep_last=4))
+
+
+@query()
+def mask_tokenize(t):
+    return kept(t.customer.select("c_custkey", "c_name"), Mask("c_name", "tokenize", key="a key"))
+
+
+@query("SELECT r_regionkey, 'pg' AS origin, 7::BIGINT AS n, 1.5::DOUBLE AS f, true AS b, CAST(NULL AS INTEGER) AS nothing FROM region")
+def add_column_literals(t):
+    steps = [AddColumn("origin", "pg"), AddColumn("n", 7), AddColumn("f", 1.5), AddColumn("b", True), AddColumn("nothing", None, "int")]
+    return kept(t.region.select("r_regionkey"), *steps)
+
+
+@query("SELECT p_partkey, p_retailprice * 2 AS twice FROM part")
+def add_column_expression(t):
+    return kept(t.part.select("p_partkey", "p_retailprice"), AddColumn("twice", expression="p_retailprice * 2", type="double"), Project(drop=("p_retailprice",)))
+
+
+def _people(t):
+    return t.customer.select("c_custkey", F.nullif("c_nationkey", F.lit(7)).alias("id"), "c_acctbal")
+
+
+@query("SELECT c_custkey, nullif(c_nationkey, 7) AS id, c_acctbal FROM customer WHERE nullif(c_nationkey, 7) IS NOT NULL")
+def validate_kept(t):
+    return kept(_people(t), Validate(("id",)))
+
+
+@query("SELECT c_custkey, nullif(c_nationkey, 7) AS id, c_acctbal, 0 AS _rejected_by FROM customer WHERE nullif(c_nationkey, 7) IS NULL UNION ALL SELECT c_custkey, c_nationkey, c_acctbal, 1 FROM customer WHERE nullif(c_nationkey, 7) IS NOT NULL AND NOT c_acctbal > 0")
+def validate_rejected(t):
+    return chain.apply([Validate(("id",)), Validate(predicates=("c_acctbal > 0",))], _people(t)).rejected
+
+
+@query("SELECT count(*) FILTER (WHERE c_nationkey = 7)::BIGINT AS rejected, count(*)::BIGINT AS total, count(*) FILTER (WHERE c_nationkey = 7) / count(*) > 0.01 AS over FROM customer")
+def dead_letter_rate(t):
+    bad = F.count(F.when(~Validate(("id",)).passes(_people(t).schema), 1))
+    return _people(t).agg(bad.alias("rejected"), F.count(F.lit(1)).alias("total"), (bad / F.count(F.lit(1)) > 0.01).alias("over"))
+
+
+@query("SELECT c_custkey, c_name, upper(c_name) AS loud FROM customer")
+def scalar_udf_upper(t):
+    return kept(t.customer.select("c_custkey", "c_name"), ScalarUdf("upper@0.1.0", "c_name", "loud"))
+
+
+@query("SELECT c_custkey, sha256(c_name) AS c_name, c_mktsegment, 'crm' AS origin FROM customer WHERE c_mktsegment = 'BUILDING'")
+def chain_filter_mask_add(t):
+    return kept(t.customer.select("c_custkey", "c_name", "c_mktsegment"), Filter("c_mktsegment = 'BUILDING'"), Mask("c_name", "sha256"), AddColumn("origin", "crm"))
+
+
+@query("SELECT l_orderkey, l_quantity, l_extendedprice, sha256(l_shipinfo) AS l_shipinfo, 'lake' AS origin FROM (SELECT *, l_returnflag || l_linestatus AS l_shipinfo FROM lineitem) WHERE l_quantity >= 25")
+def chain_lineitem(t):
+    rows = t.lineitem.select("l_orderkey", "l_quantity", "l_extendedprice", F.concat("l_returnflag", "l_linestatus").alias("l_shipinfo"))
+    return kept(rows, Filter("l_quantity >= 25"), Mask("l_shipinfo", "sha256"), AddColumn("origin", "lake"))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def project_drop(t):
+    return kept(t.supplier, Project(drop=("s_acctbal",)))
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_type FROM part")
+def project_matching(t):
+    return kept(t.part, Project(keep_matching="p_(partkey|name|brand|t.*)"))
+
+
+@query("SELECT n_nationkey AS id, n_name AS label, n_regionkey FROM nation")
+def rename(t):
+    return kept(t.nation, Rename({"n_nationkey": "id", "n_name": "label"}))
+
+
+@query("SELECT p_partkey, p_size::BIGINT AS p_size, p_retailprice::DECIMAL(12, 2) AS p_retailprice FROM part")
+def cast_decimal(t):
+    return kept(t.part.select("p_partkey", "p_size", "p_retailprice"), Cast("p_size", "bigint"), Cast("p_retailprice", "decimal(12,2)", narrowing=True))
+
+
+@query("SELECT c_custkey, try_cast(substr(c_name, 10) AS INTEGER) AS n FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'none' END AS c_name FROM customer)")
+def cast_bad_values(t):
+    rows = t.customer.select("c_custkey", F.substring(F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise("none"), 10, 100).alias("n"))
+    return kept(rows, Cast("n", "int", narrowing=True, on_bad_value="null"))
+
+
+@query("SELECT s_suppkey, s_nationkey, n_name, n_regionkey FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
+def enrich_nation(t):
+    return kept(t.supplier.select("s_suppkey", "s_nationkey"), Enrich(t.nation, {"s_nationkey": "n_nationkey"}, ("n_name", "n_regionkey")))
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def dedupe_last_by(t):
+    return kept(t.events.select("user_id", "event_id", "event_type"), Dedupe(("user_id",), "last", "event_id"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def dedupe_any(t):
+    return kept(t.events.select("user_id", "event_type"), Dedupe(("user_id", "event_type")))
+
+
+@query("SELECT vec_id, (i - 1)::INTEGER AS at, embedding[i] AS x FROM embeddings, unnest(generate_series(1, len(embedding))) AS g(i)")
+def unnest_embedding(t):
+    return kept(t.embeddings.select("vec_id", "embedding"), Unnest("embedding", "x", "at"))
+
+
+@query("SELECT event_id, (props ->> '$.k')::BIGINT AS props_k FROM events")
+def flatten_props(t):
+    rows = t.events.select("event_id", F.from_json("props", "k bigint").alias("props"))
+    return kept(rows, Flatten("props"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'large' WHEN o_orderstatus = 'F' THEN 'done' ELSE 'rest' END AS branch FROM orders")
+def split_branches(t):
+    step = Split({"large": "o_totalprice > 300000", "done": "o_orderstatus = 'F'"}, "rest")
+    return kept(t.orders, step, Select(("o_orderkey", "branch")))
+
+
+@query("SELECT n_regionkey, count(*)::BIGINT AS n, min(n_name) AS lo, max(n_name) AS hi, count(DISTINCT n_name)::BIGINT AS d FROM nation GROUP BY 1")
+def aggregate_region(t):
+    return kept(t.nation, Aggregate(("n_regionkey",), {"n": ("count", "*"), "lo": ("min", "n_name"), "hi": ("max", "n_name"), "d": ("count_distinct", "n_name")}))
+
+
+@query("SELECT (event_id // 1000)::BIGINT AS batch, event_type, count(*)::BIGINT AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+def aggregate_batches(t):
+    rows = t.events.withColumn("batch", F.floor(F.col("event_id") / 1000).cast("long"))
+    return kept(rows, Aggregate(("event_type",), {"n": ("count", "*"), "mean": ("avg", "value")}, ("batch",))).withColumn("mean", F.round("mean", 4))
+
+
+@query()
+def virtual_columns(t):
+    return kept(t.customer.select("c_custkey"), Virtual(now="at", started_at="2026-01-01 00:00:00", random="r", of=("c_custkey",)))
+
+
+# ---- incremental scans, change logs, keyed state ----
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate <= (SELECT max(o_orderdate) FROM (SELECT o_orderdate FROM orders ORDER BY o_orderdate LIMIT 100))")
+def cursor_page(t):
+    return cursor.CursorScan("o_orderdate", ("o_orderkey",), ("o_orderkey", "o_orderdate")).page(t.orders, None, 100)
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'")
+def cursor_resume(t):
+    from .plans.state import Cursor
+
+    return cursor.CursorScan("o_orderdate", ("o_orderkey",), ("o_orderkey", "o_orderdate")).after(t.orders, Cursor("timestamp_tz", "1996-01-01T00:00:00.000000Z"))
+
+
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1995-02-01'")
+def backfill_window(t):
+    return cursor.CursorScan("o_orderdate", ("o_orderkey",), ("o_orderkey", "o_orderdate")).window(t.orders, "1995-01-01T00:00:00Z", "1995-02-01T00:00:00Z")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 5000 ORDER BY o_orderkey LIMIT 1000")
+def snapshot_chunk(t):
+    return cursor.snapshot_chunk(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", 5000, 1000)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey >= 5000 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders")
+def keyed_upsert(t):
+    """Two slices, the later one wins: what a keyed table holds after both loads."""
+    first = t.orders.where("o_orderkey < 10000").select("o_orderkey", "o_totalprice")
+    second = t.orders.where("o_orderkey >= 5000").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    return first.join(second, "o_orderkey", "left_anti").unionByName(second)
+
+
+def _log(t):
+    op = F.when(F.col("event_type") == "error", "d").when(F.col("event_type") == "signup", "i").otherwise("u")
+    return t.events.select(F.col("user_id").alias("id"), "value", op.alias("_cdc.op"), F.lit("0/1").alias("_cdc.lsn"), F.col("ts").cast("timestamp").alias("_cdc.commit_ts"), F.lit(1).cast("long").alias("_cdc.txid"), F.col("event_id").alias("_cdc.seq"))
+
+
+_LAST = "SELECT user_id, value, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
+
+
+@query(f"SELECT user_id AS id, value FROM ({_LAST}) WHERE event_type <> 'error'")
+def cdc_apply_final_state(t):
+    return changes.current_state(_log(t), ["id"])
+
+
+@query("SELECT CASE event_type WHEN 'error' THEN 'd' WHEN 'signup' THEN 'i' ELSE 'u' END AS op, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def cdc_event_log(t):
+    return _log(t).groupBy(changes.meta("op").alias("op")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT user_id AS id, value FROM ({_LAST}) WHERE event_type <> 'error'")
+def cdc_snapshot_handoff(t):
+    """A snapshot up to a position, and the log from before it: the overlap changes nothing."""
+    log = _log(t)
+    pinned = changes.current_state(log.where(changes.meta("seq") <= 5000), ["id"])
+    both = changes.snapshot(pinned, "0/1", "id").unionByName(log.where(changes.meta("seq") > 4900))
+    return changes.current_state(both, ["id"])
+
+
+@query("SELECT user_id AS id, value, CASE WHEN event_type = 'error' THEN ts END AS deleted_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def cdc_soft_delete(t):
+    last = cursor.latest(_log(t), ["id"], ["_cdc.seq"])
+    return last.select("id", "value", F.when(changes.meta("op") == "d", changes.meta("commit_ts")).cast("timestamp_ntz").alias("deleted_at"))
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 <> 0")
+def reconcile_deleted_keys(t):
+    return cursor.deleted_keys(t.supplier, t.supplier.where("s_suppkey % 7 = 0"), ["s_suppkey"])
+
+
+@query()
+def schema_diff(t):
+    from pyspark.sql import types as T
+
+    new = T.StructType([*t.supplier.drop("s_acctbal").schema.fields, T.StructField("s_rating", T.DoubleType())])
+    found = diff(t.supplier.schema, new)
+    return t.spark.createDataFrame([(c.kind, c.column, c.old, c.new) for c in found], "kind string, name string, was string, now string")
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, '1', 'Ann'), (1, '2', 'Bob'), (2, '3', 'C, D')) AS v(_row_index, id, name)")
+def csv_inline(t):
+    return readers.csv_text(t.spark, 'id,name\n1,Ann\n2,Bob\n3,"C, D"\n')
+
+
+@query("SELECT * FROM (VALUES ('cus_1', 'a@x.org', 'Ann', 1700000000::BIGINT), ('cus_2', NULL, NULL, 1700000001)) AS v(id, email, name, created)")
+def rest_pages(t):
+    body = '{"data": [{"id": "cus_1", "email": "a@x.org", "name": "Ann", "created": 1700000000}, {"id": "cus_2", "email": null, "name": null, "created": 1700000001}], "has_more": false}'
+    return readers.read_pages(t.spark, t.spark.createDataFrame([(body,)], "body string"))
+
+
+@query("SELECT (event_id % 7)::VARCHAR AS tenant, event_type AS metric, ts::DATE AS day, round(sum(value), 4) AS total, count(*)::BIGINT AS n_events FROM events GROUP BY 1, 2, 3")
+def metering_daily(t):
+    rows = t.events.select(F.col("event_id"), (F.col("event_id") % 7).cast("string").alias("tenant"), F.col("event_type").alias("metric"), "value", F.col("ts").alias("emitted_at"))
+    return audit.metered(rows.union(rows.where("event_id % 5 = 0"))).withColumn("total", F.round("total", 4))
+
+
+# ---- joins ----
+
+
+def _segment(t):
+    return t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name")
+
+
+def _orders(t):
+    return t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+_C = "(SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING')"
+_O = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0)"
+
+for _how, _word in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
+
+    def _joined(t, how=_how):
+        c, o = _segment(t), _orders(t)
+        return c.join(o, c.c_custkey == o.o_custkey, how)
+
+    query(f"SELECT * FROM {_C} {_word} {_O} ON c_custkey = o_custkey", f"join_{_how}")(_joined)
+
+
+@query(f"SELECT * FROM {_C} SEMI JOIN {_O} ON c_custkey = o_custkey")
+def join_semi(t):
+    c, o = _segment(t), _orders(t)
+    return c.join(o, c.c_custkey == o.o_custkey, "left_semi")
+
+
+@query(f"SELECT * FROM {_C} ANTI JOIN {_O} ON c_custkey = o_custkey")
+def join_anti(t):
+    c, o = _segment(t), _orders(t)
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti")
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def join_cross(t):
+    return t.region.select("r_name").crossJoin(t.nation.select("n_name"))
+
+
+@query("SELECT r_name, n.n_name FROM region, LATERAL (SELECT n_name FROM nation WHERE n_regionkey = r_regionkey ORDER BY n_name LIMIT 2) n")
+def join_lateral(t):
+    near = t.nation.where(F.col("n_regionkey") == F.col("r_regionkey").outer()).orderBy("n_name").limit(2).select("n_name")
+    return t.region.lateralJoin(near).select("r_name", "n_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 3) FROM orders WHERE o_custkey <> 3 AND o_orderkey % 2 = 0)")
+def not_in_null_aware(t):
+    t.customer.createOrReplaceTempView("sluice_c")
+    t.orders.createOrReplaceTempView("sluice_o")
+    return t.spark.sql("SELECT c_custkey FROM sluice_c WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 3) FROM sluice_o WHERE o_custkey <> 3 AND o_orderkey % 2 = 0)")
+
+
+# ---- aggregates, windows, order, sets ----
+
+_Q1 = """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base,
+  round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*)::BIGINT AS n
+  FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"""
+
+
+@query(_Q1)
+def pricing_summary(t):
+    rows = t.lineitem.where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return rows.groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"),
+        F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(F.lit(1)).alias("n"),
+    )
+
+
+@query("SELECT o_custkey, count(*)::BIGINT AS n FROM orders GROUP BY 1 HAVING count(*) > 15")
+def group_having(t):
+    return t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).where("n > 15")
+
+
+@query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, list(n_name ORDER BY n_name) AS listed FROM nation GROUP BY 1")
+def string_agg_ordered(t):
+    names = F.array_sort(F.collect_list("n_name"))
+    return t.nation.groupBy("n_regionkey").agg(F.array_join(names, ",").alias("names"), names.alias("listed"))
+
+
+@query("SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS mid, percentile_disc(0.9) WITHIN GROUP (ORDER BY value) AS high FROM events GROUP BY 1")
+def percentiles(t):
+    t.events.createOrReplaceTempView("sluice_events")
+    return t.spark.sql("SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS mid, percentile_disc(0.9) WITHIN GROUP (ORDER BY value) AS high FROM sluice_events GROUP BY 1")
+
+
+@query()
+def approx_distinct(t):
+    return t.events.groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"))
+
+
+@query("SELECT n_regionkey, count(DISTINCT n_name)::BIGINT AS d, count(*) FILTER (WHERE n_name < 'J')::BIGINT AS early, bool_or(n_nationkey = 3) AS has FROM nation GROUP BY 1")
+def distinct_and_filtered(t):
+    return t.nation.groupBy("n_regionkey").agg(F.count_distinct("n_name").alias("d"), F.count_if(F.col("n_name") < "J").alias("early"), F.bool_or(F.col("n_nationkey") == 3).alias("has"))
+
+
+_BY = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
+def _ranked(name: str, column, sql: str) -> None:
+    query(f"SELECT o_orderkey, {sql} AS v FROM orders", name)(lambda t: t.orders.select("o_orderkey", column.alias("v")))
+
+
+_OVER = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
+_PRIO = Window.partitionBy("o_orderstatus").orderBy("o_orderpriority")
+_ranked("win_row_number", F.row_number().over(_BY), f"(row_number() {_OVER}))::INTEGER")
+_ranked("win_rank", F.rank().over(_PRIO), "(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority))::INTEGER")
+_ranked("win_dense_rank", F.dense_rank().over(_PRIO), "(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority))::INTEGER")
+_ranked("win_lag_lead", F.coalesce(F.lag("o_totalprice").over(_BY), F.lit(0.0)) + F.coalesce(F.lead("o_totalprice").over(_BY), F.lit(0.0)), f"coalesce(lag(o_totalprice) {_OVER}), 0.0) + coalesce(lead(o_totalprice) {_OVER}), 0.0)")
+_WHOLE = _BY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+_FRAME = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+_ranked("win_first_last", F.first_value("o_orderkey").over(_WHOLE) * 1000000 + F.last_value("o_orderkey").over(_WHOLE), f"first_value(o_orderkey) {_OVER} {_FRAME} * 1000000 + last_value(o_orderkey) {_OVER} {_FRAME}")
+_ranked("win_sum_over", F.round(F.sum("o_totalprice").over(_BY.rowsBetween(Window.unboundedPreceding, 0)), 2), f"round(sum(o_totalprice) {_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2)")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
+def order_limit_offset(t):
+    return t.orders.select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").offset(5).limit(10)
+
+
+def _sets(t):
+    return t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k"))
+
+
+_A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier"
+
+
+@query(f"{_A} UNION {_B}")
+def union_distinct(t):
+    a, b = _sets(t)
+    return a.union(b).distinct()
+
+
+@query(f"{_A} UNION ALL {_B}")
+def union_all(t):
+    a, b = _sets(t)
+    return a.union(b)
+
+
+@query(f"{_A} INTERSECT {_B}")
+def intersect(t):
+    a, b = _sets(t)
+    return a.intersect(b)
+
+
+@query(f"{_A} WHERE c_nationkey < 12 EXCEPT {_B} WHERE s_nationkey > 5")
+def except_(t):
+    a, b = _sets(t)
+    return a.where("k < 12").subtract(b.where("k > 5"))
+
+
+# ---- the SQL subset ----
+
+
+def sql_query(name: str, text: str, oracle: str | None = None) -> None:
+    """A query in the engine's SQL; the oracle is the same text unless given."""
+
+    def run(t):
+        for table in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+            if table in text:
+                getattr(t, table).createOrReplaceTempView(table)
+        return sqlmode.validate(t.spark, text)
+
+    query(oracle or text, name)(run)
+
+
+sql_query("cte", "WITH big AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000) SELECT o_custkey, count(*) AS n FROM big GROUP BY o_custkey")
+sql_query("scalar_subquery", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)")
+sql_query("in_subquery", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+sql_query("exists_subquery", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
+sql_query("case_cast", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, CAST(o_totalprice AS BIGINT)::STRING AS whole FROM orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band, trunc(o_totalprice)::BIGINT::VARCHAR AS whole FROM orders")
+sql_query("fn_string", "SELECT c_custkey, upper(c_name) AS u, lower(c_name) AS l, trim(concat('  ', c_mktsegment, NULL, ' ')) AS t, substring(c_name, 3, 4) AS s, replace(c_name, 'o', '0') AS r, split_part(c_name, '#', 2) AS p, md5(c_name) AS h FROM customer")
+sql_query("fn_date", "SELECT o_orderkey, CAST(extract(year FROM o_orderdate) AS BIGINT) AS y, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, CAST(o_orderdate + INTERVAL 3 DAYS AS DATE) AS d FROM orders")
+sql_query("fn_json", "SELECT event_id, CAST(props ->> 'k' AS BIGINT) AS k FROM events", "SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
+sql_query("fn_arithmetic", "SELECT p_partkey, p_size % 7 AS m, abs(p_size - 25) AS a, floor(p_retailprice) AS f, round(sqrt(p_retailprice), 6) AS s FROM part", "SELECT p_partkey, p_size % 7 AS m, abs(p_size - 25) AS a, floor(p_retailprice)::BIGINT AS f, round(sqrt(p_retailprice), 6) AS s FROM part")
+sql_query("three_way_join", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' GROUP BY n_name")
+
+
+@query("SELECT c_custkey, regexp_extract_all(c_name, '[0-9]+') AS found, [substr(c_name, 1, 1)] AS first FROM customer")
+def fn_regexp(t):
+    return t.customer.select("c_custkey", F.regexp_extract_all("c_name", F.lit("[0-9]+"), F.lit(0)).alias("found"), scalars.regexp_matches(F.col("c_name"), "^(.)").alias("first"))
+
+
+@query("SELECT i AS id, b, d, n FROM (VALUES (1, true, DATE '2026-01-01', 45045123456::BIGINT), (2, false, NULL, NULL), (3, NULL, NULL, NULL)) AS v(i, b, d, n)")
+def text_parsers(t):
+    rows = t.spark.createDataFrame([(1, "t", "2026-01-01", "12:30:45.123456"), (2, "0", "2026-13-01", "25:00:00"), (3, "yes", None, "x")], "id int, b string, d string, n string")
+    return rows.select("id", scalars.parse_bool(F.col("b"), "null").alias("b"), scalars.parse_date(F.col("d"), "null").alias("d"), scalars.parse_time_us(F.col("n"), "null").alias("n"))
+
+
+# ---- event time ----
+
+
+def _flat(frame):
+    return frame.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
+
+
+_N = F.count(F.lit(1)).alias("n")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2, 3")
+def tumbling_window(t):
+    return _flat(windows.tumbling(windows.event_time(t.events, "ts"), "ts", "1 hour", ["event_type"], _N))
+
+
+@query("SELECT w AS window_start, w + INTERVAL 1 DAY AS window_end, event_type, count(*)::BIGINT AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 12 HOUR]) AS w FROM events) GROUP BY 1, 2, 3")
+def sliding_window(t):
+    return _flat(windows.sliding(windows.event_time(t.events, "ts"), "ts", "1 day", "12 hours", ["event_type"], _N))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, user_id, count(*)::BIGINT AS n FROM s GROUP BY user_id, s""")
+def session_window(t):
+    return _flat(windows.session(windows.event_time(t.events, "ts"), "ts", "6 hours", ["user_id"], _N))
+
+
+@query("SELECT count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events")
+def global_window(t):
+    return windows.overall(t.events, _N, F.round(F.sum("value"), 4).alias("total"))
+
+
+# ---- text ----
+
+
+@query("SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[EMAIL]', 'g') AS text FROM documents")
+def mask_documents(t):
+    return t.documents.select("doc_id", F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[EMAIL]").alias("text"))
+
+
+@query()
+def html_text_pages(t):
+    return readers.documents_as_html_text(t.pages.select("page_id", "html")).drop("html")
