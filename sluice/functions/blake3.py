@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the public BLAKE3 specification.
 IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)
@@ -90,7 +91,7 @@ def digests(values: list[bytes]) -> list[str]:
     return [row.tobytes().hex() for row in np.ascontiguousarray(cv)]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         there = texts.notna()

@@ -23,7 +23,8 @@ def derive_schema(operators: list[Operator], schema: T.StructType) -> T.StructTy
 
 @dataclass
 class Applied:
-    """Kept rows; rejected rows with the index of the operator that rejected them; counters, filled when an action runs."""
+    """Kept rows; rejected rows with the index of the operator that rejected them; counters, filled by the first action
+    (make it a write or a count: a sort reads its input twice, for its ranges first)."""
 
     kept: DataFrame
     rejected: DataFrame | None

@@ -428,23 +428,35 @@ def distinct_and_filtered(t):
     return t.nation.groupBy("n_regionkey").agg(F.count_distinct("n_name").alias("d"), F.count_if(F.col("n_name") < "J").alias("early"), F.bool_or(F.col("n_nationkey") == 3).alias("has"))
 
 
-_BY = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+def _ranked(name: str, column: Callable, sql: str) -> None:
+    query(f"SELECT o_orderkey, {sql} AS v FROM orders", name)(lambda t: t.orders.select("o_orderkey", column().alias("v")))
 
 
-def _ranked(name: str, column, sql: str) -> None:
-    query(f"SELECT o_orderkey, {sql} AS v FROM orders", name)(lambda t: t.orders.select("o_orderkey", column.alias("v")))
+def _by():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+
+def _prio():
+    return Window.partitionBy("o_orderstatus").orderBy("o_orderpriority")
+
+
+def _lag_lead():
+    return F.coalesce(F.lag("o_totalprice").over(_by()), F.lit(0.0)) + F.coalesce(F.lead("o_totalprice").over(_by()), F.lit(0.0))
+
+
+def _first_last():
+    whole = _by().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.first_value("o_orderkey").over(whole) * 1000000 + F.last_value("o_orderkey").over(whole)
 
 
 _OVER = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
-_PRIO = Window.partitionBy("o_orderstatus").orderBy("o_orderpriority")
-_ranked("win_row_number", F.row_number().over(_BY), f"(row_number() {_OVER}))::INTEGER")
-_ranked("win_rank", F.rank().over(_PRIO), "(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority))::INTEGER")
-_ranked("win_dense_rank", F.dense_rank().over(_PRIO), "(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority))::INTEGER")
-_ranked("win_lag_lead", F.coalesce(F.lag("o_totalprice").over(_BY), F.lit(0.0)) + F.coalesce(F.lead("o_totalprice").over(_BY), F.lit(0.0)), f"coalesce(lag(o_totalprice) {_OVER}), 0.0) + coalesce(lead(o_totalprice) {_OVER}), 0.0)")
-_WHOLE = _BY.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 _FRAME = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
-_ranked("win_first_last", F.first_value("o_orderkey").over(_WHOLE) * 1000000 + F.last_value("o_orderkey").over(_WHOLE), f"first_value(o_orderkey) {_OVER} {_FRAME} * 1000000 + last_value(o_orderkey) {_OVER} {_FRAME}")
-_ranked("win_sum_over", F.round(F.sum("o_totalprice").over(_BY.rowsBetween(Window.unboundedPreceding, 0)), 2), f"round(sum(o_totalprice) {_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2)")
+_ranked("win_row_number", lambda: F.row_number().over(_by()), f"(row_number() {_OVER}))::INTEGER")
+_ranked("win_rank", lambda: F.rank().over(_prio()), "(rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority))::INTEGER")
+_ranked("win_dense_rank", lambda: F.dense_rank().over(_prio()), "(dense_rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority))::INTEGER")
+_ranked("win_lag_lead", _lag_lead, f"coalesce(lag(o_totalprice) {_OVER}), 0.0) + coalesce(lead(o_totalprice) {_OVER}), 0.0)")
+_ranked("win_first_last", _first_last, f"first_value(o_orderkey) {_OVER} {_FRAME} * 1000000 + last_value(o_orderkey) {_OVER} {_FRAME}")
+_ranked("win_sum_over", lambda: F.round(F.sum("o_totalprice").over(_by().rowsBetween(Window.unboundedPreceding, 0)), 2), f"round(sum(o_totalprice) {_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2)")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
@@ -528,29 +540,30 @@ def _flat(frame):
     return frame.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")).withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 
 
-_N = F.count(F.lit(1)).alias("n")
+def _n():
+    return F.count(F.lit(1)).alias("n")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2, 3")
 def tumbling_window(t):
-    return _flat(windows.tumbling(windows.event_time(t.events, "ts"), "ts", "1 hour", ["event_type"], _N))
+    return _flat(windows.tumbling(windows.event_time(t.events, "ts"), "ts", "1 hour", ["event_type"], _n()))
 
 
 @query("SELECT w AS window_start, w + INTERVAL 1 DAY AS window_end, event_type, count(*)::BIGINT AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL 12 HOUR]) AS w FROM events) GROUP BY 1, 2, 3")
 def sliding_window(t):
-    return _flat(windows.sliding(windows.event_time(t.events, "ts"), "ts", "1 day", "12 hours", ["event_type"], _N))
+    return _flat(windows.sliding(windows.event_time(t.events, "ts"), "ts", "1 day", "12 hours", ["event_type"], _n()))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT min(ts) AS window_start, max(ts) + INTERVAL 6 HOUR AS window_end, user_id, count(*)::BIGINT AS n FROM s GROUP BY user_id, s""")
 def session_window(t):
-    return _flat(windows.session(windows.event_time(t.events, "ts"), "ts", "6 hours", ["user_id"], _N))
+    return _flat(windows.session(windows.event_time(t.events, "ts"), "ts", "6 hours", ["user_id"], _n()))
 
 
 @query("SELECT count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events")
 def global_window(t):
-    return windows.overall(t.events, _N, F.round(F.sum("value"), 4).alias("total"))
+    return windows.overall(t.events, _n(), F.round(F.sum("value"), 4).alias("total"))
 
 
 # ---- text ----

@@ -153,7 +153,7 @@ class KeyedTable(Sink):
             if m and not counts.get("c"):
                 schema = m.schema
             if self.deletes == "column" and "_deleted_at" not in schema.fieldNames():
-                schema = schema.add("_deleted_at", T.TimestampType())
+                schema = T.StructType([*schema.fields, T.StructField("_deleted_at", T.TimestampType())])
             rows = batch.where(meta("op").isin("i", "u", "s", "d"))
             if self.apply_truncate and counts.get("t"):
                 bound = batch.where(meta("op") == "t").agg(F.max(meta("seq"))).first()[0]
