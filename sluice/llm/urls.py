@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 MAX_LABELLED = 20_000
 SUFFIX_BINS = 1 << 14
+FOLDS = 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -154,15 +155,20 @@ def train(labelled: DataFrame, url: str = "url", label: str = "blocked", most: i
     host = sample["url"].str.extract(r"://([^/?#]*)", expand=False).fillna("")
     first = sample["url"].str.extract(r"://[^/?#]*/([^/?#]*)/?", expand=False).fillna("")
     keys = [*_suffixes(sample["url"]), host.str.split(".").str[-1].fillna("") + "/" + first] if len(sample) else []
-    rates = []
-    for s in keys or [None] * 4:
-        n, k = np.zeros(SUFFIX_BINS), np.zeros(SUFFIX_BINS)
-        if s is not None:
-            at = _bins(s)
-            n, k = np.bincount(at, minlength=SUFFIX_BINS), np.bincount(at, y, SUFFIX_BINS)
-        rates.append(((k + 5 * mean) / (n + 5)).astype(np.float32))
-    model = Boosted(rates=rates)
-    return model.fit(features(sample["url"], rates), y)
+    bins = [_bins(s) for s in keys]
+
+    def rates(rows: np.ndarray) -> list[np.ndarray]:
+        counted = [(np.bincount(b[rows], minlength=SUFFIX_BINS), np.bincount(b[rows], y[rows], SUFFIX_BINS)) for b in bins] or [(0, np.zeros(SUFFIX_BINS))] * 4
+        return [((k + 5 * mean) / (n + 5)).astype(np.float32) for n, k in counted]
+
+    # a training row's own label must not be in its rates: they come from the other folds
+    fold = _bins(sample["url"]) % FOLDS if len(sample) else np.zeros(0, np.int64)
+    x = features(sample["url"], rates(np.arange(len(y))))
+    for f in range(FOLDS):
+        here = np.flatnonzero(fold == f)
+        if len(here):
+            x[here] = features(sample["url"].iloc[here], rates(np.flatnonzero(fold != f)))
+    return Boosted(rates=rates(np.arange(len(y)))).fit(x, y)
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, key: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:
