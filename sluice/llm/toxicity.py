@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from .shared import cut, stored
 from .words import Words, runs, slices
 
-MAX_LABELLED = 8_000
+#: Labelled rows of each kind, ordinary and toxic, that are learnt from at most.
+MAX_LABELLED = (20_000, 5_000)
 BINS = 1 << 20
 #: The discount is this times the square root of the smaller class's counts, at least LEAST_DISCOUNT.
 DISCOUNT = 0.01
@@ -169,7 +170,7 @@ def _ratios(model: Model):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MAX_LABELLED) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: tuple[int, int] = MAX_LABELLED) -> Model | float:
     """The calibrated models, or the share of toxic labels where the labels don't allow for models."""
     told = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null")
     told = told.groupBy("k").agg((F.max("y") > 0).cast("int").alias("y")).withColumn("part", remainder(F.col("k"), 5)).where("part <> 0")
@@ -177,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     if len(counts) < 2:
         return share
-    picked = told.where("y = 1").orderBy(F.xxhash64("k"), "k").limit(most).union(told.where("y = 0").orderBy(F.xxhash64("k"), "k").limit(most))
+    picked = told.where("y = 1").orderBy(F.xxhash64("k"), "k").limit(most[1]).union(told.where("y = 0").orderBy(F.xxhash64("k"), "k").limit(most[0]))
     rows = stored(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "k").select("text", "y", "part"))
     model = count_models(rows.where("part <> 4"))
     got = rows.where("part = 4").select("text", "y").mapInArrow(_ratios(model), "y int, z double").toArrow()
@@ -232,4 +233,4 @@ def op2_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     out = score_toxicity(docs, model)
-    return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
