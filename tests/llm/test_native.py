@@ -114,7 +114,7 @@ URLS = [
 
 
 def test_urls(spark):
-    rows = [*enumerate(URLS), (3, URLS[3])] + [(100 + i, f"https://h{i}.{'spam' if i % 2 else 'good'}.org/en/{i}") for i in range(200)]
+    rows = [*enumerate(URLS), (3, URLS[3])] + [(100 + i, f"https://{hashlib.md5(str(i).encode()).hexdigest()[: 2 + i % 13]}.{'spam' if i % 2 else 'good'}.org/en/{i * 7919 % 1000}") for i in range(400)]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("score", F.lit("clash"))
     got = {r["page_id"]: r for r in urls.filter_urls(pages).collect()}
     for i, u in rows:
@@ -128,9 +128,9 @@ def test_urls(spark):
         r = got[i]
         assert (r["host"], r["path"], r["rule"]) == (host, path, max(fits)[1] if fits else None)
         assert r["verdict"] == max(fits)[2] if fits else r["verdict"] in ("allow", "block")
-    labelled = spark.createDataFrame([(u, int("spam" in u)) for _, u in rows[20:120]] + [(None, 1), ("x", None)], "url string, blocked int")
+    labelled = spark.createDataFrame([(u, int("spam" in u)) for _, u in rows[20:320]] + [(None, 1), ("x", None)], "url string, blocked int")
     again = {r["page_id"]: r for r in urls.filter_urls(pages, labelled).collect()}
-    held = [(u, again[i]) for i, u in rows[120:]]
+    held = [(u, again[i]) for i, u in rows[320:]]
     assert sum((r["verdict"] == "block") == ("spam" in u) for u, r in held) / len(held) > 0.95
     assert urls.filter_urls(pages.where("false")).count() == 0
 
