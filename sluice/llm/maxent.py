@@ -49,23 +49,26 @@ BLOCK_BYTES = 8 << 20
 SHARD_WORDS = 1 << 18
 
 _U = np.uint64
-_END, _START = _U(0x454E44), _U(0x5354415254)
+_END, _START, _REST = _U(0x454E44), _U(0x5354415254), _U(0x52455354)
 
 
-def _contexts(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of each text, the end included: hashes of the token, the one before and the one before that."""
+def _tokens(words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of each text, the end included: their hashes, and their places in the text."""
     stop = words.first[1:] + np.arange(len(words.count))
     token = np.empty(len(h) + len(words.count), _U)
     is_end = np.zeros(len(token), bool)
     is_end[stop] = True
     token[is_end], token[~is_end] = _END, h
     first = words.first[:-1] + np.arange(len(words.count))
-    one, two = np.empty_like(token), np.empty_like(token)
-    one[1:] = token[:-1]
-    one[first] = _START
-    two[1:] = one[:-1]
-    two[first] = _START
-    return token, one, two
+    return token, np.arange(len(token)) - np.repeat(first, words.count + 1)
+
+
+def _before(x: np.ndarray, place: np.ndarray, k: int, start) -> np.ndarray:
+    """What stands k tokens before each token in its text; ``start`` where the text begins."""
+    out = np.empty_like(x)
+    out[k:] = x[:-k]
+    out[place < k] = start
+    return out
 
 
 @dataclass
@@ -75,40 +78,65 @@ class Model:
     words: np.ndarray
     of: np.ndarray  # class of each word of the vocabulary; the last class is that of all other words
     classes: int
-    weights: np.ndarray = field(default=None)  # [3 * FEATURES, classes]
+    weights: np.ndarray = field(default=None)  # [3, FEATURES, classes]
     within: np.ndarray = field(default=None)  # [classes + 1, words]: log P(word | its class, class before)
+    slots: np.ndarray = field(default=None)
+
+    def __post_init__(self):
+        # the vocabulary is sorted, so a word's top bits say where to look
+        self.slots = np.searchsorted(self.words >> _U(44), np.arange((1 << 20) + 1, dtype=_U)).astype(np.int32)
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Places in the vocabulary; its length for all others."""
         n = len(self.words)
-        at = np.minimum(np.searchsorted(self.words, hashes), n - 1)
-        return np.where(self.words[at] == hashes, at, n)
+        top = (hashes >> _U(44)).astype(np.int32)
+        at = self.slots[top]
+        padded = np.append(self.words, _U(0))
+        out = np.where(padded[at] == hashes, at, n)
+        for more in range(1, int(np.diff(self.slots).max(initial=0))):
+            rest = np.flatnonzero((out == n) & (at + more < self.slots[top + 1]))
+            hit = rest[padded[at[rest] + more] == hashes[rest]]
+            out[hit] = at[hit] + more
+        return out
 
     def classes_of(self, ids: np.ndarray) -> np.ndarray:
         return np.append(self.of, self.classes - 1)[ids]
 
-    def rows(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """For each token its three feature rows."""
-        known = lambda x: np.where(self.ids(x) < len(self.words), x, _U(0x52455354))
+    def last_class(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Class of the token before; a class of its own at the start."""
+        return _before(self.classes_of(ids), place, 1, self.classes)
+
+    def row_before(self, token: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Row of the word before in the first feature set."""
+        return _before((mix(token) & _U(FEATURES - 1)).astype(np.uint16), place, 1, int(mix(np.array([_START]))[0]) & (FEATURES - 1))
+
+    def rows(self, token: np.ndarray, ids: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+        """For each token its rows in the three feature sets."""
         n = _U(FEATURES - 1)
-        two_words = mix(known(one) * _U(0x9E3779B97F4A7C15) + known(two))
-        return np.stack([mix(one) & n, (two_words & n) + _U(FEATURES), (mix(two + _U(3)) & n) + _U(2 * FEATURES)]).astype(np.int64)
-
-    def log_classes(self, rows: np.ndarray) -> np.ndarray:
-        """[tokens, classes]: log P(class | context)."""
-        z = self.weights[rows[0]]
-        z += self.weights[rows[1]]
-        z += self.weights[rows[2]]
+        known = np.append(self.words, _REST)[ids]
+        pair = mix(_before(known, place, 1, _START) * _U(0x9E3779B97F4A7C15) + _before(known, place, 2, _START))
+        skip = _before((mix(token + _U(3)) & n).astype(np.uint16), place, 2, int(mix(np.array([_START + _U(3)]))[0]) & (FEATURES - 1))
+        return [self.row_before(token, place), (pair & n).astype(np.uint16), skip]
+
+    def odds(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """[tokens, classes]: what P(class | context) is in proportion to, and its sum."""
+        z = self.weights[0].take(rows[0], 0)
+        z += self.weights[1].take(rows[1], 0)
+        z += self.weights[2].take(rows[2], 0)
         z -= z.max(1, keepdims=True)
-        e = np.exp(z)
-        z -= np.log(e.sum(1, keepdims=True))
-        return z
+        np.exp(z, out=z)
+        return z, z.sum(1)
+
+    def log_class(self, rows: list[np.ndarray], of: np.ndarray) -> np.ndarray:
+        """log P(class | context) of one class for each token."""
+        z, total = self.odds(rows)
+        return np.log(np.maximum(z[np.arange(len(z)), of], 1e-38).astype(np.float64) / total)
 
 
-def _batches(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray, np.ndarray, np.ndarray]]:
+def _batches(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray, np.ndarray]]:
     for part in slices(table, "text"):
         words = Words(part.column("text"), lower=True)
-        yield part, words, *_contexts(words, words.hashes())
+        yield part, words, *_tokens(words, words.hashes())
 
 
 # ---- exact counts of words, asked by block ----
@@ -171,12 +199,13 @@ def _profiles(words: np.ndarray, frequent: np.ndarray):
         place[frequent] = np.arange(len(frequent))
         total = np.zeros(len(words) * (PROFILE + 1), np.int64)
         for batch in batches:
-            for _, _, token, one, _ in _batches(batch):
-                w, before = model.ids(token), place[model.ids(one)]
+            for _, _, token, at in _batches(batch):
+                w = model.ids(token)
+                before = _before(place[w], at, 1, PROFILE)
                 some = w < len(words)
                 total += np.bincount(w[some] * (PROFILE + 1) + before[some], minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], names=["cell", "n"])
 
     return run
 
@@ -188,11 +217,12 @@ def _counts(model: Model):
         n, c = len(model.words), model.classes
         after, seen = np.zeros((c + 1) * n, np.int64), np.zeros(FEATURES * c, np.int64)
         for batch in batches:
-            for _, _, token, one, two in _batches(batch):
-                w, before = model.ids(token), _before(model, one)
+            for _, _, token, at in _batches(batch):
+                w = model.ids(token)
+                before = model.last_class(w, at)
                 some = w < n
                 after += np.bincount(before[some] * n + w[some], minlength=len(after))
-                seen += np.bincount(model.rows(one, two)[0] * c + model.classes_of(w), minlength=len(seen))
+                seen += np.bincount(model.row_before(token, at).astype(np.int64) * c + model.classes_of(w), minlength=len(seen))
         for kind, total in ((0, after), (1, seen)):
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(total[at])], names=["kind", "cell", "n"])
@@ -200,29 +230,26 @@ def _counts(model: Model):
     return run
 
 
-def _before(model: Model, one: np.ndarray) -> np.ndarray:
-    """Class of the token before; a class of its own at the start."""
-    return np.where(one == _START, model.classes, model.classes_of(model.ids(one)))
-
-
 def _gradients(model: Model):
     """For each feature row the sums, over tokens, of the classes seen and of those expected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = model.classes
-        seen, expected = (np.zeros((3 * FEATURES, c), np.float32) for _ in range(2))
+        seen, expected = np.zeros((3, FEATURES * c), np.int64), np.zeros((3, FEATURES, c), np.float32)
         for batch in batches:
-            for _, _, token, one, two in _batches(batch):
-                rows = model.rows(one, two)
-                p = np.exp(model.log_classes(rows))
-                k = model.classes_of(model.ids(token))
+            for _, _, token, at in _batches(batch):
+                ids = model.ids(token)
+                rows = model.rows(token, ids, at)
+                p, total = model.odds(rows)
+                p /= total[:, None]
+                k = model.classes_of(ids)
                 for j in range(3):
-                    order = np.argsort(rows[j], kind="stable")
+                    order = np.argsort(rows[j], kind="stable")  # 16 bits: a radix sort
                     r = rows[j][order]
-                    first = np.concatenate([[0], np.flatnonzero(np.diff(r)) + 1])
-                    expected[r[first]] += np.add.reduceat(p[order], first, axis=0)
-                    lo = j * FEATURES
-                    seen[lo : lo + FEATURES] += np.bincount((rows[j] - lo) * c + k, minlength=FEATURES * c).reshape(FEATURES, c)
+                    first = np.concatenate([[0], np.flatnonzero(r[1:] != r[:-1]) + 1])
+                    expected[j][r[first]] += np.add.reduceat(p.take(order, 0), first, axis=0)
+                    seen[j] += np.bincount(rows[j].astype(np.int64) * c + k, minlength=FEATURES * c)
+        seen, expected = seen.reshape(3 * FEATURES, c).astype(np.float32), expected.reshape(3 * FEATURES, c)
         some = np.flatnonzero(expected.any(1))
         blob = [np.concatenate([seen[i], expected[i]]).tobytes() for i in some]
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(blob, pa.binary())], names=["row", "sums"])
@@ -296,7 +323,7 @@ def train(docs: DataFrame, top: list[tuple[int, int]], ends: int, other: int) ->
     share[c - 1] = other
     share = (share + SMOOTH) / (share + SMOOTH).sum()
     start = np.log((seen + 2.0 * share) / (seen.sum(1, keepdims=True) + 2.0))
-    model.weights = np.concatenate([start, np.zeros((2 * FEATURES, c))]).astype(np.float32)
+    model.weights = np.concatenate([start, np.zeros((2 * FEATURES, c))]).astype(np.float32).reshape(3, FEATURES, c)
     for turn in range(ROUNDS):
         sums = docs.where(F.col("round") == turn).select("text").mapInArrow(_gradients(model), "row long, sums binary")
         got = sums.withColumn("part", F.pmod("row", F.lit(32))).groupBy("part").applyInArrow(lambda t: _summed(t.select(["row", "sums"])), "row long, sums binary").toArrow()
@@ -307,7 +334,7 @@ def train(docs: DataFrame, top: list[tuple[int, int]], ends: int, other: int) ->
         both = np.stack([np.frombuffer(x) for x in got.column("sums").to_pylist()])[order]
         seen, expected = both[:, :c], both[:, c:]
         step = STEP * (seen - expected) / (expected + 5.0)
-        model.weights[rows[order]] += np.clip(step, -1.0, 1.0).astype(np.float32)
+        model.weights.reshape(3 * FEATURES, c)[rows[order]] += np.clip(step, -1.0, 1.0).astype(np.float32)
     return model
 
 
@@ -327,7 +354,7 @@ def _scored(model: Model | None, shards: int, kind: pa.DataType, ends: int, othe
             for s, a, b in _segments(_shards(values, shards)[0]):
                 count[a:b] = np.diff(unpack(answers[s]), prepend=_U(0)).astype(np.int64)
             room = np.log10(other + SMOOTH * (other_words + 1)) if model else 0.0
-            for part, words, token, one, two in held:
+            for part, words, token, place in held:
                 c = np.full(len(token), ends, np.int64)
                 is_end = token == _END
                 c[~is_end] = count[np.searchsorted(values, token[~is_end])] if len(values) else 0
@@ -335,14 +362,13 @@ def _scored(model: Model | None, shards: int, kind: pa.DataType, ends: int, othe
                 p = np.zeros(len(token))
                 if model:
                     w = model.ids(token)
-                    k = model.classes_of(w)
+                    k, rows = model.classes_of(w), model.rows(token, w, place)
                     step = 1 << 16
                     for a in range(0, len(token), step):
                         at = slice(a, a + step)
-                        logs = model.log_classes(model.rows(one[at], two[at]))
-                        p[at] = logs[np.arange(len(logs)), k[at]] / np.log(10)
+                        p[at] = model.log_class([r[at] for r in rows], k[at]) / np.log(10)
                     inside = w < len(model.words)
-                    p[inside] += model.within[_before(model, one[inside]), w[inside]] / np.log(10)
+                    p[inside] += model.within[model.last_class(w, place)[inside], w[inside]] / np.log(10)
                     p[~inside] += smooth[~inside] - room
                 begin = words.first[:-1] + np.arange(len(words.count))  # each text has a token at least
                 total = lambda x: np.add.reduceat(x, begin)  # noqa: E731, B023

@@ -228,9 +228,17 @@ def test_lm_is_a_distribution():
     r = np.random.default_rng(0)
     words = np.sort(r.integers(1, 2**63, 20, dtype=np.uint64))
     of = r.integers(0, 4, 20)
-    model = maxent.Model(words, of, 6, r.normal(size=(3 * maxent.FEATURES, 6)).astype(np.float32))
-    one, two = r.integers(0, 2**63, 50, dtype=np.uint64), words[r.integers(0, 20, 50)]
-    assert np.allclose(np.exp(model.log_classes(model.rows(one, two))).sum(1), 1, atol=1e-5)
+    model = maxent.Model(words, of, 6, r.normal(size=(3, maxent.FEATURES, 6)).astype(np.float32))
+    token = np.concatenate([words[r.integers(0, 20, 50)], r.integers(0, 2**63, 50, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)])
+    place = np.arange(102) % 17
+    ids = model.ids(token)
+    assert ids.tolist() == [int(np.flatnonzero(words == t)[0]) if t in words else 20 for t in token]
+    rows = model.rows(token, ids, place)
+    total = sum(np.exp(model.log_class(rows, np.full(102, c))) for c in range(6))
+    assert np.allclose(total, 1, atol=1e-5)
+    close = np.array([words[0], words[0] + np.uint64(1), words[0] + np.uint64(2), words[1]], np.uint64)
+    dense = maxent.Model(np.sort(close[:3]), np.zeros(3, np.int64), 2)
+    assert dense.ids(close).tolist() == [0, 1, 2, 3]
 
 
 def test_lm_odd_inputs(docs, nothing):
