@@ -3,13 +3,17 @@
 A document's set is its distinct k-word shingles (64-bit hashes). Equal sets are one node from the start; a node is
 named by a hash of its whole set, so copies never meet as pairs.
 
-Routing to trees. Two sets that link differ in at most ``(1-t)/(1+t) * (a+b)`` shingles. Sizes are cut into classes
-half as large again as the one before; for pairs whose larger set is in a class, shingles are cut by hash range into
-more parts than such pairs can differ in, so they agree in a part, and each part's content is one routing key. A set
-sends the keys of its own class and, where it can link into it, of the next. Sets of up to SMALL shingles take the
-prefix bound instead: linked sets share one of their ``n - ceil(t n) + 1`` smallest hashes. Sets tied by common keys,
-over any number of steps, form one forest of signature trees; keys of rare shared passages tie nothing, since a part's
-whole content must agree. (A part that is empty in both sets sends no key; some parts are added against that.)
+Routing to trees. Two sets that link differ in at most ``(1-t)/(1+t) * (a+b)`` shingles. Sizes are cut into classes,
+each up to half as large again as the one before; for pairs whose larger set is in a class, shingles are cut by hash
+range into more parts than such pairs can differ in. A set with more non-empty parts than it can differ in from any
+partner agrees with each partner in one of them, so the contents of parts are the routing keys. A set sends those of
+its own class and of the next ones that it can link into. Where a set has too few non-empty parts (small sets by
+chance), it also sends its ``n - ceil(t n) + 1`` smallest hashes: two such sets that link share one of those.
+
+Keys of passages that unrelated texts share would tie those to one forest. So ties are tested by a bound first: counts
+of shingles by hash range differ in sum at most by what the sets differ in. Members of a key's group that pass against
+its smallest node are tied to it; groups in which a member fails are tied pair by pair, by the same bound, in the task
+that holds the key. A forest is what ties connect, over any number of steps.
 
 Trees. Members of a forest are sorted by size and smallest hash and bundled to nodes; a node holds the OR of its
 members' token bitmaps and the range of their sizes. A bitmap has a bit for the i-th shingle of each bucket, so the
@@ -36,10 +40,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .shared import cut, parts_for
+from .shared import cut, parts_for, release
 from .words import Words, mix, runs, slices
 
-SMALL = 128
 #: Shingles of a tile, about 20 MB.
 TILE = 2_500_000
 LEAF = 8
@@ -56,36 +59,67 @@ def need(n: int, percent: int) -> int:
 
 
 def classes(largest: int) -> list[int]:
-    """Upper bounds of the size classes, the first SMALL."""
-    out = [SMALL]
+    """Upper bounds of the size classes."""
+    out = [1]
     while out[-1] < largest:
-        out.append(out[-1] * 3 // 2)
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
     return out
 
 
-def parts(bound: int, percent: int) -> int:
-    differ = (100 - percent) * 2 * bound // (100 + percent)
-    return differ + 1 + 3 + differ // 32
+def differ(a: int, b: int, percent: int) -> int:
+    """Shingles at most in which linked sets of these sizes differ."""
+    return (100 - percent) * (a + b) // (100 + percent)
 
 
-def keys(shingles: np.ndarray, percent: int, bounds: list[int]) -> np.ndarray:
-    """Routing keys of a set, given as its sorted hashes."""
+def parts(low: int, high: int, percent: int) -> int:
+    """Parts for a class of sizes in (low, high]: so many that even its smaller partners rarely have too few."""
+    most, n = differ(high, high, percent), need(low + 1, percent)
+    m = most + 1
+    while m < 2 * most + 8:
+        empty = m * np.exp(-n / m)
+        if m - empty - 2 * np.sqrt(empty) > differ(n, min(high, 100 * n // percent), percent):
+            break
+        m += 1
+    return m
+
+
+def keys(shingles: np.ndarray, percent: int, bounds: list[int], cut: list[int]) -> np.ndarray:
+    """Routing keys of a set, given as its sorted hashes. cut: the number of parts of each class."""
     n = len(shingles)
-    j = int(np.searchsorted(bounds, n))
+    c = int(np.searchsorted(bounds, n))
     out = []
-    for c in (j, j + 1):
-        if c > j and n < need(bounds[j] + 1, percent):
-            break
-        if c == 0:
-            out.append(mix(shingles[: n - need(n, percent) + 1] + _U(1)))
-            continue
-        part = ((shingles >> _U(32)) * _U(parts(bounds[c], percent))) >> _U(32)
+    while c < len(bounds) and (c == 0 or n >= need(bounds[c - 1] + 1, percent)):
+        tag = _U(c * 0xD1B54A32D192ED03 % 2**64)
+        part = ((shingles >> _U(32)) * _U(cut[c])) >> _U(32)
         first = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
         content = np.add.reduceat(mix(shingles + _U(7)), first)
-        out.append(mix(content + part[first] * _U(0x9E3779B97F4A7C15) + _U(c * 0xD1B54A32D192ED03 % 2**64)))
+        out.append(mix(content + part[first] * _U(0x9E3779B97F4A7C15) + tag))
+        if len(first) <= differ(n, min(bounds[c], 100 * n // percent), percent):
+            out.append(mix(shingles[: n - need(n, percent) + 1] + tag + _U(1)))
+        c += 1
     return np.concatenate(out)
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Counts of shingles by hash range; four to eight shingles a range, 16 ranges at least."""
+    bits = max(4, (len(shingles) // 8).bit_length())
+    return np.minimum(np.bincount((shingles >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """[len(a), len(b)]: whether sets with these sketches (rows of equal width) and sizes can link. Counts of 255 may
+    stand for more in both alike, which only lowers the difference."""
+    far = np.zeros((len(a), len(b)), np.int32)
+    for i in range(len(a)):
+        far[i] = np.abs(b - a[i]).sum(1)
+    x, y = na[:, None], nb[None, :]
+    return (far * (100 + percent) <= (100 - percent) * (x + y)) & (100 * x >= percent * y) & (100 * y >= percent * x)
+
+
+def _folded(rows: list[bytes], width: int) -> np.ndarray:
+    return np.stack([np.frombuffer(r, np.uint8).reshape(width, -1).sum(1, dtype=np.int32) for r in rows])
+
+
 def sets(part: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row's text."""
     words = Words(part.column("text"), lower=True)
@@ -113,13 +147,16 @@ def _named(k: int, kind: pa.DataType):
             for part in slices(batch, "text"):
                 found = list(sets(part, k))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key"), pa.array([name(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())], names=["key", "node", "n"]
+                    [part.column("key"), pa.array([name(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array([sketch(s) for s in found], pa.binary())],
+                    names=["key", "node", "n", "sketch"],
                 )
 
     return run
 
 
 def _routed(k: int, percent: int, bounds: list[int]):
+    cut_ = [parts(low, high, percent) for low, high in zip([0, *bounds[:-1]], bounds, strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()  # copies within a task send once, up to a bound
         for batch in batches:
@@ -131,7 +168,7 @@ def _routed(k: int, percent: int, bounds: list[int]):
                         continue
                     if len(sent) < 100_000:
                         sent.add(own)
-                    key.append(keys(s, percent, bounds))
+                    key.append(keys(s, percent, bounds, cut_))
                     node.append(np.full(len(key[-1]), own))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).astype(np.int64)), pa.array(np.concatenate(node))], names=["sig", "node"])
 
@@ -159,6 +196,76 @@ def _sent(k: int, words: np.ndarray):
     return run
 
 
+def _tested(percent: int):
+    """Pairs of nodes with sizes and sketches: which can link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_pylist() for c in ("sa", "sb"))
+            na, nb = (batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            far = np.zeros(len(a), np.int64)
+            for i, (x, y) in enumerate(zip(a, b, strict=True)):
+                width = min(len(x), len(y))
+                u, v = (np.frombuffer(z, np.uint8).reshape(width, -1).sum(1, dtype=np.int32) for z in (x, y))
+                far[i] = np.abs(u - v).sum()
+            ok = (far * (100 + percent) <= (100 - percent) * (na + nb)) & (100 * na >= percent * nb) & (100 * nb >= percent * na)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok)], names=["a", "b", "ok"])
+
+    return run
+
+
+def _tied(percent: int, block: int = 256):
+    """Spanning ties of each key's group among members that can link; one table holds the groups of many keys."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("sig", "ascending"), ("n", "ascending"), ("node", "ascending")])
+        sig, node, n = (table.column(c).to_numpy() for c in ("sig", "node", "n"))
+        rows = table.column("sketch").to_pylist()
+        cuts = [0, *(np.flatnonzero(np.diff(sig)) + 1).tolist(), len(sig)]
+        ties: set[tuple[int, int]] = set()
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            up = np.arange(e - s)
+            blocks = [(a, min(a + block, e)) for a in range(s, e, block)]
+            for i, (a, b) in enumerate(blocks):
+                for c, d in blocks[i:]:
+                    if 100 * n[b - 1] < percent * n[c]:
+                        break
+                    if (up[a - s : b - s] == up[a - s]).all() and (up[c - s : d - s] == up[a - s]).all():
+                        continue
+                    width = min(min(map(len, rows[a:b])), min(map(len, rows[c:d])))
+                    can = plausible(_folded(rows[a:b], width), _folded(rows[c:d], width), n[a:b].astype(np.int64), n[c:d].astype(np.int64), percent)
+                    for x, y in zip(*np.nonzero(can), strict=True):
+                        p, q = a - s + x, c - s + y
+                        if up[p] != up[q]:
+                            up[up == up[q]] = up[p]
+                            u, v = int(node[s + p]), int(node[s + q])
+                            ties.add((min(u, v), max(u, v)))
+        return pa.table([pa.array([t[0] for t in ties], pa.int64()), pa.array([t[1] for t in ties], pa.int64())], schema=schema)
+
+    return run
+
+
+def _ties(routed: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` that connect all nodes that may link, over any number of steps."""
+    from pyspark.sql import Window
+
+    by_key = Window.partitionBy("sig")
+    live = routed.withColumn("root", F.min("node").over(by_key)).withColumn("top", F.max("node").over(by_key)).where("root <> top").drop("top")
+    live = cut(live.distinct())
+    release(live.sparkSession)
+    sketches = cut(named.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    pairs = live.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()
+    tested = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_tested(percent), "a long, b long, ok boolean"))
+    bad = tested.where("not ok").select(F.col("a").alias("root"), F.col("b").alias("node"))
+    open_ = live.join(bad, ["root", "node"]).select("sig").distinct()
+    rows = live.join(open_, "sig").select("sig", "node").join(sketches, "node")
+    buckets = max(int(live.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    more = rows.withColumn("bucket", F.pmod(F.xxhash64("sig"), F.lit(buckets))).groupBy("bucket").applyInArrow(_tied(percent), "a long, b long")
+    return tested.where("ok").select("a", "b").union(more)
+
+
 def _filter(nodes: DataFrame) -> np.ndarray:
     """A bit for each node's hash; no node is missed. Its size is fixed."""
     at = f"pmod(node, {FILTER_BITS})"
@@ -321,16 +428,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType
-    named = cut(rows.mapInArrow(_named(k, to_arrow_type(kind)), f"key {kind.simpleString()}, node long, n long"))
+    named = cut(rows.mapInArrow(_named(k, to_arrow_type(kind)), f"key {kind.simpleString()}, node long, n long, sketch binary"))
     bounds = classes(int(named.agg(F.max("n")).first()[0] or 0))
-    bounds.append(bounds[-1] * 3 // 2)
-
     routed = rows.select("text").mapInArrow(_routed(k, percent, bounds), "sig long, node long")
-    from pyspark.sql import Window
-
-    root = F.min("node").over(Window.partitionBy("sig"))
-    tied = routed.withColumn("root", root).where("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()
-    forests = cut(components(tied).select("node", F.col("root").alias("forest")))
+    forests = cut(components(_ties(routed, named, percent)).select("node", F.col("root").alias("forest")))
+    named = named.drop("sketch")
     label = _labels(rows, named, forests, k, percent, tile)
 
     joined = named.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -27,6 +28,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more: it does so when the driver's JVM
+    collects its garbage, which a long job on a small heap may not do for hours."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(frame: DataFrame) -> DataFrame:
     """The frame written as a Parquet table in the shared folder and read again."""
     path = f"{shared_dir(frame.sparkSession)}/{uuid.uuid4().hex}"
