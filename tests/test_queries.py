@@ -34,6 +34,7 @@ def test_hash_against_reference_values(spark):
 
 
 def test_filters_reach_the_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = QUERIES["chain_lineitem"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_quantity,25.0)" in plan and "l_comment" not in plan
     schema = plan.split("ReadSchema: struct<")[1].split(">")[0]
