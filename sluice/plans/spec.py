@@ -8,6 +8,7 @@ from typing import Any
 from ..operators.transforms import OPERATORS, Operator
 from .state import Store
 
+# Fixed values of the document format.
 API = "platform.etl/v0"
 KINDS = ("Connection", "Pipeline")
 
