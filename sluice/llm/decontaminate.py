@@ -1,13 +1,12 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
 
-Seeds are the test items' word n-grams. Their occurrences in the whole corpus are counted first; an item keeps those
-that aren't much more frequent than its own middle one, so stock phrases go, and at least half stay however often the
-item itself has leaked. A text and an item that share seeds on near diagonals are aligned word by word over the
-stretch around the hits: a match scores 2, a mismatch or gap -1. The score, over that of the whole item, tells exact
-and edited copies.
+Seeds are all of the test items' word n-grams, however frequent: a seed that occurs often may be what an often leaked
+copy has kept. A text and an item that share seeds close to each other, and words enough for the score, are aligned
+word by word over the stretch around the hits: a match scores 2, a mismatch or gap -1. The score, over that of the
+whole item, tells exact and edited copies.
 
 Items go out in chunks of bounded size, one pass over the corpus each; texts stay where they are read and are aligned
-there, so nothing is shuffled but counts by seed.
+there, so nothing is shuffled.
 
 Defined results: null or empty texts and items share nothing; items with fewer words than a seed are one seed; equal
 items are separate items; null item ids are kept; equal rows get equal results; empty tables give an empty result.
@@ -29,8 +28,8 @@ from .words import Words, inside, runs, slices
 SEED = 3
 #: Words of test items that go out at once, some 30 MB with their seeds.
 CHUNK_WORDS = 1_000_000
-#: A seed is rare if it occurs at most this many times as often as the item's middle one, or so often at all.
-RARE_TIMES, RARE = 4, 8
+#: Hits of a batch that are held at once; stock phrases of many items give more, which are taken by parts of the items.
+HITS = 1 << 21
 #: Seeds that a candidate shares at least, where its item has as many.
 SHARED = 2
 CONTAMINATED = 0.5
@@ -56,32 +55,18 @@ class Items:
         seed, owner, start = np.concatenate(seeds), np.concatenate(owner), np.concatenate(start)
         order = np.argsort(seed, kind="stable")
         self.seed, self.owner, self.start = seed[order], owner[order], start[order]
+        self.have = np.bincount(self.owner, minlength=len(self.ids))
         self.n = n
         self.widths = sorted({min(len(w), n) for w in self.words if len(w)})
 
-    def keep(self, counts: dict[int, int]) -> None:
-        """Drops seeds that are frequent for their item."""
-        c = np.array([counts.get(int(s), 0) for s in self.seed.astype(np.int64)], np.float64)
-        middle = np.zeros(len(self.ids))
-        for i in range(len(self.ids)):
-            own = c[self.owner == i] if len(self.ids) < 2000 else None
-            if own is not None and len(own):
-                middle[i] = np.median(own)
-        if len(self.ids) >= 2000:
-            order = np.lexsort((c, self.owner))
-            first = np.searchsorted(self.owner[order], np.arange(len(self.ids) + 1))
-            mid = (first[:-1] + np.maximum(first[:-1], first[1:] - 1)) // 2
-            has = first[1:] > first[:-1]
-            middle[has] = c[order][mid[has]]
-        rare = c <= np.maximum(RARE, RARE_TIMES * middle[self.owner])
-        self.seed, self.owner, self.start = self.seed[rare], self.owner[rare], self.start[rare]
-        self.have = np.bincount(self.owner, minlength=len(self.ids))
-
-    def hits(self, words: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in the text's words, and of the seeds there; a seed of several items gives several."""
-        at, seed = [], []
-        distinct, first = np.unique(self.seed, return_index=True)
-        many = np.diff(np.append(first, len(self.seed)))
+    def hits(self, words: Words, h: np.ndarray, low: int = 0, high: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions in the text's words, and of the seeds there; a seed of several items gives several. In parts, by
+        items: all hits of an item are in one part. low, high: the items looked for."""
+        high = len(self.ids) if high is None else high
+        own = np.flatnonzero((self.owner >= low) & (self.owner < high))
+        distinct, first = np.unique(self.seed[own], return_index=True)
+        many = np.diff(np.append(first, len(own)))
+        found = []
         for n in self.widths:
             grams, where = runs(h, n), inside(words.count, n)
             if not len(where) or not len(distinct):
@@ -89,10 +74,19 @@ class Items:
             g = grams[where]
             near = np.minimum(np.searchsorted(distinct, g), len(distinct) - 1)
             hit = np.flatnonzero(distinct[near] == g)
-            times = many[near[hit]]
-            at.append(np.repeat(where[hit], times))
-            seed.append(np.repeat(first[near[hit]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
-        return (np.concatenate(at), np.concatenate(seed)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            found.append((where[hit], near[hit]))
+        total = sum(int(many[near].sum()) for _, near in found)
+        if total > HITS and high - low > 1:
+            middle = (low + high) // 2
+            yield from self.hits(words, h, low, middle)
+            yield from self.hits(words, h, middle, high)
+        elif total:
+            at, seed = [], []
+            for where, near in found:
+                times = many[near]
+                at.append(np.repeat(where, times))
+                seed.append(own[np.repeat(first[near], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)])
+            yield np.concatenate(at), np.concatenate(seed)
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
@@ -116,24 +110,33 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best[0] / (2 * len(item)), best[1], best[2]
 
 
-def _counted(items: Items):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distinct = np.unique(items.seed)
-        total = np.zeros(len(distinct), np.int64)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = Words(part.column("text"), lower=True)
-                h = words.hashes()
-                for n in items.widths:
-                    grams, where = runs(h, n), inside(words.count, n)
-                    if len(where):
-                        near = np.minimum(np.searchsorted(distinct, grams[where]), len(distinct) - 1)
-                        hit = distinct[near] == grams[where]
-                        total += np.bincount(near[hit], minlength=len(distinct))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(distinct[some].astype(np.int64)), pa.array(total[some])], names=["seed", "n"])
-
-    return run
+def _found(items: Items, words: Words, h: np.ndarray, at: np.ndarray, seed: np.ndarray, least: float) -> Iterator[tuple]:
+    """Rows of texts and places of items whose alignment scores enough: with the score and the words' offsets."""
+    doc, owner = words.docs()[at], items.owner[seed]
+    order = np.lexsort((at, owner, doc))
+    at, seed, doc, owner = at[order], seed[order], doc[order], owner[order]
+    cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(owner) != 0)) + 1
+    first, end = np.append(0, cuts), np.append(cuts, len(at))
+    enough = end - first >= np.minimum(SHARED, items.have[owner[first]])
+    for a, b in zip(first[enough].tolist(), end[enough].tolist(), strict=True):
+        i, d = int(owner[a]), int(doc[a])
+        item = items.words[i]
+        begin, stop = int(words.first[d]), int(words.first[d + 1])
+        # hits further apart than an item's length belong to different stretches
+        stretches = np.split(np.arange(a, b), np.flatnonzero(np.diff(at[a:b]) > len(item)) + 1)
+        found = None
+        for s in stretches:
+            if len(np.unique(seed[s])) < min(SHARED, int(items.have[i])):
+                continue
+            lo = max(begin, int(at[s[0]]) - len(item))
+            hi = min(stop, int(at[s[-1]]) + len(item) + items.n)
+            if np.isin(item, h[lo:hi]).sum() < least * len(item):  # only matches score, at most one for each word
+                continue
+            score, x, y = align(item, h[lo:hi])
+            if score >= least and (found is None or score > found[0]):
+                found = score, lo + x - begin, lo + y - begin
+        if found:
+            yield d, i, *found
 
 
 def _aligned(items: Items, least: float, kind: pa.DataType, item_kind: pa.DataType):
@@ -142,32 +145,9 @@ def _aligned(items: Items, least: float, kind: pa.DataType, item_kind: pa.DataTy
             for part in slices(batch, "text"):
                 words = Words(part.column("text"), lower=True)
                 h = words.hashes()
-                at, seed = items.hits(words, h)
-                doc = words.docs()[at] if len(at) else at
-                owner = items.owner[seed]
-                order = np.lexsort((at, owner, doc))
-                at, seed, doc, owner = at[order], seed[order], doc[order], owner[order]
                 out: list[tuple] = []
-                cuts = np.flatnonzero((np.diff(doc) != 0) | (np.diff(owner) != 0)) + 1
-                for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)], strict=True):
-                    if b == a:
-                        continue
-                    i, d = int(owner[a]), int(doc[a])
-                    item = items.words[i]
-                    first, end = int(words.first[d]), int(words.first[d + 1])
-                    # hits further apart than an item's length belong to different stretches
-                    stretches = np.split(np.arange(a, b), np.flatnonzero(np.diff(at[a:b]) > len(item)) + 1)
-                    found = None
-                    for s in stretches:
-                        if len(np.unique(seed[s])) < min(SHARED, int(items.have[i])):
-                            continue
-                        lo = max(first, int(at[s[0]]) - len(item))
-                        hi = min(end, int(at[s[-1]]) + len(item) + items.n)
-                        score, x, y = align(item, h[lo:hi])
-                        if score >= least and (found is None or score > found[0]):
-                            found = score, lo + x - first, lo + y - first
-                    if found:
-                        out.append((d, i, *found))
+                for at, seed in items.hits(words, h):
+                    out += _found(items, words, h, at, seed, least)
                 rows = [x[0] for x in out]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key").take(pa.array(rows, pa.int64())), pa.array([None if item_kind == pa.null() else items.ids[x[1]] for x in out], item_kind), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.int64()), pa.array([x[4] for x in out], pa.int64())],
@@ -177,20 +157,14 @@ def _aligned(items: Items, least: float, kind: pa.DataType, item_kind: pa.DataTy
     return run
 
 
-def _item_chunks(rows: DataFrame, benchmark: DataFrame, item: str, item_text: str) -> Iterator[Items]:
-    """Chunks of test items with their rare seeds. rows: the corpus's texts."""
+def _item_chunks(benchmark: DataFrame, item: str, item_text: str) -> Iterator[Items]:
+    """Chunks of test items with their seeds."""
     tests = benchmark.select(F.col(item).alias("item"), F.col(item_text).cast("string").alias("text")).where(F.length(F.trim(F.col("text"))) > 0)
     words = tests.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] or 0
     chunks = parts_for(words, CHUNK_WORDS)
     for c in range(chunks):
         table = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(chunks)) == c).toArrow().combine_chunks()
-        items = Items(table.sort_by([("item", "ascending"), ("text", "ascending")]))
-        counts: dict[int, int] = {}
-        if len(items.seed):
-            counted = rows.select("text").mapInArrow(_counted(items), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
-            counts = dict(zip(counted.column("seed").to_pylist(), counted.column("n").to_pylist(), strict=True))
-        items.keep(counts)
-        yield items
+        yield Items(table.sort_by([("item", "ascending"), ("text", "ascending")]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = CONTAMINATED) -> DataFrame:
@@ -201,7 +175,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     kind, item_kind = rows.schema["key"].dataType, benchmark.schema[item].dataType
     schema = f"key {kind.simpleString()}, item {item_kind.simpleString()}, score double, first_word long, end_word long"
     out = None
-    for items in _item_chunks(rows, benchmark, item, item_text):
+    for items in _item_chunks(benchmark, item, item_text):
         found = rows.mapInArrow(_aligned(items, least, to_arrow_type(kind), to_arrow_type(item_kind)), schema)
         out = found if out is None else out.union(found)
     return out.withColumnsRenamed({"key": key, "item": item})
@@ -224,8 +198,7 @@ def _clean(items: Items, text: str, least: float):
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", least: float = CONTAMINATED) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no test item. Texts are filtered where they are read."""
-    rows = docs.select(F.col(text).cast("string").alias("text"))
-    for items in _item_chunks(rows, benchmark, item, item_text):
+    for items in _item_chunks(benchmark, item, item_text):
         docs = docs.mapInArrow(_clean(items, text, least), docs.schema)
     return docs
 

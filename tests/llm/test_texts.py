@@ -204,6 +204,27 @@ def test_contaminated(spark, docs):
     assert decontaminate.contaminated(made, benchmark.where("false")).count() == 0 and decontaminate.contaminated(made.where("false"), benchmark).count() == 0
 
 
+def test_contaminated_often(spark, monkeypatch):
+    """Copies that keep fewer than half of an item's seeds are found however often they stand in the corpus."""
+    item = prose(70, 40)
+    copy = " ".join(f"zz{i}" if i % 5 == 4 else w for i, w in enumerate(item.split()))
+    rows = [(i, f"{prose(700 + i, 50)} {copy} {prose(800 + i, 30)}") for i in range(30)] + [(100 + i, prose(900 + i, 90)) for i in range(10)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(1, item), (2, prose(71, 50))], "item_id long, text string")
+    got = decontaminate.contaminated(made, benchmark).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(i, 1) for i in range(30)]
+    assert all(r["score"] >= brute_align(item.split(), copy.split()) for r in got)
+    assert sorted(r["doc_id"] for r in decontaminate.keep_clean(made, benchmark).collect()) == [100 + i for i in range(10)]
+    # hits taken by parts of the items are the same
+    table = pa.table({"item": list(range(40)), "text": [f"{prose(1, 12)} {prose(2000 + i, 9)}" for i in range(40)]})
+    texts = pa.table({"key": [0, 1], "text": [f"{prose(1, 12)} " * 3, rows[0][1]]}).to_batches()[0]
+    items = decontaminate.Items(table)
+    find = decontaminate._aligned(items, 0.5, pa.int64(), pa.int64())
+    whole = sorted(x for b in find(iter([texts])) for x in zip(*b.to_pydict().values(), strict=True))
+    monkeypatch.setattr(decontaminate, "HITS", 50)
+    assert len(whole) == 40 and sorted(x for b in find(iter([texts])) for x in zip(*b.to_pydict().values(), strict=True)) == whole
+
+
 def test_lm(docs, monkeypatch):
     monkeypatch.setattr(maxent, "VOCABULARY", 40)
     monkeypatch.setattr(maxent, "CLASSES", 5)
