@@ -33,7 +33,9 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Candidates beyond the base kinds, in one pattern.
-_MORE = r"(?<![A-Za-z0-9_+-])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\([0-9]{3}\) [0-9]{3}-[0-9]{4}|[A-Za-z0-9_-]{20,128})(?![A-Za-z0-9_-])"
+_MORE = r"(?<![A-Za-z0-9_+-])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\([0-9]{3}\) [0-9]{3}-[0-9]{4}|[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9_-])"
+#: What every candidate holds.
+_ANY_MORE = r"[0-9A-Za-z_-]{15}|[0-9]{3}-[0-9]"
 #: Words that announce such data.
 GAZETTEER = ("token", "key", "secret", "password", "passwd", "apikey", "iban", "account", "ssn", "id", "phone", "call", "tel", "fax", "mobile")
 
@@ -123,7 +125,7 @@ def candidates(text: Column) -> Column:
         return F.struct(x["s"].alias("s"), kind.alias("k"), x["e"].alias("e"), m.alias("m"), F.array(strength, gazetteer, context, shape).alias("v"))
 
     spans = F.transform(_walk(text, _MORE), voted)
-    return F.when(F.rlike(text, F.lit("[0-9A-Za-z_-]{20}|[0-9]{3}-[0-9]")), spans).otherwise(none)
+    return F.when(F.rlike(text, F.lit(_ANY_MORE)), spans).otherwise(none)
 
 
 def reliabilities(patterns: dict[tuple[int, ...], int], rounds: int = 50) -> tuple[dict[tuple[int, ...], float], float, list[tuple[float, float]]]:

@@ -63,6 +63,22 @@ def test_more_spans_and_redaction(spark):
     assert spark.range(1).select(pii.redact(text, spans)).first()[0] == "é [EMAIL]!"
 
 
+def test_candidates_of_any_length(spark):
+    """Short account numbers are voted on in texts without any longer token, and tokens have no greatest length."""
+    accounts = ["NO9386011117947", "BE68539007547034", "NL91ABNA0417164300", "MT84MALT011000012345MTLCAST001S"]
+    tokens = [(hashlib.sha512(str(n).encode()).hexdigest() * 400)[:n] for n in (20, 128, 129, 300, 50_000)]
+    texts = [f"iban: {a} please" for a in accounts] + [f'key = "{t}" here' for t in tokens] + ["ssn 123-45-6789", "call (555) 123-4567", "short NL91ABNA041716 x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(pii.KINDS[c["k"]], c["m"]) for c in r["c"]] for r in rows.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
+    assert [got[i] for i in range(4)] == [[("account", a)] for a in accounts]
+    assert [got[i] for i in range(4, 9)] == [[("secret", t)] for t in tokens]
+    assert [got[i] for i in range(9, 12)] == [[("national_id", "123-45-6789")], [("local_phone", "(555) 123-4567")], []]
+    many = rows.where("doc_id < 9").select("text").crossJoin(spark.range(5))
+    found = pii.find_pii(many.union(spark.createDataFrame([("some_perfectly_ordinary_identifier_name here", 1)] * 40, many.schema)))
+    clean = {r[0] for r in found.select(pii.redact(F.col("text"), F.col("more"))).collect()}
+    assert clean == {"iban: [ACCOUNT] please", 'key = "[SECRET]" here', "some_perfectly_ordinary_identifier_name here"}
+
+
 def test_reliabilities():
     patterns = {(1, 1, 0, 1): 50, (1, 0, 0, 1): 20, (-1, 0, 0, -1): 100, (0, -1, 0, -1): 30, (1, -1, 0, -1): 5}
     post, share, right = pii.reliabilities(patterns)
