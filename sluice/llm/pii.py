@@ -196,13 +196,14 @@ def listed(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets. Of overlapping spans the first one counts."""
+    """The text with each span replaced by its kind in brackets. Overlapping spans are replaced as one, by the
+    first one's kind."""
     names = F.array(*[F.upper(F.lit(k)) for k in KINDS])
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, x):
         piece = F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.concat(F.lit("["), F.get(names, x["k"]), F.lit("]"))))
-        return F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), piece.alias("out"))).otherwise(acc)
+        return F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), piece.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
 
     done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, state, step, done))

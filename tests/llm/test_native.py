@@ -79,6 +79,15 @@ def test_candidates_of_any_length(spark):
     assert clean == {"iban: [ACCOUNT] please", 'key = "[SECRET]" here', "some_perfectly_ordinary_identifier_name here"}
 
 
+def test_overlapping_spans_are_redacted_whole(spark):
+    texts = ["call +1 555 123 4567.joe@x.org", "call +1 555 123 4567.joe@x.org or a@b.c", "4111 1111 1111 1111"]
+    found = pii.find_pii(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r[0]: r[1] for r in found.select("doc_id", pii.redact(F.col("text"), F.array_sort(F.concat("base", "more")))).collect()}
+    assert got == {0: "call [PHONE]", 1: "call [PHONE] or [EMAIL]", 2: "[CARD]"}
+    text, inner = F.lit("0123456789"), F.array(*[F.struct(F.lit(s).alias("s"), F.lit(k).alias("k"), F.lit(e).alias("e")) for s, k, e in ((1, 0, 8), (2, 1, 4), (5, 2, 9))])
+    assert spark.range(1).select(pii.redact(text, inner)).first()[0] == "0[EMAIL]9"
+
+
 def test_reliabilities():
     patterns = {(1, 1, 0, 1): 50, (1, 0, 0, 1): 20, (-1, 0, 0, -1): 100, (0, -1, 0, -1): 30, (1, -1, 0, -1): 5}
     post, share, right = pii.reliabilities(patterns)
