@@ -109,11 +109,11 @@ class Boosted:
             out += tree[2][self._leaf(x, tree)]
         return out
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Boosted:
         if not len(y) or y.min() == y.max():
             self.start = -8.0 if not len(y) or not y.max() else 8.0
             return self
-        p = y.mean()
+        p = np.average(y, weights=weight)
         self.start = float(np.log(p / (1 - p)))
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
         codes = np.column_stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)])
@@ -121,7 +121,7 @@ class Boosted:
         inner = 2**self.depth - 1
         for _ in range(self.rounds):
             q = 1 / (1 + np.exp(-score))
-            grad, hess = q - y, q * (1 - q)
+            grad, hess = weight * (q - y), weight * q * (1 - q)
             which, where, at = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(len(y), np.int64)
             for node in range(inner):
                 rows = np.flatnonzero(at == node)
@@ -146,19 +146,22 @@ class Boosted:
 
 
 def train(labelled: DataFrame, url: str = "url", label: str = "blocked", most: int = MAX_LABELLED) -> Boosted:
-    """An ensemble from rows of URLs labelled 1 (block) or 0; at most ``most`` rows, by hash of the URL."""
+    """An ensemble from rows of URLs labelled 1 (block) or 0; at most ``most`` distinct ones, by hash of
+    the URL, each with the weight of all its rows."""
     rows = labelled.select(F.col(url).cast("string").alias("url"), F.col(label).cast("int").alias("y")).where("url is not null and y is not null")
-    sample = rows.orderBy(F.xxhash64("url"), "url", "y").limit(most).toPandas()
+    counted = rows.groupBy("url", "y").agg(F.count(F.lit(1)).alias("n"))
+    sample = counted.orderBy(F.xxhash64("url"), "url", "y").limit(most).toPandas()
     sample = sample.sort_values(["url", "y"], ignore_index=True)
     y = sample["y"].to_numpy(dtype=np.float64)
-    mean = y.mean() if len(y) else 0.0
+    weight = sample["n"].to_numpy(dtype=np.float64)
+    mean = np.average(y, weights=weight) if len(y) else 0.0
     host = sample["url"].str.extract(r"://([^/?#]*)", expand=False).fillna("")
     first = sample["url"].str.extract(r"://[^/?#]*/([^/?#]*)/?", expand=False).fillna("")
     keys = [*_suffixes(sample["url"]), host.str.split(".").str[-1].fillna("") + "/" + first] if len(sample) else []
     bins = [_bins(s) for s in keys]
 
     def rates(rows: np.ndarray) -> list[np.ndarray]:
-        counted = [(np.bincount(b[rows], minlength=SUFFIX_BINS), np.bincount(b[rows], y[rows], SUFFIX_BINS)) for b in bins] or [(0, np.zeros(SUFFIX_BINS))] * 4
+        counted = [(np.bincount(b[rows], weight[rows], SUFFIX_BINS), np.bincount(b[rows], (weight * y)[rows], SUFFIX_BINS)) for b in bins] or [(0, np.zeros(SUFFIX_BINS))] * 4
         return [((k + 5 * mean) / (n + 5)).astype(np.float32) for n, k in counted]
 
     # a training row's own label must not be in its rates: they come from the other folds
@@ -168,7 +171,7 @@ def train(labelled: DataFrame, url: str = "url", label: str = "blocked", most: i
         here = np.flatnonzero(fold == f)
         if len(here):
             x[here] = features(sample["url"].iloc[here], rates(np.flatnonzero(fold != f)))
-    return Boosted(rates=rates(np.arange(len(y)))).fit(x, y)
+    return Boosted(rates=rates(np.arange(len(y)))).fit(x, y, weight)
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, key: str = "page_id", url: str = "url", rules=RULES) -> DataFrame:

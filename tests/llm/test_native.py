@@ -160,6 +160,21 @@ def test_urls(spark):
     assert urls.filter_urls(pages.where("false")).count() == 0
 
 
+def test_url_training_with_a_hot_url(spark):
+    """Rows of one URL don't crowd the others out of the sample."""
+    urls_ = [f"https://{hashlib.md5(str(i).encode()).hexdigest()[:9]}.{'spam' if i % 2 else 'good'}.org/en/{i}" for i in range(400)]
+    rows = spark.createDataFrame([(u, int("spam" in u)) for u in urls_[:300]], "url string, blocked int")
+    hot = rows.where("blocked = 1").orderBy(F.xxhash64("url")).first()["url"]
+    many = rows.union(spark.range(2000).select(F.lit(hot), F.lit(1)))
+    pages = spark.createDataFrame(list(enumerate(urls_[300:])), "page_id long, url string")
+    got = {r["page_id"]: r["score"] for r in urls.filter_urls(pages, many).collect()}
+    few = urls.train(many, most=200)
+    assert few.trees and sum((got[i] >= 0.5) == ("spam" in u) for i, u in enumerate(urls_[300:])) >= 95
+    # rows that are the same count as often as they occur
+    twice, once = urls.train(rows.union(rows)), urls.train(rows)
+    assert twice.start == once.start and len(twice.trees) == len(once.trees)
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not here")
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
