@@ -6,6 +6,8 @@ the tests.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,12 +18,17 @@ from .operators import chain
 from .operators.transforms import AddColumn, Aggregate, Cast, Dedupe, Enrich, Filter, Flatten, Mask, Project, Rename, ScalarUdf, Select, Split, Unnest, Validate, Virtual
 from .plans import audit, sqlmode
 from .plans.evolution import diff
+from .sinks.base import LoadId
+from .sinks.keyed import KeyedTable
 from .sources import changes, cursor, readers
 from .streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: Rows of a keyed table's bucket, some 256 MB of two columns.
+KEYED_ROWS = 16_000_000
+
 
 class Tables:
     """Tables of a folder, read when asked for."""
@@ -260,12 +267,21 @@ def snapshot_chunk(t):
     return cursor.snapshot_chunk(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", 5000, 1000)
 
 
+def _shared(spark: SparkSession) -> str:
+    """The cluster's shared folder; only where that is unset, a temporary one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-")
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderkey >= 5000 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders")
 def keyed_upsert(t):
     """Two slices, the later one wins: what a keyed table holds after both loads."""
     first = t.orders.where("o_orderkey < 10000").select("o_orderkey", "o_totalprice")
     second = t.orders.where("o_orderkey >= 5000").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"))
-    return first.join(second, "o_orderkey", "left_anti").unionByName(second)
+    buckets = max(4, -(-t.orders.count() // KEYED_ROWS))
+    table = KeyedTable(t.spark, f"{_shared(t.spark)}/keyed-{uuid.uuid4().hex}", ("o_orderkey",), buckets)
+    for batch, rows in enumerate((first, second)):
+        table.load(LoadId("queries", "keyed_upsert", "orders", batch), rows)
+    return table.read()
 
 
 def _log(t):

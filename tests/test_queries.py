@@ -33,6 +33,18 @@ def test_hash_against_reference_values(spark):
     assert [r["c_name"] for r in rows] == digests([names[r["c_custkey"]].encode() for r in rows])
 
 
+def test_upsert_goes_through_a_keyed_table(spark, monkeypatch):
+    from sluice.sinks.keyed import KeyedTable
+
+    loads, load = [], KeyedTable.load
+    monkeypatch.setattr(KeyedTable, "load", lambda self, *a: loads.append((self, load(self, *a))) or loads[-1][1])
+    got = QUERIES["keyed_upsert"](spark, FOLDER)
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet")
+    assert [r.rows for _, r in loads] == [orders.where("o_orderkey < 10000").count(), orders.where("o_orderkey >= 5000").count()]
+    table = loads[0][0]
+    assert table.versions() == [1, 2] and rows_of(got.toArrow()) == rows_of(table.read().toArrow())
+
+
 def test_filters_reach_the_scan(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = QUERIES["chain_lineitem"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
