@@ -6,6 +6,8 @@ import gc
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,23 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes a table that ``stored`` wrote."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def held(frame: DataFrame) -> Iterator[DataFrame]:
+    """The frame written as a table, which is there inside the block only."""
+    path = f"{shared_dir(frame.sparkSession)}/{uuid.uuid4().hex}"
+    try:
+        frame.write.parquet(path)
+        yield frame.sparkSession.read.schema(frame.schema).parquet(path)
+    finally:
+        forget(frame.sparkSession, path)
+
+
 def parts_for(total: float, each: float, least: int = 1) -> int:
     """So many parts that each holds about ``each`` of ``total``."""
     return max(least, math.ceil((total or 0) / each))

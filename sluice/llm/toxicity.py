@@ -3,10 +3,11 @@
 Two bigram models, of toxic and of ordinary texts, each give a text's log-likelihood; the difference per word, put
 through a logistic function, is the score. Counts are Kneser-Ney's: a bigram counts by its distinct left neighbours
 and a word by its distinct histories, in each class, so copies of a text add nothing. From each count a discount is
-taken, as many times larger as the class is larger; what is taken goes to a backoff that both classes share, made of
-the discounted parts alone. A rare expression thus says the same in both models, and only expressions that are clearly
-more frequent in one class tell them apart. The discount grows with the square root of the counts, by which chance
-differences grow too.
+taken; what is taken goes to a backoff that both classes share, made of the discounted parts alone. The discount is at
+least a constant, as many times larger as the class is larger, which grows with the square root of the counts, by
+which chance differences grow too; and it is at least RELATIVE times what the other class's share of the expression
+explains. A rare expression thus says the same in both models, and so does one whose share differs only by the mix
+of languages or subjects; expressions that are many times more frequent in one class tell them apart.
 
 Labelled rows are cut by crc32 of the document's key modulo 5: remainders 1 to 3 give the counts, 4 the logistic
 function; 0 is never read. Of each class at most MAX_LABELLED rows are taken, those with the smallest hashes of the
@@ -28,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, stored
-from .words import Words, runs, slices
+from .shared import held, release
+from .words import Words, mix, slices
 
 #: Labelled rows of each kind, ordinary and toxic, that are learnt from at most.
 MAX_LABELLED = (20_000, 5_000)
@@ -37,11 +38,13 @@ BINS = 1 << 20
 #: The discount is this times the square root of the smaller class's counts, at least LEAST_DISCOUNT.
 DISCOUNT = 0.01
 LEAST_DISCOUNT = 4.0
+#: Shares of an expression that differ less than so many times are no evidence.
+RELATIVE = 4.0
 #: Words without evidence that each text is taken to have besides its own.
 PRIOR_WORDS = 20
 
 _U = np.uint64
-_START = _U(0x5354415254)
+_START = _U(0x5354415254)  # the history of a first word
 
 
 def remainder(key: Column, n: int) -> Column:
@@ -49,32 +52,27 @@ def remainder(key: Column, n: int) -> Column:
 
 
 def _tokens(part: pa.RecordBatch) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, and for each word its hash, its history's and the bigram's."""
+    """Words, and for each word its bin, its history's bin, and the bigram, which is both."""
     words = Words(part.column("text"), lower=True)
     w = words.hashes()
     h = np.empty_like(w)
     h[1:] = w[:-1]
     h[words.first[:-1][words.count > 0]] = _START
-    pairs = np.empty(2 * len(w), _U)
-    pairs[0::2], pairs[1::2] = h, w
-    return words, w, h, runs(pairs, 2)[0::2] if len(w) else w
+    w, h = (w % _U(BINS)).astype(np.int64), (h % _U(BINS)).astype(np.int64)
+    return words, w, h, h * BINS + w
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            words, w, h, b = _tokens(part)
+            words, _, h, b = _tokens(part)
             before = np.empty_like(h)
             before[1:] = h[:-1]
-            before[words.first[:-1][words.count > 0]] = _START + _U(1)
-            triple = np.empty(2 * len(w), _U)
-            triple[0::2], triple[1::2] = before, b
-            t = runs(triple, 2)[0::2] if len(w) else w
-            y = np.repeat(part.column("y").to_numpy(zero_copy_only=False), words.count)
-            at = np.unique(np.stack([y.astype(_U), t]), axis=1, return_index=True)[1] if len(t) else []
-            cols = [pa.array(y[at].astype(np.int32)), *(pa.array(x[at].astype(np.int64)) for x in (t, b))]
-            cols += [pa.array((x[at] % _U(BINS)).astype(np.int32)) for x in (h, w)]
-            yield pa.RecordBatch.from_arrays(cols, names=["y", "t", "b", "h", "w"])
+            before[words.first[:-1][words.count > 0]] = BINS
+            y = np.repeat(part.column("y").to_numpy(zero_copy_only=False), words.count).astype(np.int64)
+            t = mix(mix(b.astype(_U)) + (2 * before + y).astype(_U))
+            at = np.unique(t, return_index=True)[1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[at].astype(k)) for x, k in ((y, np.int32), (t, np.int64), (b, np.int64))], names=["y", "t", "b"])
 
 
 @dataclass
@@ -93,7 +91,6 @@ class Model:
         words, w, h, b = _tokens(part)
         if not len(w):
             return np.zeros(len(words.count))
-        w, h = (w % _U(BINS)).astype(np.int64), (h % _U(BINS)).astype(np.int64)
         at = np.minimum(np.searchsorted(self.bigrams, b), len(self.bigrams) - 1) if len(self.bigrams) else None
         hit = self.bigrams[at] == b if at is not None else None
         p = []
@@ -107,41 +104,60 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.ratios(part) + self.bias, -30, 30)))
 
 
-def _table(rows: DataFrame, name: str, value: str) -> np.ndarray:
-    """Sums of a value by class and bin; the table's size is fixed."""
-    got = rows.groupBy("y", F.col(name).alias("bin")).agg(F.sum(value).cast("double").alias("v")).toArrow()
+def _table(rows: DataFrame, name: str, values: list[str]) -> np.ndarray:
+    """Sums of a value for each class, by bin; the table's size is fixed."""
+    got = rows.groupBy(F.col(name).alias("bin")).agg(*[F.sum(v).cast("double").alias(f"v{c}") for c, v in enumerate(values)]).toArrow()
     out = np.zeros((2, BINS))
-    out[got.column("y").to_numpy(), got.column("bin").to_numpy()] = got.column("v").to_numpy()
+    for c in (0, 1):
+        out[c, got.column("bin").to_numpy()] = got.column(f"v{c}").to_numpy()
     return out
 
 
+def _taken(counts: list, other: list, base: list[float]) -> list:
+    """What is discounted of each class's counts: ``base``, and as much as RELATIVE times the other class's share, given
+    as ``other``, explains."""
+    return [F.least(F.col(n).cast("double"), F.greatest(F.lit(d), RELATIVE * o)) for n, o, d in zip(counts, other, base, strict=True)]
+
+
 def count_models(labelled: DataFrame) -> Model:
     """The models of rows ``text, y``."""
-    triples = labelled.select("text", "y").mapInArrow(_contexts, "y int, t long, b long, h int, w int").distinct()
-    bigrams = cut(triples.groupBy("y", "b", "h", "w").agg(F.count(F.lit(1)).alias("n")))
-    words = cut(bigrams.groupBy("y", "w").agg(F.count(F.lit(1)).alias("n")))
-    sums = {r["y"]: (r["n"], r["k"]) for r in bigrams.groupBy("y").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()}
-    size = [sums.get(c, (0, 0))[1] for c in (0, 1)]
+    triples = labelled.select("text", "y").mapInArrow(_contexts, "y int, t long, b long").distinct()
+    counts = triples.groupBy("b").agg(F.sum(1 - F.col("y")).cast("int").alias("n0"), F.sum("y").cast("int").alias("n1"))
+    split = [F.floor(F.col("b") / BINS).cast("int").alias("h"), (F.col("b") % BINS).cast("int").alias("w")]
+    with held(counts.select("b", *split, "n0", "n1")) as bigrams:
+        release(bigrams.sparkSession)
+        with held(bigrams.groupBy("w").agg(*[F.sum((F.col(f"n{c}") > 0).cast("long")).alias(f"n{c}") for c in (0, 1)])) as words:
+            return _model(bigrams, words)
+
+
+def _model(bigrams: DataFrame, words: DataFrame) -> Model:
+    """The models of counts ``b, h, w, n0, n1`` of bigrams, and of words by their histories."""
+    row = words.agg(F.sum("n0"), F.sum("n1")).first()
+    size = [row[0] or 0, row[1] or 0]
     least = max(1, min(size))
-    discount = [max(LEAST_DISCOUNT, DISCOUNT * least**0.5) * max(1, s) / least for s in size]
-    of = F.when(F.col("y") == 1, F.lit(discount[1])).otherwise(F.lit(discount[0]))
-    counted = _table(words, "w", "n")
-    taken = _table(words.withColumn("d", F.least(F.col("n").cast("double"), of)), "w", "d")
+    base = [max(LEAST_DISCOUNT, DISCOUNT * least**0.5) * max(1, s) / least for s in size]
+    scale = max(1, size[0]) / max(1, size[1])
+    counted = _table(words, "w", ["n0", "n1"])
+    less = words.select("w", *[d.alias(f"d{c}") for c, d in enumerate(_taken(["n0", "n1"], [F.col("n1") * scale, F.col("n0") / scale], base))])
+    taken = _table(less, "w", ["d0", "d1"])
     share = [taken[c].sum() / max(1, size[c]) for c in (0, 1)]
     shared = taken[0] / max(1, size[0]) + taken[1] / max(1, size[1])
     unseen = 0.5 * (shared[shared > 0].min() if shared.any() else 1.0)
     shared = (shared + unseen) / (shared + unseen).sum()
     word = np.stack([(counted[c] - taken[c]) / max(1, size[c]) + share[c] * shared for c in (0, 1)])
-    history = _table(bigrams, "h", "n")
-    kept = bigrams.withColumn("left", F.col("n") - of).where("left > 0").select("y", "b", "h", "left").toArrow()
-    y, b, h, left = (kept.column(c).to_numpy() for c in ("y", "b", "h", "left"))
-    names = np.unique(b.astype(_U))
-    top = np.zeros((2, len(names)))
-    top[y, np.searchsorted(names, b.astype(_U))] = left / np.maximum(1, history[y, h])
+    history = _table(bigrams, "h", ["n0", "n1"])
+    some = bigrams.where((F.col("n0") > base[0]) | (F.col("n1") > base[1])).select("b", "h", "n0", "n1").toArrow()
+    b, h = some.column("b").to_numpy(), some.column("h").to_numpy()
+    n = np.stack([some.column(f"n{c}").to_numpy() for c in (0, 1)]).astype(np.float64)
+    of = np.maximum(1, history[:, h])
+    left = np.maximum(0, n - np.maximum(np.array(base)[:, None], RELATIVE * of * (n / of)[::-1]))
+    kept = left.any(0)
+    order = np.flatnonzero(kept)[np.argsort(b[kept], kind="stable")]
     spent = np.zeros((2, BINS))
-    np.add.at(spent, (y, h), left)
+    for c in (0, 1):
+        np.add.at(spent[c], h, left[c])
     rest = np.where(history > 0, (history - spent) / np.maximum(history, 1), 1.0)
-    return Model(word.astype(np.float32), rest.astype(np.float32), names, top.astype(np.float32))
+    return Model(word.astype(np.float32), rest.astype(np.float32), b[order], (left / of)[:, order].astype(np.float32))
 
 
 def calibrate(ratios: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -179,7 +195,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if len(counts) < 2:
         return share
     picked = told.where("y = 1").orderBy(F.xxhash64("k"), "k").limit(most[1]).union(told.where("y = 0").orderBy(F.xxhash64("k"), "k").limit(most[0]))
-    rows = stored(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "k").select("text", "y", "part"))
+    with held(docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "k").select("text", "y", "part")) as rows:
+        return _trained(rows, share)
+
+
+def _trained(rows: DataFrame, share: float) -> Model | float:
     model = count_models(rows.where("part <> 4"))
     got = rows.where("part = 4").select("text", "y").mapInArrow(_ratios(model), "y int, z double").toArrow()
     y, z = got.column("y").to_numpy(), got.column("z").to_numpy()

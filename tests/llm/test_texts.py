@@ -281,6 +281,73 @@ def toxic_rows(n, seed):
     return docs, labels
 
 
+def brute_kneser_ney(labelled):
+    """The two models with dictionaries: a function of a text that gives its log ratio a word."""
+    seen = [set(), set()]
+    for text, y in labelled:
+        w = ["<s>", "<s>", *words_of(text.translate(LOW))]
+        seen[y].update((w[i - 2] if i > 2 else "<<s>>", w[i - 1], w[i]) for i in range(2, len(w)))
+    pairs = [Counter((b, c) for _, b, c in s) for s in seen]
+    words = [Counter(c for _, c in p) for p in pairs]
+    after = [Counter() for _ in seen]
+    for y in (0, 1):
+        for (b, _), n in pairs[y].items():
+            after[y][b] += n
+    size = [len(p) for p in pairs]
+    base = [max(toxicity.LEAST_DISCOUNT, toxicity.DISCOUNT * min(size) ** 0.5) * s / min(size) for s in size]
+    taken = [{w: min(n, max(base[y], toxicity.RELATIVE * words[1 - y][w] * size[y] / size[1 - y])) for w, n in words[y].items()} for y in (0, 1)]
+    share = [sum(taken[y].values()) / size[y] for y in (0, 1)]
+    shared = {w: sum(taken[y].get(w, 0) / size[y] for y in (0, 1)) for w in words[0] | words[1]}
+    unseen = 0.5 * min(v for v in shared.values() if v)
+    whole = sum(shared.values()) + unseen * toxicity.BINS
+    left = [{k: n - max(base[y], toxicity.RELATIVE * after[y][k[0]] * pairs[1 - y][k] / max(1, after[1 - y][k[0]])) for k, n in pairs[y].items()} for y in (0, 1)]
+
+    def p(y, b, w):
+        low = (words[y][w] - taken[y].get(w, 0)) / size[y] + share[y] * (shared.get(w, 0) + unseen) / whole
+        if not after[y][b]:
+            return low
+        spent = sum(max(0, v) for k, v in left[y].items() if k[0] == b)
+        return max(0, left[y].get((b, w), 0)) / after[y][b] + (after[y][b] - spent) / after[y][b] * low
+
+    def ratio(text):
+        w = ["<s>", *words_of(text.translate(LOW))]
+        return sum(math.log(p(1, a, b) / p(0, a, b)) for a, b in zip(w, w[1:])) / (len(w) - 1 + toxicity.PRIOR_WORDS)
+
+    return ratio
+
+
+def test_kneser_ney(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_DISCOUNT", 1.5)
+    rows, told = toxic_rows(160, 4)
+    rows += [(1000 + i, "Mucky Drossy mucky drossy lo") for i in range(3)]
+    y = dict(told) | {1000 + i: 1 for i in range(3)}
+    labelled = [(t, y[i]) for i, t in rows]
+    model = toxicity.count_models(spark.createDataFrame(labelled, "text string, y int").repartition(3))
+    texts = [t for _, t in rows[:30]] + ["", "mucky", "never seen before", "mucky drossy " * 5, prose(3, 50) + " grubby"]
+    got = model.ratios(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))
+    want = brute_kneser_ney(labelled)
+    assert len(model.bigrams) and np.allclose(got, [want(t) for t in texts], atol=1e-4)
+
+
+def test_toxicity_across_languages(spark):
+    """Where classes hold languages in other shares, ordinary texts of all of them stay and toxic ones are found."""
+    r = random.Random(8)
+    tongue = {k: [f"{k}{w}" for w in WORDS] for k in "xyz"}
+    rows, told = [], []
+    for i in range(900):
+        y = i % 5 == 0
+        k = r.choice("xxyz" if y else "xyzyz")
+        w = r.choices(tongue[k], k=r.randrange(20, 200))
+        for j in range(max(2, len(w) // 40) if y else 0):
+            w[r.randrange(len(w))] = f"{k}vile{r.randrange(4)}"
+        rows.append((i, " ".join(w)))
+        told.append((i, int(y)))
+    made, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(told, "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score_toxicity(made, toxicity.train(made, labels)).collect()}
+    held = [(i, y) for i, y in told if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum(got[i] for i, y in held if y) >= 0.9 * sum(y for _, y in held) and not sum(got[i] for i, y in held if not y)
+
+
 def test_toxicity(spark, docs, tmp_path):
     rows, told = toxic_rows(800, 9)
     spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "d"))
