@@ -2,12 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import forget, release, stored
 
 MOST_ROUNDS = 60
+#: Edges that one task ties by itself, some 200 MB with its arrays; more are tied by rounds of joins.
+ONE_TASK = 1 << 20
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of edges, sorted, and for each the index of its component's smallest node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    up = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(up[x], up[y]), np.maximum(up[x], up[y])
+        np.minimum.at(up, high, low)
+        while (up[up] != up).any():
+            up = up[up]
+        apart = up[x] != up[y]
+        x, y = x[apart], y[apart]
+    return nodes, up
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task, as many at a time as one task may hold, tied to stars; what they connect stays the same."""
+    held, n = [], 0
+
+    def tied() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        nodes, up = roots(table.column("u").to_numpy(), table.column("v").to_numpy())
+        leaf = np.flatnonzero(up != np.arange(len(up)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[up[leaf]])], names=["u", "v"])
+
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= ONE_TASK:
+            yield tied()
+            held, n = [], 0
+    if n:
+        yield tied()
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -18,23 +58,39 @@ def _spread(edges: DataFrame, least: DataFrame) -> DataFrame:
     return edges.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
 
 
+def _round(now: DataFrame) -> DataFrame:
+    both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = _spread(both, _least(both)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    small = _spread(large, _least(large))
+    return small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for each node of ``edges`` (a, b): root is the component's smallest node.
-
-    Each round ties a node's larger neighbours to its smallest one, then its smaller ones, and cuts the lineage. All
-    work is by joins and minima over edges; no component is ever gathered."""
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    before = None
-    for _ in range(MOST_ROUNDS):
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _spread(both, _least(both)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _spread(large, _least(large))
-        tied = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(tied)
+    """``node, root`` for each node of ``edges`` (a, b): root is the component's smallest node. The result is a table
+    in the shared folder.
+
+    Tasks first tie the edges that they read to stars. What is left is tied by one task if it is at most ONE_TASK edges,
+    which is looked up before; else by rounds that tie a node's larger neighbours to its smallest one, then its smaller
+    ones. Both give the same rows. A round's edges are a table that goes once the next one is there; its work is by joins
+    and minima over edges, and no component is ever gathered."""
+    spark = edges.sparkSession
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    now = stored(pairs.where("u <> v").mapInArrow(_stars, "u long, v long"))
+    if now.count() <= ONE_TASK:
+        settled = stored(now.coalesce(1).mapInArrow(_stars, "u long, v long"))
+        forget(spark, now)
     else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        before = None
+        for _ in range(MOST_ROUNDS):
+            after = stored(_round(now))
+            forget(spark, now)
+            release(spark)
+            now = after
+            state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == before:
+                break
+            before = state
+        else:
+            raise RuntimeError("components did not settle")
+        settled = now
+    return settled.select(F.col("u").alias("node"), F.col("v").alias("root")).union(settled.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -5,20 +5,22 @@ named by a hash of its whole set, so copies never meet as pairs.
 
 Routing to trees. Two sets that link differ in at most ``(1-t)/(1+t) * (a+b)`` shingles. Sizes are cut into classes,
 each up to half as large again as the one before; for pairs whose larger set is in a class, shingles are cut by hash
-range into more parts than such pairs can differ in. A set with more non-empty parts than it can differ in from any
-partner agrees with each partner in one of them, so the contents of parts are the routing keys. A set sends those of
-its own class and of the next ones that it can link into. Where a set has too few non-empty parts (small sets by
+range into more parts than such pairs can differ in. A set with ``e`` non-empty parts that can differ in ``d`` shingles
+from any partner agrees with each partner in ``r = e - d`` of them at least, so the contents of parts are the routing
+keys. A set sends those of its own class and of the next ones that it can link into. Where r is below 1 (small sets by
 chance), it also sends its ``n - ceil(t n) + 1`` smallest hashes: two such sets that link share one of those.
 
-Keys of passages that unrelated texts share would tie those to one forest. So ties are tested by a bound first: counts
-of shingles by hash range differ in sum at most by what the sets differ in. Members of a key's group that pass against
-its smallest node are tied to it; groups in which a member fails are tied pair by pair, by the same bound, in the task
-that holds the key. A forest is what ties connect, over any number of steps.
+Keys of passages that unrelated texts share would tie those to one forest. So a set leaves out its r - 1 most frequent
+keys: the rarest of the r keys that two linked sets share is never among them, on either side. What is left is tested
+by a bound: counts of shingles by hash range differ in sum at most by what the sets differ in. Members of a key's group
+that pass against its smallest node are tied to it. Groups in which a member fails, and whose members aren't connected
+by ties of other keys, are tied pair by pair, by the same bound, in tiles of bounded size. A forest is what ties connect.
 
-Trees. Members of a forest are sorted by size and smallest hash and bundled to nodes; a node holds the OR of its
-members' token bitmaps and the range of their sizes. A bitmap has a bit for the i-th shingle of each bucket, so the
-bits two bitmaps share bound the overlap of any two sets below them. A dual traversal drops node pairs whose bound
-or sizes can't reach t, and pairs that are in one component already; what is left is compared exactly.
+Trees. Members of a forest are sorted by size class and smallest hash, so that like sets stand together, and bundled to
+nodes; a node holds the OR of its members' token bitmaps and the range of their sizes. A bitmap has bits in proportion
+to the tokens below its node. Bits that two bitmaps share, and the tokens that a member loses to collisions at most,
+bound the overlap of any two sets below the nodes. A dual traversal drops node pairs whose bound or sizes can't reach t,
+and pairs that are in one component already; what is left is compared exactly.
 
 A forest of more than TILE shingles is cut into chunks. Chunks are first solved alone, twice, dealt differently, which
 ties together what is densely linked; then every set outside a forest's largest component meets all chunks, and pairs
@@ -33,6 +35,7 @@ repeated keys are rows of one component; an empty table gives an empty result. O
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +43,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graphs import components
-from .shared import cut, parts_for, release
+from .shared import forget, parts_for, release, stored
 from .words import Words, mix, runs, slices
 
 #: Shingles of a tile, about 20 MB.
 TILE = 2_500_000
 LEAF = 8
 FANOUT = 4
+#: Bits of a node's bitmap for each token below it: of leaves' nodes, of those above, and of all higher ones, which are
+#: too full to tell unrelated sets apart at any width that is worth it. MOST_BITS: of any node.
+BITS = (16, 64, 4)
+MOST_BITS = 1 << 26
 #: Bits of the filter that keeps sets without a partner from being sent; 4 MB at any size of the corpus.
 FILTER_BITS = 1 << 25
 
@@ -83,21 +90,24 @@ def parts(low: int, high: int, percent: int) -> int:
     return m
 
 
-def keys(shingles: np.ndarray, percent: int, bounds: list[int], cut: list[int]) -> np.ndarray:
-    """Routing keys of a set, given as its sorted hashes. cut: the number of parts of each class."""
+def keys(shingles: np.ndarray, percent: int, bounds: list[int], cut: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Routing keys of a set, given as its sorted hashes, and for each key its list: the class, times 2**24, plus how many
+    of the list's most frequent keys may be left out. cut: the number of parts of each class."""
     n = len(shingles)
     c = int(np.searchsorted(bounds, n))
-    out = []
+    out, lists = [], []
     while c < len(bounds) and (c == 0 or n >= need(bounds[c - 1] + 1, percent)):
         tag = _U(c * 0xD1B54A32D192ED03 % 2**64)
         part = ((shingles >> _U(32)) * _U(cut[c])) >> _U(32)
         first = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
         content = np.add.reduceat(mix(shingles + _U(7)), first)
         out.append(mix(content + part[first] * _U(0x9E3779B97F4A7C15) + tag))
-        if len(first) <= differ(n, min(bounds[c], 100 * n // percent), percent):
+        agree = len(first) - differ(n, min(bounds[c], 100 * n // percent), percent)
+        if agree < 1:
             out.append(mix(shingles[: n - need(n, percent) + 1] + tag + _U(1)))
+        lists += [(c << 24) + min(max(agree, 1) - 1, (1 << 24) - 1)] * sum(map(len, out[len(out) - (1 if agree >= 1 else 2) :]))
         c += 1
-    return np.concatenate(out)
+    return np.concatenate(out), np.array(lists, np.int32)
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -154,23 +164,37 @@ def _named(k: int, kind: pa.DataType):
     return run
 
 
-def _routed(k: int, percent: int, bounds: list[int]):
+def _bit(words: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values' bits are set in a filter."""
+    bit = values.astype(np.int64) % FILTER_BITS
+    return (words[bit >> 6] >> (bit & 63).astype(_U) & _U(1)).astype(bool)
+
+
+def _routed(k: int, percent: int, bounds: list[int], words: np.ndarray | None = None):
+    """Keys of sets. words: a filter of the keys that are wanted."""
     cut_ = [parts(low, high, percent) for low, high in zip([0, *bounds[:-1]], bounds, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()  # copies within a task send once, up to a bound
         for batch in batches:
             for part in slices(batch, "text"):
-                key, node = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+                key, node, of = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
                 for s in sets(part, k):
                     own = name(s)
                     if own is None or own in sent:
                         continue
                     if len(sent) < 100_000:
                         sent.add(own)
-                    key.append(keys(s, percent, bounds, cut_))
-                    node.append(np.full(len(key[-1]), own))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).astype(np.int64)), pa.array(np.concatenate(node))], names=["sig", "node"])
+                    found, lists = keys(s, percent, bounds, cut_)
+                    key.append(found)
+                    of.append(lists)
+                    node.append(np.full(len(found), own))
+                key, node, of = (np.concatenate(x) for x in (key, node, of))
+                key = key.astype(np.int64)
+                if words is not None:
+                    some = _bit(words, key)
+                    key, node, of = key[some], node[some], of[some]
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(of)], names=["sig", "node", "list"])
 
     return run
 
@@ -185,8 +209,7 @@ def _sent(k: int, words: np.ndarray):
                     own = name(s)
                     if own is None or own in sent:
                         continue
-                    bit = own % FILTER_BITS
-                    if words[bit >> 6] >> _U(bit & 63) & _U(1):
+                    if _bit(words, np.array([own]))[0]:
                         if len(sent) < 100_000:
                             sent.add(own)
                         nodes.append(own)
@@ -215,17 +238,18 @@ def _tested(percent: int):
 
 
 def _tied(percent: int, block: int = 256):
-    """Spanning ties of each key's group among members that can link; one table holds the groups of many keys."""
+    """Spanning ties among the members of each tile that can link and aren't connected; a table holds many tiles."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("sig", "ascending"), ("n", "ascending"), ("node", "ascending")])
-        sig, node, n = (table.column(c).to_numpy() for c in ("sig", "node", "n"))
+        table = table.sort_by([("forest", "ascending"), ("i", "ascending"), ("j", "ascending"), ("n", "ascending"), ("node", "ascending")])
+        group = np.stack([table.column(c).to_numpy() for c in ("forest", "i", "j")])
+        node, n, label = (table.column(c).to_numpy() for c in ("node", "n", "label"))
         rows = table.column("sketch").to_pylist()
-        cuts = [0, *(np.flatnonzero(np.diff(sig)) + 1).tolist(), len(sig)]
+        cuts = [0, *(np.flatnonzero((np.diff(group) != 0).any(0)) + 1).tolist(), table.num_rows]
         ties: set[tuple[int, int]] = set()
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            up = np.arange(e - s)
+            up = np.unique(label[s:e], return_inverse=True)[1]  # what is connected already
             blocks = [(a, min(a + block, e)) for a in range(s, e, block)]
             for i, (a, b) in enumerate(blocks):
                 for c, d in blocks[i:]:
@@ -246,40 +270,124 @@ def _tied(percent: int, block: int = 256):
     return run
 
 
-def _ties(routed: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` that connect all nodes that may link, over any number of steps."""
+def _kept(live: DataFrame) -> DataFrame:
+    """``sig, node, root`` of the keys that sets keep: each list without its most frequent ones, and of these the keys of
+    more than one node. root: a key's smallest node."""
     from pyspark.sql import Window
 
-    by_key = Window.partitionBy("sig")
-    live = routed.withColumn("root", F.min("node").over(by_key)).withColumn("top", F.max("node").over(by_key)).where("root <> top").drop("top")
-    live = cut(live.distinct())
-    release(live.sparkSession)
-    sketches = cut(named.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    often = live.groupBy("sig").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("node", "list").orderBy(F.desc("often"), "sig"))
+    kept = stored(live.join(often, "sig").withColumn("rank", rank).where("rank > list % 16777216").select("sig", "node").distinct())
+    held = kept.groupBy("sig").agg(F.min("node").alias("root"), F.max("node").alias("top")).where("root <> top").drop("top")
+    out = stored(kept.join(held, "sig"))
+    forget(kept.sparkSession, kept)
+    return out
+
+
+def _ties(rows: DataFrame, named: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
+    """``node, forest``: what may link, over any number of steps, has one forest."""
+    spark = rows.sparkSession
+    bounds = classes(int(named.agg(F.max("n")).first()[0] or 0))
+    schema = "sig long, node long, list int"
+    sigs = rows.mapInArrow(_routed(k, percent, bounds), schema).groupBy("sig").agg(F.min("node").alias("root"), F.max("node").alias("top")).where("root <> top")
+    sigs = stored(sigs.select("sig"))
+    release(spark)
+    wanted = rows.mapInArrow(_routed(k, percent, bounds, _filter(sigs, "sig")), schema)
+    live = stored(wanted.join(sigs, "sig", "left_semi").distinct())
+    kept = _kept(live)
+    forget(spark, sigs, live)
+    release(spark)
+
+    needed = kept.select("node").distinct()
+    sketches = stored(named.where("node is not null").join(needed, "node", "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")))
     side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    pairs = live.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()
-    tested = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_tested(percent), "a long, b long, ok boolean"))
-    bad = tested.where("not ok").select(F.col("a").alias("root"), F.col("b").alias("node"))
-    open_ = live.join(bad, ["root", "node"]).select("sig").distinct()
-    rows = live.join(open_, "sig").select("sig", "node").join(sketches, "node")
-    buckets = max(int(live.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
-    more = rows.withColumn("bucket", F.pmod(F.xxhash64("sig"), F.lit(buckets))).groupBy("bucket").applyInArrow(_tied(percent), "a long, b long")
-    return tested.where("ok").select("a", "b").union(more)
-
-
-def _filter(nodes: DataFrame) -> np.ndarray:
-    """A bit for each node's hash; no node is missed. Its size is fixed."""
-    at = f"pmod(node, {FILTER_BITS})"
-    table = nodes.selectExpr(f"shiftright({at}, 6) AS w", f"shiftleft(1L, int({at} % 64)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    pairs = kept.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()
+    tested = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_tested(percent), "a long, b long, ok boolean"))
+    first = components(tested.where("ok").select("a", "b"))
+    open_ = kept.join(tested.where("not ok").select(F.col("a").alias("root"), F.col("b").alias("node")), ["root", "node"]).select("sig").distinct()
+    members = kept.join(open_, "sig").select("sig", "node").join(first.withColumnRenamed("root", "label"), "node", "left")
+    members = stored(members.select(F.col("sig").alias("forest"), "node", F.coalesce("label", "node").alias("label")))
+    apart = members.groupBy("forest").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("forest")
+    sized = members.join(apart, "forest").join(sketches.select("node", "n"), "node")
+    total = sized.groupBy("forest").agg(F.sum(F.greatest(F.col("n"), F.lit(64))).alias("weight")).withColumn("chunks", F.ceil(F.col("weight") / tile).cast("long"))
+    dealt = stored(sized.join(total, "forest").select("forest", "node", "label", "chunks"))
+    weight = total.agg(F.sum("weight")).first()[0]
+    alone = dealt.where("chunks = 1").select("forest", F.lit(0).alias("i"), F.lit(0).alias("j"), "label", "node")
+    # the groups of many keys are small: each is put into one of few tables
+    tiles = alone.union(_against(dealt.where("chunks > 1"))).join(sketches, "node")
+    more = tiles.withColumn("bucket", F.pmod(F.xxhash64("forest", "i", "j"), F.lit(parts_for(weight, tile / 2)))).groupBy("bucket").applyInArrow(_tied(percent), "a long, b long")
+    second = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(more))
+    out = stored(second.select("node", F.col("root").alias("forest")))
+    forget(spark, kept, sketches, tested, first, members, dealt, second)
+    release(spark)
+    return out
+
+
+def _against(big: DataFrame) -> DataFrame:
+    """``forest, i, j, label, node`` of the tiles in which each member outside its forest's largest component meets all
+    others. big: ``forest, node, label, chunks``."""
+    share = big.groupBy("forest", "label").agg(F.count(F.lit(1)).alias("c"))
+    most = share.groupBy("forest").agg(F.max(F.struct("c", "label")).alias("m")).select("forest", F.col("m.label").alias("main"))
+    split = big.join(most, "forest").withColumn("side", (F.col("label") == F.col("main")).cast("int"))
+    chunk = split.withColumn("at", F.pmod(F.xxhash64("node"), F.col("chunks")) * 2 + F.col("side"))
+    ids = chunk.groupBy("forest", "side", "at").agg(F.count(F.lit(1)).alias("c"))
+    outside = ids.where("side = 0").select("forest", F.col("at").alias("i"))
+    pairs = outside.join(ids.select("forest", F.col("at").alias("j"), F.col("side").alias("s")), "forest").where("s = 1 or j >= i").select("forest", "i", "j")
+    ends = pairs.select("forest", "i", "j", F.col("i").alias("at")).union(pairs.where("i <> j").select("forest", "i", "j", F.col("j").alias("at")))
+    return ends.join(chunk, ["forest", "at"]).select("forest", "i", "j", "label", "node")
+
+
+def _filter(values: DataFrame, column: str) -> np.ndarray:
+    """A bit for each value; none is missed. Its size is fixed."""
+    at = f"pmod({column}, {FILTER_BITS})"
+    table = values.selectExpr(f"shiftright({at}, 6) AS w", f"shiftleft(1L, int({at} % 64)) AS b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     words = np.zeros(FILTER_BITS >> 6, np.int64)
     words[table.column("w").to_numpy()] = table.column("b").to_numpy()
     return words.astype(_U)
 
 
+class Node:
+    """A node of a signature tree: members ``first`` to ``end``, their sizes' range, the OR of their bitmaps, the tokens
+    that a member loses to collisions at most, and the nodes below, if any."""
+
+    def __init__(self, members: list[np.ndarray], first: int, end: int, each: int, below: list["Node"] | None = None):
+        self.members, self.first, self.end, self.each, self.below, self.same = members, first, end, each, below, False
+        self.size = [len(m) for m in members[first:end]]
+        self.low, self.high = min(self.size), max(self.size)
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        """The bitmap; most nodes of small forests never need theirs."""
+        width = min(MOST_BITS, 1 << max(6, (self.each * sum(self.size) - 1).bit_length()))
+        bits, self.loss = np.zeros(width, bool), 0
+        for m, n in zip(self.members[self.first : self.end], self.size, strict=True):
+            at = (m & _U(width - 1)).astype(np.int64)
+            self.loss = max(self.loss, n - len(np.unique(at)))
+            bits[at] = True
+        packed = np.packbits(bits).view(_U)
+        self.folds = {len(packed): packed}
+        return packed
+
+    def folded(self, words: int) -> np.ndarray:
+        """The bitmap as it would be with so many words."""
+        own = len(self.bits)  # makes the bitmap
+        if words != own and words not in self.folds:
+            self.folds[words] = np.bitwise_or.reduce(self.bits.reshape(-1, words))
+        return self.folds[words]
+
+    def overlap(self, other: "Node") -> int:
+        """What a set below this node and one below the other share at most. Tokens that share a bit count once in the
+        bitmaps; no more are missed than the member of the narrower one loses."""
+        a, b = (self, other) if len(self.bits) <= len(other.bits) else (other, self)
+        return int(np.bitwise_count(a.bits & b.folded(len(a.bits))).sum()) + a.loss
+
+
 class Forest:
     """A signature tree over sets, and the dual traversal that links them."""
 
     def __init__(self, members: list[np.ndarray], labels: list[int], percent: int):
-        order = sorted(range(len(members)), key=lambda i: (len(members[i]), int(members[i][0])))
+        step = np.log(percent / 100)  # sizes within a step can link
+        order = sorted(range(len(members)), key=lambda i: (int(-np.log(len(members[i])) / step), int(members[i][0]), len(members[i])))
         self.members, self.percent = [members[i] for i in order], percent
         self.order = order
         self.up = list(range(len(order)))
@@ -291,24 +399,10 @@ class Forest:
             else:
                 seen[labels[o]] = i
         self.size = np.array([len(m) for m in self.members])
-        width = 256
-        while width < 2 * int(np.median(self.size)) and width < 8192:
-            width *= 2
-        self.bitmap = np.stack([self._bits(m, width) for m in self.members])
-        # levels[l]: (first, last member, OR bitmap, smallest, largest size) of each node
-        spans = [(a, min(a + LEAF, len(order))) for a in range(0, len(order), LEAF)]
-        self.nodes = [[(a, b, np.bitwise_or.reduce(self.bitmap[a:b]), int(self.size[a]), int(self.size[b - 1]), None) for a, b in spans]]
-        while len(self.nodes[-1]) > 1:
-            low = self.nodes[-1]
-            self.nodes.append([(low[i][0], low[j - 1][1], np.bitwise_or.reduce([x[2] for x in low[i:j]]), low[i][3], low[j - 1][4], low[i:j]) for i in range(0, len(low), FANOUT) for j in [min(i + FANOUT, len(low))]])
-        self.same: dict[int, bool] = {}
-
-    @staticmethod
-    def _bits(shingles: np.ndarray, width: int) -> np.ndarray:
-        """Four planes of buckets: a bucket's i-th shingle sets its bit in plane i; the last plane also holds, for
-        its bucket, whether there are more (their number is then unknown, see ``bound``)."""
-        count = np.bincount((shingles & _U(width - 1)).astype(np.int64), minlength=width)
-        return np.concatenate([np.packbits(count > i) for i in range(4)]).view(_U)
+        self.levels = [[Node(self.members, a, min(a + LEAF, len(order)), BITS[0]) for a in range(0, len(order), LEAF)]]
+        while len(self.levels[-1]) > 1:
+            low, each = self.levels[-1], BITS[min(len(self.levels), 2)]
+            self.levels.append([Node(self.members, low[i].first, low[j - 1].end, each, low[i:j]) for i in range(0, len(low), FANOUT) for j in [min(i + FANOUT, len(low))]])
 
     def find(self, i: int) -> int:
         while self.up[i] != i:
@@ -316,59 +410,50 @@ class Forest:
             i = self.up[i]
         return i
 
-    def uniform(self, node) -> bool:
-        if not self.same.get(id(node)):
-            if node[5] is None:
-                root = self.find(node[0])
-                self.same[id(node)] = all(self.find(i) == root for i in range(node[0] + 1, node[1]))
+    def uniform(self, node: Node) -> bool:
+        """Whether all below is one component."""
+        if not node.same:
+            if node.below is None:
+                root = self.find(node.first)
+                node.same = all(self.find(i) == root for i in range(node.first + 1, node.end))
             else:
-                self.same[id(node)] = all(self.uniform(c) for c in node[5]) and len({self.find(c[0]) for c in node[5]}) == 1
-        return self.same[id(node)]
+                node.same = all(self.uniform(c) for c in node.below) and len({self.find(c.first) for c in node.below}) == 1
+        return node.same
 
-    def possible(self, a, b) -> bool:
+    def possible(self, a: Node, b: Node) -> bool:
         """Whether sets below the two nodes can link at all."""
-        if 100 * a[4] < self.percent * b[3] or 100 * b[4] < self.percent * a[3]:
+        if 100 * a.high < self.percent * b.low or 100 * b.high < self.percent * a.low:
             return False
-        shared = int(np.bitwise_count(a[2] & b[2]).sum()) + self._more(a[2] & b[2])
-        return shared * (100 + self.percent) >= self.percent * (a[3] + b[3])
-
-    @staticmethod
-    def _more(both: np.ndarray) -> int:
-        """Shingles beyond the planes: a bucket full in both may hide any number; counted generously."""
-        full = int(np.bitwise_count(both[3 * len(both) // 4 :]).sum())
-        return full * 1_000_000 if full else 0
+        return a.overlap(b) * (100 + self.percent) >= self.percent * (a.low + b.low)
 
     def solve(self) -> list[tuple[int, int]]:
         """Spanning links, as pairs of the given members' positions."""
-        stack = [(self.nodes[-1][0], self.nodes[-1][0])]
+        stack = [(self.levels[-1][0], self.levels[-1][0])]
         while stack:
             a, b = stack.pop()
-            if self.uniform(a) and (a is b or (self.uniform(b) and self.find(a[0]) == self.find(b[0]))):
+            if self.uniform(a) and (a is b or (self.uniform(b) and self.find(a.first) == self.find(b.first))):
                 continue
             if a is not b and not self.possible(a, b):
                 continue
-            if a[5] is None and b[5] is None:
+            if a.below is None and b.below is None:
                 self._leaves(a, b)
             elif a is b:
-                stack += [(x, y) for i, x in enumerate(a[5]) for y in a[5][i + 1 :]]
-                stack += [(x, x) for x in a[5]]  # on top: what is alike is tied first
-            elif b[5] is None or (a[5] is not None and a[1] - a[0] >= b[1] - b[0]):
-                stack += [(x, b) for x in a[5]]
+                stack += [(x, y) for i, x in enumerate(a.below) for y in a.below[i + 1 :]]
+                stack += [(x, x) for x in a.below]  # on top: what is alike is tied first
+            elif b.below is None or (a.below is not None and a.end - a.first >= b.end - b.first):
+                stack += [(x, b) for x in a.below]
             else:
-                stack += [(a, y) for y in b[5]]
+                stack += [(a, y) for y in b.below]
         return [(self.order[i], self.order[j]) for i, j in self.links]
 
-    def _leaves(self, a, b) -> None:
-        for i in range(a[0], a[1]):
+    def _leaves(self, a: Node, b: Node) -> None:
+        for i in range(a.first, a.end):
             x, n = self.members[i], int(self.size[i])
-            first = i + 1 if a is b else b[0]
-            if first >= b[1]:
+            first = i + 1 if a is b else b.first
+            if first >= b.end:
                 continue
-            size = self.size[first : b[1]]
-            both = self.bitmap[first : b[1]] & self.bitmap[i]
-            shared = np.bitwise_count(both).sum(1)
-            full = np.bitwise_count(both[:, 3 * both.shape[1] // 4 :]).sum(1) > 0
-            can = (100 * size >= self.percent * n) & (100 * n >= self.percent * size) & (full | (shared * (100 + self.percent) >= self.percent * (size + n)))
+            size = self.size[first : b.end]
+            can = (100 * size >= self.percent * n) & (100 * n >= self.percent * size)
             for j in (np.flatnonzero(can) + first).tolist():
                 p, q = self.find(i), self.find(j)
                 if p != q and linked(x, self.members[j], self.percent):
@@ -416,9 +501,11 @@ def _links(tiled: DataFrame, percent: int, buckets: int) -> DataFrame:
 
 
 def _relabelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with their label replaced by the smallest of the component that the edges make."""
+    """Nodes with their label replaced by the smallest of the component that the edges make; a table."""
     found = components(edges.union(nodes.where("label <> node").select(F.col("node").alias("a"), F.col("label").alias("b"))))
-    return nodes.drop("label").join(found.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    out = stored(nodes.drop("label").join(found.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    forget(nodes.sparkSession, found)
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text", tile: int = TILE) -> DataFrame:
@@ -428,10 +515,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType
-    named = cut(rows.mapInArrow(_named(k, to_arrow_type(kind)), f"key {kind.simpleString()}, node long, n long, sketch binary"))
-    bounds = classes(int(named.agg(F.max("n")).first()[0] or 0))
-    routed = rows.select("text").mapInArrow(_routed(k, percent, bounds), "sig long, node long")
-    forests = cut(components(_ties(routed, named, percent)).select("node", F.col("root").alias("forest")))
+    named = stored(rows.mapInArrow(_named(k, to_arrow_type(kind)), f"key {kind.simpleString()}, node long, n long, sketch binary"))
+    forests = _ties(rows.select("text"), named, k, percent, tile)
     named = named.drop("sketch")
     label = _labels(rows, named, forests, k, percent, tile)
 
@@ -443,37 +528,31 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "
 
 def _labels(rows: DataFrame, named: DataFrame, forests: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
     """``node, label`` of nodes in a forest: label is the smallest node of the component."""
+    spark = rows.sparkSession
     sizes = named.where("node is not null").groupBy("node").agg(F.max("n").alias("n"))
-    sized = cut(forests.join(sizes, "node"))
+    sized = forests.join(sizes, "node")
     total = sized.groupBy("forest").agg(F.sum("n").alias("weight")).withColumn("chunks", F.ceil(F.col("weight") / tile).cast("long"))
-    facts = total.agg(F.max("chunks"), F.sum("weight")).first()
+    now = stored(sized.join(total, "forest").select("node", "forest", "chunks", F.col("node").alias("label"), "n"))
+    facts = now.agg(F.max("chunks"), F.sum("n")).first()
+    now = now.drop("n")
     if facts[0] is None:
-        return forests.select("node", F.col("node").alias("label"))
+        return now.select("node", "label")
     buckets = parts_for(facts[1], tile / 2)
-    sent = rows.select("text").mapInArrow(_sent(k, _filter(forests)), "node long, shingles binary")
-    small = sized.join(total, "forest").select("node", "forest", "chunks", F.col("node").alias("label"))
-    tiled = small.withColumn("i", F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("node"), F.col("chunks"))).otherwise(F.lit(0))).withColumn("j", F.col("i"))
+    sent = rows.select("text").mapInArrow(_sent(k, _filter(forests, "node")), "node long, shingles binary")
     if facts[0] == 1:
-        return _relabelled(small, _links(tiled.select("forest", "i", "j", "label", "node").join(sent, "node"), percent, buckets)).select("node", "label")
+        tiled = now.select("forest", F.lit(0).alias("i"), F.lit(0).alias("j"), "label", "node")
+        return _relabelled(now, _links(tiled.join(sent, "node"), percent, buckets)).select("node", "label")
 
-    held = cut(sent.join(small.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    now = small
+    held = stored(sent.join(forests.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     for turn in range(2):  # chunks alone, dealt differently
         own = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("node", F.lit(turn)), F.col("chunks"))).otherwise(F.lit(0))
         tiled = now.where(F.lit(turn == 0) | (F.col("chunks") > 1)).withColumn("i", own).withColumn("j", F.col("i"))
-        now = cut(_relabelled(now, _links(tiled.select("forest", "i", "j", "label", "node").join(held, "node"), percent, buckets)).select("node", "forest", "chunks", "label"))
-    big = now.where("chunks > 1")
-    share = big.groupBy("forest", "label").agg(F.count(F.lit(1)).alias("c"))
-    most = share.groupBy("forest").agg(F.max(F.struct("c", "label")).alias("m")).select("forest", F.col("m.label").alias("main"))
-    split = big.join(most, "forest").withColumn("side", (F.col("label") == F.col("main")).cast("int"))
-    chunk = split.withColumn("at", F.pmod(F.xxhash64("node"), F.col("chunks")) * 2 + F.col("side"))
-    ids = chunk.groupBy("forest", "side", "at").agg(F.count(F.lit(1)).alias("c"))
-    outside = ids.where("side = 0").select("forest", F.col("at").alias("i"))
-    pairs = outside.join(ids.select("forest", F.col("at").alias("j"), F.col("side").alias("s")), "forest").where("s = 1 or j >= i").select("forest", "i", "j")
-    ends = pairs.select("forest", "i", "j", F.col("i").alias("at")).union(pairs.where("i <> j").select("forest", "i", "j", F.col("j").alias("at")))
-    tiled = ends.join(chunk, ["forest", "at"]).select("forest", "i", "j", "label", "node")
-    rest = _links(tiled.join(held, "node"), percent, buckets)
-    return _relabelled(now, rest).select("node", "label")
+        after = _relabelled(now, _links(tiled.select("forest", "i", "j", "label", "node").join(held, "node"), percent, buckets))
+        forget(spark, now)
+        now = after
+    out = _relabelled(now, _links(_against(now.where("chunks > 1")).join(held, "node"), percent, buckets))
+    forget(spark, now, held)
+    return out.select("node", "label")
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -44,21 +44,23 @@ def stored(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def forget(spark: SparkSession, path: str) -> None:
-    """Removes a table that ``stored`` wrote."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def forget(spark: SparkSession, *tables: DataFrame) -> None:
+    """Removes tables that ``stored`` wrote, where no plan reads them any more."""
+    for table in tables:
+        files = table.inputFiles()
+        if files:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextmanager
 def held(frame: DataFrame) -> Iterator[DataFrame]:
     """The frame written as a table, which is there inside the block only."""
-    path = f"{shared_dir(frame.sparkSession)}/{uuid.uuid4().hex}"
+    table = stored(frame)
     try:
-        frame.write.parquet(path)
-        yield frame.sparkSession.read.schema(frame.schema).parquet(path)
+        yield table
     finally:
-        forget(frame.sparkSession, path)
+        forget(frame.sparkSession, table)
 
 
 def parts_for(total: float, each: float, least: int = 1) -> int:

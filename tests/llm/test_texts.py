@@ -76,7 +76,7 @@ def test_substrings(docs, k, block, cells):
     assert {r["n_chars"]: (r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in got} == want and len(got) == len(rows)
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     r = random.Random(3)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)] + [(7, 7)]
     up = {}
@@ -93,6 +93,8 @@ def test_components(spark):
     got = {x["node"]: x["root"] for x in graphs.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in up}
     assert graphs.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    monkeypatch.setattr(graphs, "ONE_TASK", 10)  # by rounds of joins
+    assert {x["node"]: x["root"] for x in graphs.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()} == got
 
 
 def brute_components(rows, k, percent):
@@ -172,6 +174,49 @@ def test_forest_bound():
             assert find(a) == find(b)
 
 
+def test_forest_prunes():
+    """Of unrelated sets all pairs of leaves' nodes are pruned, and most of the nodes above these."""
+    r = np.random.default_rng(4)
+    for n in (12, 200, 2000, 15_000):
+        sets = [np.unique(r.integers(0, 2**64, n, dtype=np.uint64)) for _ in range(256 if n < 10_000 else 64)]
+        forest = jaccard.Forest(sets, list(range(len(sets))), 85)
+        share = [1 - np.mean([forest.possible(a, b) for a, b in combinations(level, 2)]) for level in forest.levels[:2]]
+        assert share[0] > 0.99 and share[1] > 0.9, (n, share)
+    # alike sets stand together: of 64 groups of copies only nodes that share one are looked into
+    groups = [np.unique(r.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(64)]
+    sets = [np.sort(np.concatenate([g[: 300 - i], r.integers(0, 2**64, i, dtype=np.uint64)])) for g in groups for i in range(8)]
+    forest = jaccard.Forest(sets, list(range(len(sets))), 85)
+    assert np.mean([forest.possible(a, b) for a, b in combinations(forest.levels[0], 2)]) < 0.05
+    assert len(forest.solve()) == 64 * 7
+
+
+def test_overlap_bound():
+    """No two sets below two nodes share more than the nodes' bound."""
+    r = random.Random(6)
+    pool = [r.getrandbits(64) for _ in range(900)]
+    sets = [np.unique(np.array(r.sample(pool, r.randrange(1, 300)), np.uint64)) for _ in range(64)]
+    for each in (1, 2, 16):
+        a, b, c = jaccard.Node(sets, 0, 8, each), jaccard.Node(sets, 8, 40, each), jaccard.Node(sets, 40, 41, each)
+        for x, y in combinations((a, b, c), 2):
+            most = max(len(np.intersect1d(sets[i], sets[j])) for i in range(x.first, x.end) for j in range(y.first, y.end))
+            assert x.overlap(y) >= most and y.overlap(x) == x.overlap(y)
+
+
+def test_jaccard_shared_passages(spark):
+    """Unrelated texts that share a frequent passage, and near copies among them, small tiles: nothing is lost."""
+    r = random.Random(12)
+    passage = prose(4000, 45)
+    rows = []
+    for i in range(60):
+        body = f"{prose(5000 + i, r.randrange(20, 90))} {passage} {prose(6000 + i, r.randrange(20, 90))}"
+        rows += [(10 * i, body)] + [(10 * i + j, edited(body, 0.02, 7 * i + j)) for j in range(1, 1 + i % 3)]
+    rows += [(2000 + i, f"{passage} {prose(7000 + i, r.randrange(1, 6))}") for i in range(40)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for tile in (jaccard.TILE, 500):
+        got = jaccard.near_duplicates(made, tile=tile).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got), key=str) == brute_components(rows, 4, 85)
+
+
 def brute_align(item, text):
     h = [[0] * (len(text) + 1) for _ in range(len(item) + 1)]
     for i, a in enumerate(item, 1):
