@@ -31,23 +31,12 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, up
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a task, as many at a time as one task may hold, tied to stars; what they connect stays the same."""
-    held, n = [], 0
-
-    def tied() -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        nodes, up = roots(table.column("u").to_numpy(), table.column("v").to_numpy())
-        leaf = np.flatnonzero(up != np.arange(len(up)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[up[leaf]])], names=["u", "v"])
-
-    for batch in batches:
-        held, n = [*held, batch], n + batch.num_rows
-        if n >= ONE_TASK:
-            yield tied()
-            held, n = [], 0
-    if n:
-        yield tied()
+def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a task tied to stars."""
+    table = pa.Table.from_batches(batches, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    nodes, up = roots(table.column("u").to_numpy(), table.column("v").to_numpy())
+    leaf = np.flatnonzero(up != np.arange(len(up)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[up[leaf]])], names=["u", "v"])
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -69,15 +58,14 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for each node of ``edges`` (a, b): root is the component's smallest node. The result is a table
     in the shared folder.
 
-    Tasks first tie the edges that they read to stars. What is left is tied by one task if it is at most ONE_TASK edges,
-    which is looked up before; else by rounds that tie a node's larger neighbours to its smallest one, then its smaller
-    ones. Both give the same rows. A round's edges are a table that goes once the next one is there; its work is by joins
+    At most ONE_TASK edges, which are counted before, are tied by one task; more are tied by rounds that tie a node's
+    larger neighbours to its smallest one, then its smaller ones. Both give the same rows. A round's edges are a table that goes once the next one is there; its work is by joins
     and minima over edges, and no component is ever gathered."""
     spark = edges.sparkSession
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = stored(pairs.where("u <> v").mapInArrow(_stars, "u long, v long"))
+    now = stored(pairs.where("u <> v"))
     if now.count() <= ONE_TASK:
-        settled = stored(now.coalesce(1).mapInArrow(_stars, "u long, v long"))
+        settled = stored(now.coalesce(1).mapInArrow(_tied, "u long, v long"))
         forget(spark, now)
     else:
         before = None

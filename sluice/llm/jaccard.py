@@ -10,8 +10,10 @@ from any partner agrees with each partner in ``r = e - d`` of them at least, so
 keys. A set sends those of its own class and of the next ones that it can link into. Where r is below 1 (small sets by
 chance), it also sends its ``n - ceil(t n) + 1`` smallest hashes: two such sets that link share one of those.
 
-Keys of passages that unrelated texts share would tie those to one forest. So a set leaves out its r - 1 most frequent
-keys: the rarest of the r keys that two linked sets share is never among them, on either side. What is left is tested
+Of the r keys that two linked sets share, one is enough. If both leave out their s keys that come first in one order of
+all keys, r - s shared ones stay on both sides. So a set never sends the s smallest of its keys, two thirds of r - 1.
+Of what it sends it then leaves out the r - 1 - s most frequent keys, since keys of passages that unrelated texts share
+would tie those to one forest; the rarest key that two linked sets share is never among them. What is left is tested
 by a bound: counts of shingles by hash range differ in sum at most by what the sets differ in. Members of a key's group
 that pass against its smallest node are tied to it. Groups in which a member fails, and whose members aren't connected
 by ties of other keys, are tied pair by pair, by the same bound, in tiles of bounded size. A forest is what ties connect.
@@ -91,8 +93,8 @@ def parts(low: int, high: int, percent: int) -> int:
 
 
 def keys(shingles: np.ndarray, percent: int, bounds: list[int], cut: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Routing keys of a set, given as its sorted hashes, and for each key its list: the class, times 2**24, plus how many
-    of the list's most frequent keys may be left out. cut: the number of parts of each class."""
+    """Routing keys that a set sends, given as its sorted hashes, and for each key its list: the class, times 2**24, plus
+    how many of the list's most frequent keys may be left out. cut: the number of parts of each class."""
     n = len(shingles)
     c = int(np.searchsorted(bounds, n))
     out, lists = [], []
@@ -101,11 +103,16 @@ def keys(shingles: np.ndarray, percent: int, bounds: list[int], cut: list[int])
         part = ((shingles >> _U(32)) * _U(cut[c])) >> _U(32)
         first = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1])
         content = np.add.reduceat(mix(shingles + _U(7)), first)
-        out.append(mix(content + part[first] * _U(0x9E3779B97F4A7C15) + tag))
+        found = mix(content + part[first] * _U(0x9E3779B97F4A7C15) + tag)
         agree = len(first) - differ(n, min(bounds[c], 100 * n // percent), percent)
+        spare = max(agree, 1) - 1
+        unsent = min(2 * spare // 3, len(found) - 1)
+        if unsent:
+            found = np.partition(found, unsent)[unsent:]
         if agree < 1:
-            out.append(mix(shingles[: n - need(n, percent) + 1] + tag + _U(1)))
-        lists += [(c << 24) + min(max(agree, 1) - 1, (1 << 24) - 1)] * sum(map(len, out[len(out) - (1 if agree >= 1 else 2) :]))
+            found = np.concatenate([found, mix(shingles[: n - need(n, percent) + 1] + tag + _U(1))])
+        out.append(found)
+        lists += [(c << 24) + min(spare - unsent, (1 << 24) - 1)] * len(found)
         c += 1
     return np.concatenate(out), np.array(lists, np.int32)
 

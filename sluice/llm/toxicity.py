@@ -121,7 +121,8 @@ def _taken(counts: list, other: list, base: list[float]) -> list:
 
 def count_models(labelled: DataFrame) -> Model:
     """The models of rows ``text, y``."""
-    triples = labelled.select("text", "y").mapInArrow(_contexts, "y int, t long, b long").distinct()
+    triples = labelled.select("text", "y").mapInArrow(_contexts, "y int, t long, b long")
+    triples = triples.repartition("y", "t", "b").distinct()  # a task's own repeats are gone already: no map-side tables
     counts = triples.groupBy("b").agg(F.sum(1 - F.col("y")).cast("int").alias("n0"), F.sum("y").cast("int").alias("n1"))
     split = [F.floor(F.col("b") / BINS).cast("int").alias("h"), (F.col("b") % BINS).cast("int").alias("w")]
     with held(counts.select("b", *split, "n0", "n1")) as bigrams:
