@@ -50,7 +50,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def plain_of(text: Column) -> Column:
     """The lower-cased (A-Z) runs of letters, digits and non-ASCII characters, joined by one space."""
     spaced = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    return F.regexp_replace(spaced, "^ | $", "")
+    return F.regexp_replace(spaced, r"^ | \z", "")  # \z: "$" also stands before a final U+0085, U+2028 or U+2029, which are word characters
 
 
 def words_of(plain: Column) -> Column:
