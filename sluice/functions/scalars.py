@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,10 +79,7 @@ def json_text(text: Column, *path: str) -> Column:
 def tokenized(text: Column, key: str) -> Column:
     """A keyed deterministic token (HMAC-SHA256, hex); null stays null."""
     secret = key.encode()
-
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: hmac.new(secret, t.encode(), hashlib.sha256).hexdigest(), na_action="ignore")
-
-    return run(text)
+    block = (hashlib.sha256(secret).digest() if len(secret) > 64 else secret).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    within = F.sha2(F.concat(inner, F.encode(text, "UTF-8")), 256)
+    return F.sha2(F.concat(outer, F.unhex(within)), 256)

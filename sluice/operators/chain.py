@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -38,6 +39,8 @@ def apply(operators: list[Operator], frame: DataFrame, observed: bool = False) -
     """Applies the operators in order. Kept and rejected rows read one lineage twice: persist the input, or write both
     in one batch, where it can't be read again."""
     derive_schema(operators, frame.schema)
+    if "_cdc.op" in frame.columns and any(op.kind == "filter" for op in operators):
+        warnings.warn("a filter over change rows also drops deletes whose row it doesn't keep; the destination keeps those rows", stacklevel=2)
     counters: dict[str, Observation] = {}
 
     def watch(now: DataFrame, name: str) -> DataFrame:

@@ -320,6 +320,27 @@ class Enrich(Operator):
         return frame.join(side, on, "left").drop(*keys.values())
 
 
+@dataclass(frozen=True)
+class Union(Operator):
+    """Fan-in: the rows of another branch or table after the chain's own, by column names; a column that one side lacks
+    is null there. Equal rows all stay."""
+
+    kind = "union"
+    reference: DataFrame
+
+    def derive(self, schema):
+        have = set(schema.fieldNames())
+        for f in self.reference.schema:
+            if f.name in have and schema[f.name].dataType != f.dataType:
+                raise TransformError(f"column {f.name!r} is {schema[f.name].dataType.simpleString()} here and {f.dataType.simpleString()} there")
+        both = set(self.reference.columns)
+        here = [T.StructField(f.name, f.dataType, f.nullable or f.name not in both or self.reference.schema[f.name].nullable) for f in schema]
+        return T.StructType([*here, *[T.StructField(f.name, f.dataType, True) for f in self.reference.schema if f.name not in have]])
+
+    def apply(self, frame):
+        return frame.unionByName(self.reference, allowMissingColumns=True)
+
+
 @dataclass(frozen=True)
 class Dedupe(Operator):
     """One row for each key: ``any``, or the first or last by a column; ``within`` narrows the scope (a batch id)."""
@@ -490,4 +511,4 @@ class Virtual(Operator):
         return frame
 
 
-OPERATORS = {c.kind: c for c in (Select, Filter, Mask, AddColumn, Validate, ScalarUdf, Project, Rename, Cast, Dedupe, Flatten, Unnest, Split, Aggregate, Virtual)}
+OPERATORS = {c.kind: c for c in (Select, Filter, Mask, AddColumn, Validate, ScalarUdf, Project, Rename, Cast, Enrich, Union, Dedupe, Flatten, Unnest, Split, Aggregate, Virtual)}

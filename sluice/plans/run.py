@@ -56,9 +56,14 @@ class Pipeline:
     threshold: float | None = 0.01
     fail_on_any: bool = False
 
+    def __post_init__(self):
+        if getattr(self.sink, "order", None) == ():  # of rows with one key in a batch the last one counts
+            self.sink.order = (self.scan.cursor,)
+
     def run(self, table: DataFrame, run_id: str, attempts: int = 5, wait: float = 1.0) -> Summary:
-        """Runs until the source has no more rows. Loads are known by run and batch, so a run that failed and comes
-        again under its id loads nothing twice."""
+        """Runs until the source has no more rows. Loads are known by run and batch. A run that failed and comes again
+        under its id goes on after the batches behind its position, and reads the batch that it was at up to the same
+        bound, so nothing is loaded twice and nothing is passed over."""
         if self.store.get(f"tenants/{self.tenant}", {}).get("status") == "suspended":
             raise RunFailed(f"tenant {self.tenant} is suspended")
         out = Summary(run_id, "running")
@@ -82,9 +87,13 @@ class Pipeline:
         version = Recorder(self.store, f"{self.name}/{self.stream}").resolve(derived, self.policy)
         out.schema_version = version.version
         positions = Positions(self.store)
+        out.batches = positions.batches(self.name, self.stream, out.run)
+        self._without(table, out, version.struct(), attempts, wait)
         while True:
             position = positions.get(self.name, self.stream)
-            page = self.scan.page(table, position, self.batch_size).persist(StorageLevel.MEMORY_AND_DISK)
+            begun = self.store.get(f"pending/{self.name}/{self.stream}")
+            upto = Cursor(*begun["upto"]) if begun and (begun["run"], begun["batch"]) == (out.run, out.batches) else None
+            page = self.scan.page(table, position, self.batch_size, upto).persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 n = page.count()
                 at = self.scan.position(page) if n else None
@@ -93,22 +102,39 @@ class Pipeline:
                     from ..sources.cursor import literal
 
                     stale = page.where(F.col(f"`{self.scan.cursor}`") == literal(position, table.schema[self.scan.cursor])).count()
-                if n == stale and position:  # nothing but the boundary, which was loaded before
+                if n == stale and position and upto is None:  # nothing but the boundary, which was loaded before
                     return
-                if n:
-                    self._load(page, out, version.struct(), n, attempts, wait)
+                if at or upto:
+                    at = upto or at
+                    self.store.put(f"pending/{self.name}/{self.stream}", {"run": out.run, "batch": out.batches, "upto": [at.kind, at.value]})
+                    if n:
+                        self._load(page, out, version.struct(), n, attempts, wait)
                     out.read, out.overlap, out.batches = out.read + n, out.overlap + stale, out.batches + 1
-                if at:
-                    positions.commit(self.name, self.stream, at)
+                    positions.commit(self.name, self.stream, at, run=out.run, batches=out.batches)
                     out.cursor = at.value
-                if n < self.batch_size or at is None:
+                if n < self.batch_size and upto is None:
                     return
             finally:
                 page.unpersist()
 
-    def _load(self, page: DataFrame, out: Summary, schema, n: int, attempts: int, wait: float) -> None:
+    def _without(self, table: DataFrame, out: Summary, schema, attempts: int, wait: float) -> None:
+        """The rows without a cursor value, a batch of their own, once for each stream."""
+        place = f"without/{self.name}/{self.stream}"
+        if not table.schema[self.scan.cursor].nullable or self.store.get(place):
+            return
+        rows = self.scan.without(table).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n = rows.count()
+            if n:
+                self._load(rows, out, schema, n, attempts, wait, LoadId(self.tenant, self.name, f"{out.run}.without", 0, self.stream))
+                out.read += n
+            self.store.put(place, {"run": out.run, "rows": n})
+        finally:
+            rows.unpersist()
+
+    def _load(self, page: DataFrame, out: Summary, schema, n: int, attempts: int, wait: float, load: LoadId | None = None) -> None:
         applied = chain.apply(self.operators, page)
-        load = LoadId(self.tenant, self.name, out.run, out.batches, self.stream)
+        load = load or LoadId(self.tenant, self.name, out.run, out.batches, self.stream)
         for attempt in range(attempts):
             try:
                 rejected = 0

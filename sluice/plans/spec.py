@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 from ..operators.transforms import OPERATORS, Operator
 from .state import Store
 
@@ -44,7 +46,7 @@ def operators(steps: list[dict]) -> list[Operator]:
     """Operators of ``transform`` steps: ``{"kind"|"type": ..., parameters}``."""
     out = []
     for i, step in enumerate(steps):
-        step = dict(step)
+        step = {"on" if k is True else k: v for k, v in step.items()}  # YAML reads a bare "on" as true
         kind = step.pop("kind", None) or step.pop("type", None)
         if kind not in OPERATORS:
             raise SpecError(f"operator {i}: unknown kind {kind!r}")
@@ -53,6 +55,10 @@ def operators(steps: list[dict]) -> list[Operator]:
                 step[key] = tuple(value)
         if kind == "aggregate":
             step["measures"] = {k: tuple(v) for k, v in step.get("measures", {}).items()}
+        if kind in ("enrich", "union") and isinstance(step.get("reference"), str):  # a table, or the folder of one
+            spark = SparkSession.active()
+            at = step["reference"]
+            step["reference"] = spark.read.parquet(at) if "/" in at else spark.table(at)
         try:
             out.append(OPERATORS[kind](**step))
         except TypeError as e:

@@ -11,9 +11,11 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from .state import Files
+
 
 class Refused(ValueError):
     pass
@@ -27,26 +29,53 @@ class Bounds:
 
 #: Functions that give something else each time, or say who asks.
 VARYING = ("now", "current_timestamp", "current_date", "localtimestamp", "current_time", "rand", "random", "randn", "uuid", "shuffle", "current_user", "user", "session_user", "current_catalog", "current_database", "current_schema", "monotonically_increasing_id", "spark_partition_id", "input_file_name", "java_method", "reflect")
+_LITERAL = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", re.DOTALL)
 _STATEMENT = re.compile(r"^\s*(\(|select\b|with\b|values\b|from\b)", re.IGNORECASE)
 
 
 def _code(text: str) -> str:
     """The statement with the insides of literals and comments blanked, for looking at its words."""
     blank = lambda m: m.group(0)[0] + " " * (len(m.group(0)) - 2) + m.group(0)[-1] if m.group(0)[0] in "'\"`" else " " * len(m.group(0))
-    return re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", blank, text, flags=re.DOTALL)
-
-
-def rewrite(text: str) -> str:
-    """``a ->> 'k'`` and ``a -> 'k'`` as paths, ``concat`` that skips nulls, ``regexp_matches``."""
-    arrow = re.compile(r"(\w+(?:\.\w+)?|get_json_object\((?:[^()']|'[^']*')*\))\s*->>?\s*'((?:[^']|'')*)'")
-    while arrow.search(text):
-        text = arrow.sub(lambda m: f"get_json_object({m.group(1)}, '$.{m.group(2)}')", text, count=1)
-    out, at = [], 0
-    code = _code(text)
-    for m in re.finditer(r"\b(concat|regexp_matches)\s*\(", code, re.IGNORECASE):
-        out += [text[at : m.start()], "concat_ws('', " if m.group(1).lower() == "concat" else "regexp_extract_all("]
-        at = m.end()
-    return "".join([*out, text[at:]])
+    return _LITERAL.sub(blank, text)
+
+
+def rewrite(text: str, texts: bool = True) -> str:
+    """``a ->> 'k'`` and ``a -> 'k'`` as paths, ``concat`` of texts that skips nulls, ``regexp_matches``. Works on the
+    statement's words: literals, quoted names and comments come back as they were."""
+    held: list[str] = []
+
+    def hide(m: re.Match) -> str:
+        held.append(m.group(0))
+        return f"\x01{len(held) - 1}\x02"
+
+    code = _LITERAL.sub(hide, text)
+    arrow = re.compile(r"((?:\w+|\x01\d+\x02)(?:\.(?:\w+|\x01\d+\x02))?|get_json_object\([^()]*(?:\([^()]*\)[^()]*)*\))\s*->>?\s*\x01(\d+)\x02")
+    while m := arrow.search(code):
+        key = held[int(m.group(2))]
+        if key[0] != "'":
+            raise Refused(f"a key in quotes is needed after the arrow, not {key}")
+        held.append(f"'$.{key[1:-1]}'" if re.fullmatch(r"'\w+'", key) else f"'$[\\'{key[1:-1]}\\']'")
+        code = f"{code[: m.start()]}get_json_object({m.group(1)}, \x01{len(held) - 1}\x02){code[m.end() :]}"
+    code = re.sub(r"\bregexp_matches\s*\(", "regexp_extract_all(", code, flags=re.IGNORECASE)
+    if texts:
+        code = re.sub(r"\bconcat\s*\(", "concat_ws('', ", code, flags=re.IGNORECASE)
+    return re.sub(r"\x01(\d+)\x02", lambda m: held[int(m.group(1))], code)
+
+
+def _concat_of(spark: SparkSession, text: str) -> set[str]:
+    """The types that the statement's calls of ``concat`` give, as Spark has them."""
+    if not re.search(r"\bconcat\s*\(", _code(text), re.IGNORECASE):
+        return set()
+    plan = spark.sql(rewrite(text, texts=False))._jdf.queryExecution().analyzed()
+    found, rest = set(), []
+    for node, _ in _nodes(plan):
+        rest += [node.expressions().apply(i) for i in range(node.expressions().size())]
+    while rest:
+        e = rest.pop()
+        if e.getClass().getSimpleName() == "Concat":
+            found.add("text" if e.dataType().catalogString() == "string" else "other")
+        rest += [e.children().apply(i) for i in range(e.children().size())]
+    return found
 
 
 def _nodes(plan):
@@ -82,7 +111,10 @@ def validate(spark: SparkSession, text: str, tables: set[str] | None = None) ->
         bare = name.startswith(("current_", "localt", "session_", "user"))
         if re.search(rf"\b{name}\b\s*\(" if not bare else rf"(?<![.\w]){name}\b(?!\s*\.)", code, re.IGNORECASE):
             raise Refused(f"{name} isn't deterministic")
-    frame = spark.sql(rewrite(text))
+    kinds = _concat_of(spark, text)
+    if len(kinds) > 1:
+        raise Refused("concat of texts and of other values in one query")
+    frame = spark.sql(rewrite(text, kinds != {"other"}))
     plan = frame._jdf.queryExecution().analyzed()
     for node, kind in _nodes(plan):
         if kind in ("UnionLoop", "UnionLoopRef") or kind == "CTERelationRef" and node.recursive():
@@ -112,11 +144,33 @@ def explain(frame: DataFrame) -> str:
     return frame._jdf.queryExecution().explainString(frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
 
-def bounded(frame: DataFrame, bounds: Bounds) -> DataFrame:
-    """The rows, failing beyond the output bound. The count is each task's own share plus a total at the end, so no
-    row goes to one task for it."""
+class TooMany(RuntimeError):
+    """A query beyond its bounds."""
+
+
+def scanned(frame: DataFrame) -> int:
+    """Rows of the tables that the query reads, before any filter; of Parquet tables their footers say how many."""
+    classic = frame.sparkSession._jvm.org.apache.spark.sql.classic.Dataset
+    leaves = [node for node, kind in _nodes(frame._jdf.queryExecution().analyzed()) if kind != "CTERelationRef" and not node.children().size() and node.output().size()]
+    return sum(classic.ofRows(frame.sparkSession._jsparkSession, leaf).count() for leaf in leaves)
+
+
+def bounded(frame: DataFrame, bounds: Bounds, path: str) -> DataFrame:
+    """The query's rows, written to a new table at ``path`` and read from there; fails beyond a bound.
+
+    Rows scanned are counted before the query runs. Rows out are counted by the tasks that write them, and each task
+    stops by itself at the bound, so a query far beyond it doesn't fill the folder; a result beyond it is removed."""
+    read = scanned(frame)
+    if read > bounds.rows_scanned:
+        raise TooMany(f"it reads {read} rows; the bound is {bounds.rows_scanned}")
+    spark = frame.sparkSession
     seen = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return frame.where(F.when(seen < F.lit(bounds.rows_out), True).otherwise(F.raise_error(F.lit("too many rows")).cast("boolean")))
+    count = Observation()
+    frame.where(seen <= F.lit(bounds.rows_out)).observe(count, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
+    if count.get["rows"] > bounds.rows_out:
+        Files(spark, path).remove("")
+        raise TooMany(f"it gives more than {bounds.rows_out} rows")
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 @dataclass

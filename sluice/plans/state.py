@@ -58,16 +58,26 @@ class Files:
 
 
 class Store:
-    """Documents by key."""
+    """Documents by key. Each write is a new numbered file, made by one rename; the last one counts, so a crash at any
+    point leaves the old or the new document. Of earlier ones the last is kept."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.files = Files(spark, f"{root.rstrip('/')}/_state")
 
+    def _held(self, key: str) -> list[int]:
+        return [int(n.removesuffix(".json")) for n in self.files.names(f"{key}.doc") if n.endswith(".json")]
+
     def get(self, key: str, default: Any = None) -> Any:
-        return json.loads(self.files.read(f"{key}.json")) if self.files.exists(f"{key}.json") else default
+        held = self._held(key)
+        return json.loads(self.files.read(f"{key}.doc/{held[-1]:012d}.json")) if held else default
 
     def put(self, key: str, value: Any) -> None:
-        self.files.write(f"{key}.json", json.dumps(value, sort_keys=True))
+        while True:
+            held = self._held(key)
+            if self.files.write(f"{key}.doc/{held[-1] + 1 if held else 1:012d}.json", json.dumps(value, sort_keys=True), replace=False):
+                break
+        for old in held[:-1]:
+            self.files.remove(f"{key}.doc/{old:012d}.json")
 
 
 CURSOR_KINDS = ("int64", "timestamp_tz", "lsn", "gtid", "snapshot_pk")
@@ -97,13 +107,19 @@ class Positions:
 
     def get(self, pipeline: str, stream: str) -> Cursor | None:
         held = self.store.get(f"positions/{pipeline}/{stream}")
-        return Cursor(**held) if held else None
+        return Cursor(held["kind"], held["value"]) if held else None
+
+    def batches(self, pipeline: str, stream: str, run: str) -> int:
+        """How many batches of a run are behind the position."""
+        held = self.store.get(f"positions/{pipeline}/{stream}")
+        return held["batches"] if held and held.get("run") == run else 0
 
-    def commit(self, pipeline: str, stream: str, cursor: Cursor, backwards: bool = False) -> None:
+    def commit(self, pipeline: str, stream: str, cursor: Cursor, backwards: bool = False, run: str | None = None, batches: int = 0) -> None:
+        """``run``, ``batches``: what a run has loaded up to here, kept in the same document."""
         held = self.get(pipeline, stream)
         if held and held.kind == cursor.kind and not backwards and _rank(cursor) < _rank(held):
             raise BackwardsCursor(f"{cursor.value} is before {held.value}")
-        self.store.put(f"positions/{pipeline}/{stream}", {"kind": cursor.kind, "value": cursor.value})
+        self.store.put(f"positions/{pipeline}/{stream}", {"kind": cursor.kind, "value": cursor.value, "run": run, "batches": batches})
 
 
 def _rank(cursor: Cursor) -> Any:

@@ -6,21 +6,29 @@ the tests.
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .functions import scalars
-from .operators import chain
-from .operators.transforms import AddColumn, Aggregate, Cast, Dedupe, Enrich, Filter, Flatten, Mask, Project, Rename, ScalarUdf, Select, Split, Unnest, Validate, Virtual
+from .functions import registry, scalars
+from .operators import chain, joins
+from .operators.transforms import AddColumn, Aggregate, Cast, Dedupe, Enrich, Filter, Flatten, Mask, Project, Rename, ScalarUdf, Select, Split, Union, Unnest, Validate, Virtual
 from .plans import audit, sqlmode
-from .plans.evolution import diff
+from .plans.evolution import POLICIES, decide, diff
+from .plans.run import Pipeline
+from .plans.state import Store
 from .sinks.base import LoadId
-from .sinks.keyed import KeyedTable
+from .sinks.files import BatchFolders, dead_letters, event_log
+from .sinks.keyed import KeyedTable, Routed
 from .sources import changes, cursor, readers
+from .sources.cursor import CursorScan
+from .sources.positions import GtidSet
 from .streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,9 +93,9 @@ def filter_in_strings(t):
     return kept(t.orders.select("o_orderkey", "o_orderstatus"), Filter("o_orderstatus IN ('F', 'P', NULL)", strict=True))
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE (p_size BETWEEN 10 AND 20 OR p_name LIKE '%1%') AND NOT p_partkey % 3 = 0 AND p_retailprice * 2 > 1800.5")
+@query("SELECT p_partkey, p_size FROM part WHERE (p_size BETWEEN 10 AND 20 OR p_name LIKE '%1%') AND NOT p_size % 3 = 0 AND p_retailprice * 2 > 1800.5")
 def filter_full_language(t):
-    return kept(t.part, Filter("(p_size BETWEEN 10 AND 20 OR p_name LIKE '%1%') AND NOT p_partkey % 3 = 0 AND p_retailprice * 2 > 1800.5"), Select(("p_partkey", "p_size")))
+    return kept(t.part, Filter("(p_size BETWEEN 10 AND 20 OR p_name LIKE '%1%') AND NOT p_size % 3 = 0 AND p_retailprice * 2 > 1800.5"), Select(("p_partkey", "p_size")))
 
 
 @query("SELECT c_custkey, sha256('pepper' || c_name) AS c_name FROM customer")
@@ -116,7 +124,11 @@ def mask_keep_last(t):
     return kept(t.customer.select("c_custkey", "c_name"), Mask("c_name", "redact", keep_last=4))
 
 
-@query()
+#: SHA-256's block with the key "a key", against the inner and the outer pad of HMAC.
+_PADS = [bytes(b ^ pad for b in b"a key".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+@query(f"SELECT c_custkey, sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || c_name::BLOB))) AS c_name FROM customer")
 def mask_tokenize(t):
     return kept(t.customer.select("c_custkey", "c_name"), Mask("c_name", "tokenize", key="a key"))
 
@@ -148,8 +160,9 @@ def validate_rejected(t):
 
 @query("SELECT count(*) FILTER (WHERE c_nationkey = 7)::BIGINT AS rejected, count(*)::BIGINT AS total, count(*) FILTER (WHERE c_nationkey = 7) / count(*) > 0.01 AS over FROM customer")
 def dead_letter_rate(t):
-    bad = F.count(F.when(~Validate(("id",)).passes(_people(t).schema), 1))
-    return _people(t).agg(bad.alias("rejected"), F.count(F.lit(1)).alias("total"), (bad / F.count(F.lit(1)) > 0.01).alias("over"))
+    out = chain.apply([Validate(("id",))], _people(t))
+    rejected, total = out.rejected.count(), t.customer.count()
+    return t.spark.createDataFrame([(rejected, total, chain.over_threshold(rejected, total))], "rejected long, total long, over boolean")
 
 
 @query("SELECT c_custkey, c_name, upper(c_name) AS loud FROM customer")
@@ -267,9 +280,14 @@ def snapshot_chunk(t):
     return cursor.snapshot_chunk(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey", 5000, 1000)
 
 
-def _shared(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where that is unset, a temporary one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-")
+def _folder(t: Tables) -> str:
+    """A new folder in the cluster's shared one; only where that is unset, in a temporary one."""
+    shared = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-")
+    return f"{shared}/tables-{uuid.uuid4().hex}"
+
+
+def _buckets(rows: DataFrame) -> int:
+    return max(4, -(-rows.count() // KEYED_ROWS))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey >= 5000 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders")
@@ -277,8 +295,7 @@ def keyed_upsert(t):
     """Two slices, the later one wins: what a keyed table holds after both loads."""
     first = t.orders.where("o_orderkey < 10000").select("o_orderkey", "o_totalprice")
     second = t.orders.where("o_orderkey >= 5000").select("o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"))
-    buckets = max(4, -(-t.orders.count() // KEYED_ROWS))
-    table = KeyedTable(t.spark, f"{_shared(t.spark)}/keyed-{uuid.uuid4().hex}", ("o_orderkey",), buckets)
+    table = KeyedTable(t.spark, _folder(t), ("o_orderkey",), _buckets(t.orders))
     for batch, rows in enumerate((first, second)):
         table.load(LoadId("queries", "keyed_upsert", "orders", batch), rows)
     return table.read()
@@ -297,9 +314,212 @@ def cdc_apply_final_state(t):
     return changes.current_state(_log(t), ["id"])
 
 
-@query("SELECT CASE event_type WHEN 'error' THEN 'd' WHEN 'signup' THEN 'i' ELSE 'u' END AS op, count(*)::BIGINT AS n FROM events GROUP BY 1")
+@query("SELECT CASE event_type WHEN 'error' THEN 'd' WHEN 'signup' THEN 'i' ELSE 'u' END AS op, event_type = 'error' AS late, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def cdc_event_log(t):
-    return _log(t).groupBy(changes.meta("op").alias("op")).agg(F.count(F.lit(1)).alias("n"))
+    """All change rows go to the append-only log, in two batches, of which the second comes twice."""
+    sink, rows = event_log(_folder(t)), _log(t)
+    for batch, part in enumerate((rows.where(changes.meta("op") != "d"), rows.where(changes.meta("op") == "d"))):
+        for _ in range(1 + batch):
+            made = sink.load(LoadId("queries", "cdc_event_log", "r", batch), part)
+    logged = t.spark.read.parquet(made.path.rsplit("/", 1)[0])
+    return logged.groupBy(changes.meta("op").alias("op"), (F.col("batch") == 1).alias("late")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT user_id AS id, value FROM ({_LAST}) WHERE event_type <> 'error'")
+def cdc_keyed_table(t):
+    """The log applied to a keyed table in two batches, cut at a value of the sequence, the second one twice."""
+    table, log = KeyedTable(t.spark, _folder(t), ("id",), _buckets(t.events)), _log(t)
+    middle = t.events.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0]
+    for batch, part in ((0, changes.meta("seq") <= middle), (1, changes.meta("seq") > middle), (1, changes.meta("seq") > middle)):
+        table.load(LoadId("queries", "cdc", "r", batch), log.where(part))
+    return table.read()
+
+
+@query(f"SELECT user_id AS id, value, CASE WHEN event_type = 'error' THEN ts END AS deleted_at FROM ({_LAST.replace('event_id FROM', 'event_id, ts FROM')})")
+def cdc_keyed_soft_delete(t):
+    table = KeyedTable(t.spark, _folder(t), ("id",), _buckets(t.events), deletes="column")
+    table.load(LoadId("queries", "cdc", "r", 0), _log(t))
+    return table.read().select("id", "value", F.col("_deleted_at").cast("timestamp_ntz").alias("deleted_at"))
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def sink_batch_folders(t):
+    """A batch for each status; one of them comes again and replaces its folder."""
+    sink, rows = BatchFolders(_folder(t)), t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    states = sorted(r[0] for r in rows.select("o_orderstatus").distinct().collect())
+    for batch, state in [*enumerate(states), (0, states[0])]:
+        made = sink.load(LoadId("queries", "folders", "r", batch, "orders"), rows.where(F.col("o_orderstatus") == state))
+    return t.spark.read.parquet(made.path.rsplit("/", 1)[0]).drop("batch")
+
+
+@query("SELECT event_type AS stream, event_id, value FROM events")
+def sink_routed(t):
+    """Rows of several streams, each to its own table."""
+    sink = Routed(t.spark, _folder(t), keys=("event_id",), buckets=_buckets(t.events))
+    rows = t.events.select("event_id", "value", F.col("event_type").alias("_stream"))
+    loaded = sink.load_streams(LoadId("queries", "routed", "r", 0), rows)
+    return reduce(DataFrame.unionByName, [sink.of(s).read().select(F.lit(s).alias("stream"), "event_id", "value") for s in sorted(loaded)])
+
+
+@query("SELECT c_custkey, c_nationkey, 'kept' AS went FROM customer WHERE c_nationkey <> 7 UNION ALL SELECT c_custkey, c_nationkey, 'dead' FROM customer WHERE c_nationkey = 7")
+def sink_dead_letters(t):
+    sink, dead = BatchFolders(_folder(t)), dead_letters(_folder(t))
+    out = chain.apply([Validate(predicates=("c_nationkey <> 7",))], t.customer.select("c_custkey", "c_nationkey"))
+    load = LoadId("queries", "customers", "r", 0)
+    paths = {"kept": sink.load(load, out.kept).path, "dead": dead.load(load, out.rejected).path}
+    return reduce(DataFrame.unionByName, [t.spark.read.parquet(p).select("c_custkey", "c_nationkey", F.lit(k).alias("went")) for k, p in paths.items()])
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey < 12 THEN s_acctbal END AS s_acctbal, s_nationkey::BIGINT AS s_nationkey FROM supplier")
+def sink_evolution(t):
+    """A second batch adds a column and widens another; rows of the first have null in the new one."""
+    table = KeyedTable(t.spark, _folder(t), ("s_suppkey",), _buckets(t.supplier))
+    first = t.supplier.where("s_nationkey >= 12").select("s_suppkey", "s_nationkey")
+    second = t.supplier.where("s_nationkey < 12").select("s_suppkey", F.col("s_nationkey").cast("long").alias("s_nationkey"), "s_acctbal")
+    for batch, rows in enumerate((first, second)):
+        table.load(LoadId("queries", "evolution", "r", batch), rows)
+    return table.read()
+
+
+@query("SELECT max(o_orderkey) AS o_orderkey, o_custkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY o_custkey")
+def upsert_repeated_keys(t):
+    """A batch that has a key many times leaves its last row."""
+    table = KeyedTable(t.spark, _folder(t), ("o_custkey",), _buckets(t.orders), order=("o_orderkey",))
+    table.load(LoadId("queries", "repeated", "r", 0), t.orders.select("o_orderkey", "o_custkey", "o_totalprice"))
+    return table.read()
+
+
+class _Failing(KeyedTable):
+    """Fails once, after its second batch is loaded and before anyone hears of it."""
+
+    failed = False
+
+    def load(self, load, batch):
+        done = super().load(load, batch)
+        if load.batch == 1 and not self.failed:
+            self.failed = True
+            raise OSError("the run ends here")
+        return done
+
+
+@query("SELECT o_orderkey, nullif(o_orderdate, TIMESTAMP '1995-01-02') AS o_orderdate, o_totalprice FROM orders")
+def run_after_crash(t):
+    """An incremental run in some eight batches that crashes in the second and comes again; one day's rows have no cursor
+    value. The destination only appends, so a row that is loaded twice or passed over shows."""
+    rows = t.orders.select("o_orderkey", F.nullif("o_orderdate", F.lit("1995-01-02").cast("timestamp_ntz")).alias("o_orderdate"), "o_totalprice")
+    at = _folder(t)
+    sink = _Failing(t.spark, f"{at}/table")
+    p = Pipeline(t.spark, Store(t.spark, at), "queries", "crash", "orders", CursorScan("o_orderdate", ("o_orderkey",), resume="strict"), sink, batch_size=max(1, t.orders.count() // 8))
+    try:
+        p.run(rows, "r", attempts=1)
+    except OSError:
+        p.run(rows, "r", attempts=1)
+    return sink.read()
+
+
+_RELATION = changes.Relation(7, "public", "items", [("id", 20, True), ("name", 25, False)])
+
+
+def _message(tag: str, form: str, *values) -> bytes:
+    return tag.encode() + struct.pack(">" + form, *values)
+
+
+def _cells(*values: str | None) -> bytes:
+    return struct.pack(">H", len(values)) + b"".join(b"n" if v is None else b"t" + struct.pack(">I", len(v.encode())) + v.encode() for v in values)
+
+
+def _items_log(t):
+    """A recorded log: two rows; then an update, a delete and an insert, each transaction with its commit."""
+    relation = _message("R", "I", 7) + b"public\0items\0d" + struct.pack(">H", 2) + b"\x01id\0" + struct.pack(">Ii", 20, -1) + b"\x00name\0" + struct.pack(">Ii", 25, -1)
+    row = lambda kind, *v: kind.encode() + _cells(*v)
+    begin, commit = lambda n: _message("B", "QqI", n, 0, n), lambda n: _message("C", "BQQq", 0, n, n, 0)
+    first = [begin(1), relation, _message("I", "I", 7) + row("N", "1", "a"), _message("I", "I", 7) + row("N", "2", "b"), commit(1)]
+    second = [begin(2), _message("U", "I", 7) + row("N", "1", "a-prime"), _message("D", "I", 7) + row("K", "2", None), _message("I", "I", 7) + row("N", "3", "c"), commit(2)]
+    log = t.spark.createDataFrame([(0, i, m) for i, m in enumerate([*first, *second])], "segment int, seq long, data binary")
+    return changes.decode_log(log, "items", changes.table_schema(_RELATION))
+
+
+@query("SELECT * FROM (VALUES ('i', 1::BIGINT, 'a', '0/1', 1::BIGINT), ('i', 2, 'b', '0/1', 1), ('u', 1, 'a-prime', '0/2', 2), ('d', 2, NULL, '0/2', 2), ('i', 3, 'c', '0/2', 2)) AS v(op, id, name, lsn, txid)")
+def cdc_decoded_log(t):
+    return _items_log(t).select(changes.meta("op").alias("op"), "id", "name", changes.meta("lsn").alias("lsn"), changes.meta("txid").alias("txid"))
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'a-prime'), (3, 'c')) AS v(id, name)")
+def cdc_decoded_state(t):
+    table = KeyedTable(t.spark, _folder(t), ("id",), 2)
+    table.load(LoadId("queries", "items", "r", 0), _items_log(t))
+    return table.read()
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'stream-1'), (2, 'snap-2'), (3, 'stream-3')) AS v(id, name)")
+def cdc_converge(t):
+    """Snapshot rows and log rows of the same keys in either batch: the log's count."""
+    rows = [("s", 1, "snap-1", -1), ("s", 2, "snap-2", -1), ("u", 1, "stream-1", 5), ("i", 3, "stream-3", 6)]
+    made = t.spark.createDataFrame([(i, n, op, "0/1", None, 1, q) for op, i, n, q in rows], "id long, name string, `_cdc.op` string, `_cdc.lsn` string, `_cdc.commit_ts` timestamp, `_cdc.txid` long, `_cdc.seq` long")
+    table = KeyedTable(t.spark, _folder(t), ("id",), 2)
+    for batch, op in enumerate((changes.meta("op") == "s", changes.meta("op") != "s")):
+        table.load(LoadId("queries", "items", "r", batch), made.where(op))
+    return table.read()
+
+
+@query("SELECT * FROM (VALUES ('u:1-10', 'u:11-20', 'u:1-20', false), ('u:1-10:15', 'v:3', 'u:1-10:15,v:3', false), ('u:1-10', 'u:3-4', 'u:1-10', true)) AS v(a, b, both_, holds)")
+def gtid_sets(t):
+    rows = [("u:1-10", "u:11-20"), ("u:1-10:15", "v:3"), ("u:1-10", "u:3-4")]
+    made = [(a, b, str(GtidSet.parse(a).union(GtidSet.parse(b))), str(GtidSet.parse(a).union(GtidSet.parse(b))) == a) for a, b in rows]
+    return t.spark.createDataFrame(made, "a string, b string, both_ string, holds boolean")
+
+
+@query("SELECT * FROM (VALUES ('strict', 'add', 'reject'), ('strict', 'drop', 'reject'), ('propagate_additive', 'add', 'accept'), ('propagate_additive', 'drop', 'reject'), ('freeze', 'add', 'retain_old'), ('freeze', 'drop', 'retain_old'), ('propagate_all', 'add', 'accept'), ('propagate_all', 'drop', 'accept')) AS v(policy, what, action)")
+def schema_policies(t):
+    held = t.supplier.schema
+    new = {"add": T.StructType([*held.fields, T.StructField("s_rating", T.DoubleType())]), "drop": t.supplier.drop("s_acctbal").schema}
+    rows = [(p, what, decide(diff(held, s), p).action) for p in POLICIES for what, s in new.items()]
+    return t.spark.createDataFrame(rows, "policy string, what string, action string")
+
+
+@query("SELECT n_regionkey::VARCHAR AS tenant, false AS is_broken, count(*)::BIGINT AS n FROM nation GROUP BY 1")
+def audit_chain(t):
+    """A chain for each region over its nations; of a sound chain no row is broken."""
+    held = {}
+    for r in t.nation.orderBy("n_nationkey").collect():  # a table of fixed size
+        held.setdefault(str(r["n_regionkey"]), []).append({"id": r["n_nationkey"], "what": r["n_name"]})
+    rows = [(k, e["id"], e["body"], e["prev_hash"], e["hash"]) for k, v in held.items() for e in audit.chained(v)]
+    log = t.spark.createDataFrame(rows, "tenant string, id long, body string, prev_hash string, hash string")
+    return log.join(audit.broken(log).select("tenant", "id", F.lit(True).alias("bad")), ["tenant", "id"], "left").groupBy("tenant", F.coalesce("bad", F.lit(False)).alias("is_broken")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, upper(event_type) AS event_type, value * 2 AS value FROM events WHERE value > 10")
+def udf_batch(t):
+    """A registered function of batches that drops rows and changes cells."""
+
+    def louder(batches):
+        for b in batches:
+            b = b[b["value"] > 10]
+            yield b.assign(event_type=b["event_type"].str.upper(), value=b["value"] * 2)
+
+    registry.register_batch("louder@1.0.0", louder, registry.schema_rule("identity"))
+    return registry.apply_batch("louder@1.0.0", t.events.select("event_id", "event_type", "value"))
+
+
+@query("SELECT event_type, round(max(value) - min(value), 6) AS spread FROM events GROUP BY 1")
+def udf_aggregate(t):
+    spread = registry.aggregate(lambda v: float(v.max() - v.min()))
+    return t.events.groupBy("event_type").agg(spread(F.col("value")).alias("spread")).withColumn("spread", F.round("spread", 6))
+
+
+@query("SELECT event_id, ts < TIMESTAMP '2024-01-15' AS late FROM events")
+def window_late_rows(t):
+    """Rows before a watermark go to a side output."""
+    rows = windows.event_time(t.events.select("event_id", "ts"), "ts")
+    there, late = windows.late_rows(rows, "ts", "2024-01-15 00:00:00")
+    return there.select("event_id", F.lit(False).alias("late")).unionAll(late.select("event_id", F.lit(True).alias("late")))
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, NULL::INTEGER AS nation FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_nationkey FROM supplier")
+def fan_in(t):
+    here = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    there = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"))
+    return kept(here, Union(there))
 
 
 @query(f"SELECT user_id AS id, value FROM ({_LAST}) WHERE event_type <> 'error'")
@@ -317,15 +537,13 @@ def cdc_soft_delete(t):
     return last.select("id", "value", F.when(changes.meta("op") == "d", changes.meta("commit_ts")).cast("timestamp_ntz").alias("deleted_at"))
 
 
-@query("SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 <> 0")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def reconcile_deleted_keys(t):
-    return cursor.deleted_keys(t.supplier, t.supplier.where("s_suppkey % 7 = 0"), ["s_suppkey"])
+    return cursor.deleted_keys(t.customer, t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@query()
+@query("SELECT * FROM (VALUES ('add_column', 's_rating', '', 'double'), ('drop_column', 's_acctbal', 'double', '')) AS v(kind, name, was, now)")
 def schema_diff(t):
-    from pyspark.sql import types as T
-
     new = T.StructType([*t.supplier.drop("s_acctbal").schema.fields, T.StructField("s_rating", T.DoubleType())])
     found = diff(t.supplier.schema, new)
     return t.spark.createDataFrame([(c.kind, c.column, c.old, c.new) for c in found], "kind string, name string, was string, now string")
@@ -356,11 +574,11 @@ def _segment(t):
 
 
 def _orders(t):
-    return t.orders.where("o_orderkey % 3 = 0").select("o_orderkey", "o_custkey", "o_totalprice")
+    return t.orders.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 _C = "(SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING')"
-_O = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0)"
+_O = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders)"
 
 for _how, _word in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("full", "FULL JOIN")):
 
@@ -394,11 +612,15 @@ def join_lateral(t):
     return t.region.lateralJoin(near).select("r_name", "n_name")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 3) FROM orders WHERE o_custkey <> 3 AND o_orderkey % 2 = 0)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def not_in(t):
+    return joins.not_in(t.customer.select("c_custkey"), "c_custkey", t.orders.where("o_totalprice > 200000"), "o_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 3) FROM orders WHERE o_custkey <> 5)")
 def not_in_null_aware(t):
-    t.customer.createOrReplaceTempView("sluice_c")
-    t.orders.createOrReplaceTempView("sluice_o")
-    return t.spark.sql("SELECT c_custkey FROM sluice_c WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 3) FROM sluice_o WHERE o_custkey <> 3 AND o_orderkey % 2 = 0)")
+    """A null among the other keys leaves nothing."""
+    return joins.not_in(t.customer.select("c_custkey"), "c_custkey", t.orders.where("o_custkey <> 5").select(F.nullif("o_custkey", F.lit(3)).alias("k")), "k")
 
 
 # ---- aggregates, windows, order, sets ----

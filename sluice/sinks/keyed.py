@@ -40,13 +40,14 @@ class Manifest:
 
 
 class KeyedTable(Sink):
-    """``buckets`` should grow with the table (about 256 MB each); ``rebucket`` changes it."""
+    """``buckets`` should grow with the table (about 256 MB each); ``rebucket`` changes it. ``order``: columns by which
+    the last of a batch's rows with one key is told, where the batch has them; of equal ones the largest row counts."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = (), buckets: int = 16, deletes: str = "hard", apply_truncate: bool = False):
+    def __init__(self, spark: SparkSession, path: str, keys: tuple[str, ...] = (), buckets: int = 16, deletes: str = "hard", apply_truncate: bool = False, order: tuple[str, ...] = ()):
         self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), tuple(keys), buckets if keys else 1
         if deletes not in ("hard", "column", "side_table"):
             raise SinkError(f"unknown way to delete {deletes!r}")
-        self.deletes, self.apply_truncate = deletes, apply_truncate
+        self.deletes, self.apply_truncate, self.order = deletes, apply_truncate, tuple(order)
         self.files = Files(spark, self.path)
 
     # ---- reading ----
@@ -124,12 +125,23 @@ class KeyedTable(Sink):
             folders = {"0": [*(m.folders.get("0", []) if m else []), *made["0"]]}
             self._commit(m, schema, folders, load, n)
             return Loaded(n, self.path)
-        rows = rows.persist()
+        rows = self._last(rows).persist()
         try:
             return self._merge(m, schema, rows, None, load, rows.count())
         finally:
             rows.unpersist()
 
+    def _last(self, rows: DataFrame) -> DataFrame:
+        """One row for each key: the last by ``order``. Partial maxima are taken before the shuffle."""
+        keys = [F.col(f"`{k}`") for k in self.keys]
+        rest = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in self.keys]
+        if not rest:
+            return rows.distinct()
+        plain = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in self.keys and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        by = F.struct(*[F.col(f"`{c}`").isNotNull() for c in self.order if c in rows.columns], *[F.col(f"`{c}`") for c in self.order if c in rows.columns], F.lit(0), *plain)
+        found = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_last"))
+        return found.select(*[F.col(f"`{f.name}`") if f.name in self.keys else F.col("_last").getField(f.name).alias(f.name) for f in rows.schema])
+
     def _merge(self, m: Manifest | None, schema: T.StructType, upserts: DataFrame, deletes: DataFrame | None, load: LoadId, n: int) -> Loaded:
         """Upserts replace, deletes remove; only touched buckets are read and written."""
         keys = [F.col(f"`{k}`") for k in self.keys]
@@ -185,7 +197,8 @@ class KeyedTable(Sink):
         ranked = rows.withColumn("_nth", F.row_number().over(by_key.orderBy(meta("seq").desc(), (meta("op") == "s").asc())))
         ranked = ranked.select("*", *[F.last(F.when(told(c), F.struct(F.col(f"`{c}`").alias("v"))), ignorenulls=True).over(whole).alias(f"_told_{c}") for c in names]).where("_nth = 1")
         if m:
-            old = self._rows(m).select(*[F.col(f"`{k}`") for k in self.keys], *[F.col(f"`{c}`").alias(f"_old_{c}") for c in names if c in m.schema.fieldNames()])
+            touched = [str(r[0]) for r in rows.select(self._bucket()).distinct().collect()]
+            old = self._rows(m, touched).select(*[F.col(f"`{k}`") for k in self.keys], *[F.col(f"`{c}`").alias(f"_old_{c}") for c in names if c in m.schema.fieldNames()])
             ranked = ranked.join(old, list(self.keys), "left")
         value = lambda c: F.when(F.col(f"`_told_{c}`").isNotNull(), F.col(f"`_told_{c}`.v")).otherwise(F.col(f"`_old_{c}`") if f"_old_{c}" in ranked.columns else F.lit(None))
         return ranked.select(*[F.col(f"`{k}`") for k in self.keys], *[value(c).alias(c) for c in names], *[F.col(f"`{c}`") for c in rows.columns if c.startswith("_cdc.")])

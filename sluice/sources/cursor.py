@@ -87,12 +87,18 @@ class CursorScan:
         column = F.col(f"`{self.cursor}`")
         return self.after(table, None).where((column >= at(low)) & (column < at(high)))
 
-    def page(self, table: DataFrame, position: Cursor | None, rows: int) -> DataFrame:
+    def without(self, table: DataFrame) -> DataFrame:
+        """Rows that have no cursor value. No position is ever beyond them, so a run reads them once, before all pages."""
+        return self.after(table, None).where(F.col(f"`{self.cursor}`").isNull())
+
+    def page(self, table: DataFrame, position: Cursor | None, rows: int, upto: Cursor | None = None) -> DataFrame:
         """About ``rows`` rows in cursor order, with all ties of the last one. The bound comes from a top-k, not a sort
-        of the table; nulls come last."""
-        found = self.after(table, position)
+        of the table, or is given: then all rows up to it. Rows without a cursor value are in no page, see ``without``."""
         column = F.col(f"`{self.cursor}`")
-        last = found.where(column.isNotNull()).orderBy(column).limit(rows).agg(F.max(column).alias("last"), F.count(F.lit(1)).alias("n")).first()
+        found = self.after(table, position).where(column.isNotNull())
+        if upto is not None:
+            return found.where(column <= literal(upto, table.schema[self.cursor]))
+        last = found.orderBy(column).limit(rows).agg(F.max(column).alias("last"), F.count(F.lit(1)).alias("n")).first()
         if last["n"] < rows:
             return found
         return found.where(column <= F.lit(last["last"]))

@@ -142,6 +142,79 @@ def test_incremental_run(spark, tmp_path):
     assert p.sink.read().count() == 15 and third.overlap > 0 and third.read == third.loaded
 
 
+class Broken(KeyedTable):
+    """Fails at one load, before or after the rows are there."""
+
+    at, after = None, False
+
+    def load(self, load, batch):
+        if load.batch == self.at and not self.after:
+            Broken.at = None
+            raise OSError("gone")
+        done = super().load(load, batch)
+        if load.batch == self.at:
+            Broken.at = None
+            raise OSError("gone")
+        return done
+
+
+@pytest.mark.parametrize("at", [0, 1, 2, 6])
+@pytest.mark.parametrize("after", [False, True])
+@pytest.mark.parametrize("keys", [("id",), ()])
+def test_crash_in_any_batch(spark, tmp_path, at, after, keys):
+    """A run that failed and comes again under its id loads each row once, also where rows moved on meanwhile."""
+    rows = spark.range(30).select("id", F.col("id").cast("string").alias("name"), F.when(F.col("id") % 10 != 9, F.col("id")).alias("at"))
+    sink = Broken(spark, str(tmp_path / "t"), keys, 3)
+    p = run.Pipeline(spark, Store(spark, str(tmp_path)), "t", "p", "s", CursorScan("at", ("id",), resume="strict"), sink, batch_size=4)
+    Broken.at, Broken.after = at, after
+    with pytest.raises(OSError):
+        p.run(rows, "r1", attempts=1)
+    moved = rows.withColumn("at", F.when(F.col("id") == 9 * 10 // 9 - 2, 100).otherwise(F.col("at"))) if keys else rows
+    assert p.run(moved, "r1", attempts=1).state == "completed"
+    assert sorted(r["id"] for r in sink.read().collect()) == list(range(30))
+    assert p.run(moved, "r2").loaded == 0
+
+
+def test_rows_without_a_cursor(spark, tmp_path):
+    rows = spark.range(30).select("id", F.when(F.col("id") % 5 != 2, F.col("id")).alias("at"))
+    for size in (10, 100):
+        p = run.Pipeline(spark, Store(spark, str(tmp_path / f"s{size}")), "t", "p", "s", CursorScan("at", ("id",)), KeyedTable(spark, str(tmp_path / f"t{size}"), ("id",), 2), batch_size=size)
+        out = p.run(rows, "r1")
+        assert (out.read - out.overlap, p.sink.read().count()) == (30, 30)
+        assert p.run(rows, "r2").loaded == 0
+
+
+def test_repeated_keys_in_a_run(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 5, "new"), (1, 3, "old"), (2, None, "x"), (2, 1, "y"), (3, 4, "a"), (3, 4, "b")], "id long, at long, name string")
+    p = run.Pipeline(spark, Store(spark, str(tmp_path)), "t", "p", "s", CursorScan("at", ("id",)), KeyedTable(spark, str(tmp_path / "t"), ("id",), 2))
+    p.run(rows, "r1")
+    assert sorted((r["id"], r["name"]) for r in p.sink.read().collect()) == [(1, "new"), (2, "y"), (3, "b")]
+
+
+def test_documents_survive_a_crash(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for i in range(4):
+        store.put("a/b", i)
+    assert store.get("a/b") == 3 and len(store.files.names("a/b.doc")) == 2
+    (tmp_path / "_state/a/b.doc/000000000009.json.x.tmp").write_text("{")  # a write that never ended
+    assert store.get("a/b") == 3 and store.get("a", "none") == "none"
+
+
+def test_fan_in_and_enrich_by_name(spark, tmp_path):
+    from sluice.operators import chain
+
+    spark.createDataFrame([(1, "one")], "k long, label string").write.parquet(str(tmp_path / "ref"))
+    more = spark.createDataFrame([(9, 1.5)], "id long, x double")
+    more.createOrReplaceTempView("more_rows")
+    steps = spec.operators([{"kind": "enrich", "reference": str(tmp_path / "ref"), "on": {"id": "k"}, "columns": ["label"]}, {"kind": "union", "reference": "more_rows"}])
+    rows = spark.createDataFrame([(1,), (2,)], "id long")
+    got = chain.apply(steps, rows).kept
+    assert got.schema == chain.derive_schema(steps, rows.schema)
+    assert sorted(map(tuple, got.collect())) == [(1, "one", None), (2, None, None), (9, None, 1.5)]
+    with pytest.warns(UserWarning, match="deletes"):
+        chain.apply([Filter("id > 1")], rows.withColumn("_cdc.op", F.lit("d")))
+
+
 def test_ties_beyond_a_page(spark, tmp_path):
     rows = customers(spark, 10).withColumn("updated_at", F.lit("2026-01-01").cast("timestamp"))
     p = pipeline(spark, tmp_path, batch_size=3)
@@ -217,9 +290,29 @@ def test_sql_subset(spark):
             sqlmode.validate(spark, bad, {"t"})
     frame = sqlmode.validate(spark, "SELECT * FROM t")
     assert "Physical Plan" in sqlmode.explain(frame) and sqlmode.estimate(frame)["bytes"] > 0
-    assert sqlmode.bounded(frame, sqlmode.Bounds(rows_out=10)).count() == 2
-    with pytest.raises(Exception, match="too many"):
-        sqlmode.bounded(frame.repartition(1), sqlmode.Bounds(rows_out=1)).collect()
+    assert ok("SELECT concat(array(1, 2), array(id)) FROM t WHERE id = 1") == [([1, 2, 1],)]
+    assert ok('SELECT "a ->> \'b\'" AS x, "concat(1)" AS y FROM t WHERE id = 1') == [("a ->> 'b'", "concat(1)")]
+    assert ok("SELECT '{\"x y\": 7}' AS j, j ->> 'x y' FROM t WHERE id = 1") == [('{"x y": 7}', None)]
+    assert ok("SELECT m ->> 'x y' FROM (SELECT '{\"x y\": 7}' AS m)") == [("7",)]
+    with pytest.raises(sqlmode.Refused):
+        sqlmode.validate(spark, "SELECT concat(s, 'x'), concat(array(1), array(2)) FROM t")
+
+
+def test_bounds(spark, tmp_path):
+    spark.range(1000).repartition(16).write.parquet(str(tmp_path / "r"))
+    spark.read.parquet(str(tmp_path / "r")).createOrReplaceTempView("r")
+    frame = sqlmode.validate(spark, "WITH x AS (SELECT id FROM r) SELECT a.id FROM x a JOIN r b ON a.id = b.id WHERE a.id < 900")
+    assert sqlmode.scanned(frame) == 2000
+    assert sqlmode.bounded(frame, sqlmode.Bounds(), str(tmp_path / "a")).count() == 900
+    assert sqlmode.bounded(frame, sqlmode.Bounds(rows_scanned=2000, rows_out=900), str(tmp_path / "b")).count() == 900
+    for i, bounds in enumerate((sqlmode.Bounds(rows_out=899), sqlmode.Bounds(rows_out=150), sqlmode.Bounds(rows_scanned=1999))):
+        with pytest.raises(sqlmode.TooMany):
+            sqlmode.bounded(frame, bounds, str(tmp_path / f"c{i}"))
+        assert not (tmp_path / f"c{i}").exists()
+
+
+def test_results(spark):
+    spark.createDataFrame([(1,)], "id int").createOrReplaceTempView("t")
     results = sqlmode.Results()
     assert results.get(spark, "SELECT id FROM t", {"t": 1}) is results.get(spark, "SELECT  id FROM t", {"t": 1})
 

@@ -45,6 +45,18 @@ def test_upsert_goes_through_a_keyed_table(spark, monkeypatch):
     assert table.versions() == [1, 2] and rows_of(got.toArrow()) == rows_of(table.read().toArrow())
 
 
+def test_not_in(spark):
+    from sluice.operators import joins
+
+    rows = spark.createDataFrame([(1,), (2,), (None,)], "a int")
+    for other in ([(1,), (5,)], [(1,), (None,)], [], [(None,)]):
+        made = spark.createDataFrame(other, "b int")
+        rows.createOrReplaceTempView("l_")
+        made.createOrReplaceTempView("r_")
+        want = spark.sql("SELECT a FROM l_ WHERE a NOT IN (SELECT b FROM r_)").collect()
+        assert sorted(joins.not_in(rows, "a", made, "b").collect(), key=str) == sorted(want, key=str)
+
+
 def test_filters_reach_the_scan(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = QUERIES["chain_lineitem"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
