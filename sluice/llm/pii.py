@@ -36,6 +36,9 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _MORE = r"(?<![A-Za-z0-9_+-])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}|[0-9]{3}-[0-9]{2}-[0-9]{4}|\([0-9]{3}\) [0-9]{3}-[0-9]{4}|[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9_-])"
 #: What every candidate holds.
 _ANY_MORE = r"[0-9A-Za-z_-]{15}|[0-9]{3}-[0-9]"
+#: Characters before a candidate that its labelers see, and matches that are gathered at once.
+BEFORE = 24
+STEP = 128
 #: Words that announce such data.
 GAZETTEER = ("token", "key", "secret", "password", "passwd", "apikey", "iban", "account", "ssn", "id", "phone", "call", "tel", "fax", "mobile")
 
@@ -43,17 +46,27 @@ LABELERS = ("strength", "gazetteer", "context", "shape")
 
 
 def _walk(text: Column, pattern: str) -> Column:
-    """The pattern's matches, left to right: array of (start, end, match), offsets in code points."""
+    """The pattern's matches, left to right: array of (start, end, match, up to BEFORE characters before it), offsets in
+    code points. Matches are gathered by STEP and these lists joined, so that few elements are copied often; what stands
+    before a match comes from the text between matches, so nothing is cut out from the text's start again."""
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), empty.alias("out"))
+    empty = F.array().cast("array<struct<s:int,e:int,m:string,b:string>>")
+    pieces = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("m"))
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), empty.alias("out"))
 
-    def step(acc, match):
-        start = acc["at"] + F.length(F.get(between, acc["i"]))
-        end = start + F.length(match)
-        return F.struct(end.alias("at"), (acc["i"] + 1).alias("i"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), match.alias("m")))).alias("out"))
+    def one(acc, piece):
+        start = acc["at"] + F.length(piece["gap"])
+        end = start + F.length(piece["m"])
+        before = F.right(F.concat(acc["tail"], piece["gap"]), F.lit(BEFORE))
+        here = F.struct(start.alias("s"), end.alias("e"), piece["m"].alias("m"), before.alias("b"))
+        return F.struct(end.alias("at"), F.right(F.concat(before, piece["m"]), F.lit(BEFORE)).alias("tail"), F.concat(acc["out"], F.array(here)).alias("out"))
 
-    return F.aggregate(found, state, step, lambda acc: acc["out"])
+    def many(acc, first):
+        got = F.aggregate(F.slice(pieces, first, F.lit(STEP)), F.struct(acc["at"].alias("at"), acc["tail"].alias("tail"), empty.alias("out")), one)
+        return F.transform(F.array(got), lambda g: F.struct(g["at"].alias("at"), g["tail"].alias("tail"), F.concat(acc["out"], g["out"]).alias("out")))[0]
+
+    firsts = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found), F.lit(STEP))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(firsts, state, many, lambda acc: acc["out"])
 
 
 def _digits(match: Column) -> Column:
@@ -113,8 +126,7 @@ def candidates(text: Column) -> Column:
     name = lambda k: F.lit(KINDS.index(k))
 
     def voted(x):
-        m = x["m"]
-        before = F.substring(text, F.greatest(F.lit(1), x["s"] - 23), F.least(F.lit(24), x["s"]))
+        m, before = x["m"], x["b"]
         kind = F.when(F.rlike(m, F.lit(r"^[A-Z]{2}[0-9]{2}")), name("account")).when(F.rlike(m, F.lit(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$")), name("national_id")).when(F.startswith(m, F.lit("(")), name("local_phone")).otherwise(name("secret"))
         digits, letters = F.length(_digits(m)), F.length(F.regexp_replace(m, "[^A-Za-z]", ""))
         strength = F.when(kind != name("secret"), 1).when((digits >= 4) & (letters >= 4), 1).when(digits == 0, -1).otherwise(0)
