@@ -3,7 +3,8 @@
 Rules are a fixed small table; the longest that fits decides. URLs that no rule decides get the verdict of a boosted
 ensemble of small trees, trained here from labelled URLs. The features are lexical: lengths, depth, digit ratio,
 entropy, parameter counts, tokens, and smoothed block rates of the host's suffixes (its last one, two and three
-labels) taken from the training rows, in as many hashed bins as the model fixes.
+labels) taken from the training rows, in as many hashed bins as the model fixes. No feature joins host and path: that is
+what rules name, and where the labels come from rules it would only say them again.
 
 Training takes at most MAX_LABELLED rows, those with the smallest hashes of the URL where there are more; this is
 the one bounded sample here. The ensemble is a few kilobytes and goes out with the scoring function.
@@ -58,6 +59,18 @@ def _suffixes(url: pd.Series) -> list[pd.Series]:
     return [host.str.extract(rf"((?:[^.]*\.){{0,{n - 1}}}[^.]*)$", expand=False).fillna("") for n in (1, 2, 3)]
 
 
+def entropies(texts: pd.Series) -> np.ndarray:
+    """Bits a byte of each text, from counts over the bytes of all of them."""
+    encoded = [t.encode("utf-8", "replace") for t in texts]
+    length = np.array([len(e) for e in encoded], np.int64)
+    if not length.sum():
+        return np.zeros(len(encoded))
+    owner = np.repeat(np.arange(len(encoded)), length)
+    pairs, count = np.unique(owner * 256 + np.frombuffer(b"".join(encoded), np.uint8), return_counts=True)
+    p = count / length[pairs >> 8]
+    return -np.bincount(pairs >> 8, p * np.log2(p), len(encoded))
+
+
 def features(url: pd.Series, rates: list[np.ndarray]) -> np.ndarray:
     """A row for each URL. rates: by hashed suffix, of the last one, two and three labels of hosts."""
     url = url.fillna("").astype(str)
@@ -65,22 +78,13 @@ def features(url: pd.Series, rates: list[np.ndarray]) -> np.ndarray:
     path = url.str.extract(r"://[^/?#]*([^?#]*)", expand=False).fillna("")
     query = url.str.extract(r"\?([^#]*)", expand=False).fillna("")
 
-    def entropy(text: str) -> float:
-        if not text:
-            return 0.0
-        counts = np.unique(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), return_counts=True)[1]
-        p = counts / counts.sum()
-        return float(-(p * np.log2(p)).sum())
-
     length = url.str.len()
     out = [
         length, host.str.len(), path.str.len(), query.str.len(), path.str.count("/"), host.str.count(r"\."), host.str.count("-"),
         url.str.count(r"[0-9]") / length.clip(lower=1), host.str.count(r"[0-9]") / host.str.len().clip(lower=1), query.str.count("=") , query.str.count("&"),
-        url.str.contains("#", regex=False), url.str.startswith("https"), path.str.contains(r"\.[A-Za-z0-9]{1,5}$"), path.str.endswith("/"), url.map(entropy), host.map(entropy),
+        url.str.contains("#", regex=False), url.str.startswith("https"), path.str.contains(r"\.[A-Za-z0-9]{1,5}$"), path.str.endswith("/"), entropies(url), entropies(host),
     ]
-    out += [pd.Series(r[_bins(s)], index=url.index) for r, s in zip(rates[:3], _suffixes(url), strict=True)]
-    first = path.str.extract(r"^/([^/]*)/?", expand=False).fillna("")
-    out.append(pd.Series(rates[3][_bins(host.str.split(".").str[-1].fillna("") + "/" + first)], index=url.index))
+    out += [pd.Series(r[_bins(s)], index=url.index) for r, s in zip(rates, _suffixes(url), strict=True)]
     return np.column_stack([np.asarray(x, dtype=np.float64) for x in out]) if len(url) else np.zeros((0, len(out)))
 
 
@@ -155,13 +159,10 @@ def train(labelled: DataFrame, url: str = "url", label: str = "blocked", most: i
     y = sample["y"].to_numpy(dtype=np.float64)
     weight = sample["n"].to_numpy(dtype=np.float64)
     mean = np.average(y, weights=weight) if len(y) else 0.0
-    host = sample["url"].str.extract(r"://([^/?#]*)", expand=False).fillna("")
-    first = sample["url"].str.extract(r"://[^/?#]*/([^/?#]*)/?", expand=False).fillna("")
-    keys = [*_suffixes(sample["url"]), host.str.split(".").str[-1].fillna("") + "/" + first] if len(sample) else []
-    bins = [_bins(s) for s in keys]
+    bins = [_bins(s) for s in _suffixes(sample["url"])] if len(sample) else []
 
     def rates(rows: np.ndarray) -> list[np.ndarray]:
-        counted = [(np.bincount(b[rows], weight[rows], SUFFIX_BINS), np.bincount(b[rows], (weight * y)[rows], SUFFIX_BINS)) for b in bins] or [(0, np.zeros(SUFFIX_BINS))] * 4
+        counted = [(np.bincount(b[rows], weight[rows], SUFFIX_BINS), np.bincount(b[rows], (weight * y)[rows], SUFFIX_BINS)) for b in bins] or [(0, np.zeros(SUFFIX_BINS))] * 3
         return [((k + 5 * mean) / (n + 5)).astype(np.float32) for n, k in counted]
 
     # a training row's own label must not be in its rates: they come from the other folds
