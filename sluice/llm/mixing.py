@@ -5,8 +5,8 @@ source up to and including it, divided by the source's target. Later passes over
 before ended. All finish times are sorted as one queue, which is cut where the total budget is reached.
 
 Nothing needs a task for a whole source: running sums are taken within (source, hash bucket) groups of some
-thousand documents and shifted by sums of the buckets before them; the queue is cut by a histogram of finish times
-first and by single rows only within the bucket where the budget ends.
+thousand documents and shifted by sums of the buckets before them; the queue is sorted by ranges of finish times, of
+some QUEUE_ROWS entries each, whose sums tell the range where the budget ends; only that one is walked row by row.
 
 Defined results: a null or empty text has size 0 and is never taken (0 words); a null source is a source of its own,
 last in the order of sources; equal rows are queued one after the other, so the counts taken by them agree with any
@@ -21,11 +21,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, forget, parts_for, stored
 
-#: Documents in a hash bucket of a source, and in a bucket of the queue's histogram, on average.
+#: Documents in a hash bucket of a source, and entries in a range of the queue, on average.
 BUCKET_ROWS = 4096
-QUEUE_BUCKETS = 4096
+QUEUE_ROWS = 1 << 18
 
 ADDED = ("size", "source_size", "target", "taken")
 
@@ -107,24 +107,21 @@ def _queued(rows: DataFrame, weights: tuple[float, ...], share: float, most: flo
     passes = math.ceil(most)
     finish = lambda p: (F.lit(p) * F.col("source_size") + F.col("upto")) / F.nullif(F.col("target"), F.lit(0.0))
     items = summed.where("size > 0").select("at", "source", "size", "total", F.explode(F.array(*[F.struct(F.lit(p).alias("turn"), finish(p).alias("v")) for p in range(passes)])).alias("i")).select("at", "source", "size", "total", "i.*").where("v is not null")
-    bucket = F.floor(F.least(F.col("v"), F.lit(4.0)) * QUEUE_BUCKETS / 2)
-    histogram = items.groupBy(bucket.alias("b")).agg(F.sum("size").alias("words"), F.max("total").alias("total"))
-    upto = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    over = histogram.withColumn("upto", F.sum("words").over(upto)).where("upto > total").orderBy("b").limit(1)
-    crossing = over.first()  # one row: where the budget ends
-    if crossing is None:
-        cut_at = F.lit(True)
-    else:
-        spent = crossing["upto"] - crossing["words"]
-        queue = Window.orderBy("v", F.col("source").asc_nulls_last(), "at", "turn").rowsBetween(Window.unboundedPreceding, 0)
-        last = items.where(bucket == F.lit(crossing["b"])).withColumn("sum", F.sum("size").over(queue) + F.lit(spent)).where("sum <= total").orderBy(F.col("sum").desc(), F.col("v").desc(), F.col("source").desc_nulls_first(), F.col("at").desc(), F.col("turn").desc()).first()
-        if last is None:
-            cut_at = bucket < F.lit(crossing["b"])
-        else:
-            rank = lambda s: F.coalesce(s, F.lit("\U0010ffff\U0010ffff"))
-            here = F.struct(F.col("v").alias("v"), rank(F.col("source")).alias("s"), F.col("at").alias("at"), F.col("turn").alias("turn"))
-            there = F.struct(F.lit(last["v"]).alias("v"), rank(F.lit(last["source"]).cast("string")).alias("s"), F.lit(last["at"]).alias("at"), F.lit(last["turn"]).alias("turn"))
-            cut_at = here <= there
+    place = [F.col("v"), F.col("source").asc_nulls_last(), F.col("at"), F.col("turn")]
+    queue = stored(items.repartitionByRange(parts_for(passes * n, QUEUE_ROWS), *place).withColumn("range", F.spark_partition_id()))
+    upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)  # a row for each range
+    sums = queue.groupBy("range").agg(F.sum("size").alias("words"), F.max("total").alias("total")).withColumn("upto", F.sum("words").over(upto))
+    crossing = sums.where("upto > total").orderBy("range").first()  # the range where the budget ends
+    cut_at = F.lit(True)
+    if crossing is not None:
+        inside = Window.partitionBy("range").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+        spent = F.sum("size").over(inside) + F.lit(crossing["upto"] - crossing["words"])
+        last = queue.where(F.col("range") == crossing["range"]).withColumn("spent", spent).where("spent > total").orderBy(*place).first()  # the first entry beyond it
+        rank = lambda s: F.coalesce(s, F.lit("\U0010ffff\U0010ffff"))
+        here = F.struct(F.col("v").alias("v"), rank(F.col("source")).alias("s"), F.col("at").alias("at"), F.col("turn").alias("turn"))
+        there = F.struct(F.lit(last["v"]).alias("v"), rank(F.lit(last["source"]).cast("string")).alias("s"), F.lit(last["at"]).alias("at"), F.lit(last["turn"]).alias("turn"))
+        cut_at = here < there
+    forget(rows.sparkSession, queue)
     taken = F.lit(0).cast("long")
     for p in range(passes):
         one = summed.withColumn("v", finish(p)).withColumn("turn", F.lit(p))

@@ -12,7 +12,7 @@ from sluice.llm import mixing, topk
 
 def test_mixing(docs, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
-    monkeypatch.setattr(mixing, "QUEUE_BUCKETS", 8)
+    monkeypatch.setattr(mixing, "QUEUE_ROWS", 8)
     got = mixing.mix_sources(docs).select("doc_id", "source", "text", "size", "source_size", "target", "taken", "n_chars").collect()
     assert len(got) == docs.count() and len({r["n_chars"] for r in got}) == len(got)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
