@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``. Only where that is unset (tests), a temporary one."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode (tests),
+    and an error on a cluster, whose executors wouldn't see it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="sluice-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)

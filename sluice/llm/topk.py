@@ -1,6 +1,7 @@
 """Exact top-k search by tiled matrix products.
 
-Queries go out in tiles of bounded size, one tile a pass over the vectors; each task multiplies the tile with shards
+Queries go out in tiles of bounded size, one tile a pass over the vectors, and the driver holds one tile at a time: the
+lists of a pass are written before the next tile is fetched. Each task multiplies the tile with shards
 of its rows, selects the best of each shard (composite keys of score and id, so ties are exact), merges them into
 its own best lists, and the lists of all tasks are merged as a tree: first by groups of tasks, then by query.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -105,6 +107,17 @@ def _searcher(queries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k:
     return search
 
 
+def _tile(queries: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A tile's queries by length: ids, numbers and components."""
+    sent: dict[int, list] = {}
+    for batch in queries.select("vec_id", "q", "v").toArrow().combine_chunks().to_batches():
+        numbers = batch.column("q").to_numpy(zero_copy_only=False)
+        length = np.diff(batch.column("v").offsets.to_numpy())
+        for n, (ids, rows) in quantised(batch).items():
+            sent.setdefault(n, []).append((ids, numbers[length == n], rows))
+    return {n: tuple(np.concatenate([x[j] for x in parts]) for j in range(3)) for n, parts in sent.items()}
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """For each row of ``queries`` (rows of ``vectors``) its k best other rows: ``query_id, rank, vec_id, score``."""
     clean = lambda d: d.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where(
@@ -114,19 +127,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id
     asked = stored(clean(queries).withColumn("q", F.monotonically_increasing_id()))
     tiles = max(1, math.ceil(asked.count() / TILE_QUERIES))
     asked = asked.withColumn("tile", F.pmod(F.xxhash64("q"), F.lit(tiles)))
-    lists = None
+    passes = []
     for t in range(tiles):  # a bounded block of queries against all rows
-        sent: dict[int, list] = {}
-        own = {}
-        table = asked.where(F.col("tile") == t).select("vec_id", "q", "v").toArrow().combine_chunks()
-        for batch in table.to_batches():
-            numbers = batch.column("q").to_numpy(zero_copy_only=False)
-            length = np.diff(batch.column("v").offsets.to_numpy())
-            for n, (ids, rows) in quantised(batch).items():
-                sent.setdefault(n, []).append((ids, numbers[length == n], rows))
-        own = {n: tuple(np.concatenate([x[j] for x in parts]) for j in range(3)) for n, parts in sent.items()}
-        found = clean(vectors).select("vec_id", "v").mapInArrow(_searcher(own, k + 1), _LISTS)
-        lists = found if lists is None else lists.union(found)
+        found = clean(vectors).select("vec_id", "v").mapInArrow(_searcher(_tile(asked.where(F.col("tile") == t)), k + 1), _LISTS)
+        passes.append(found if tiles == 1 else stored(found))
+    lists = reduce(DataFrame.union, passes)
     selves = asked.select(F.col("q").alias("self"), F.aggregate("v", F.lit(0).cast("decimal(38,0)"), lambda s, x: s + F.floor(x * 256).cast("decimal(19,0)") * F.floor(x * 256).cast("decimal(19,0)")).alias("square"))
     order = (F.col("score").desc(), F.col("vec_id"))
     first = Window.partitionBy("query_id", "q", F.floor(F.col("src") / FAN_IN)).orderBy(*order)
