@@ -1,17 +1,20 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-``P(word | context) = P(class | context) * P(word | class, context)``. The frequent words (at most VOCABULARY) and the
-end are dealt to classes by what precedes them; all other words make one more class, within which a word has its
-smoothed share of the corpus counts, so every word, seen or not, has a probability and all of them sum to one.
+``P(word | context) = P(class | context) * P(word | class, context)``. The frequent words and the end are dealt to
+classes by what precedes them; all other words make one more class, within which a word has its smoothed share of the
+corpus counts, so every word, seen or not, has a probability and all of them sum to one. How many words have an output
+of their own grows with the square root of the corpus (see ``vocabulary``).
 
 P(class | context) is a softmax over classes with hashed features: the word before, the two words before (n-gram), and
-the word before that one (skip). P(word | class, context) is a softmax over the class's words with features for the
-word and for the word together with the class before it.
+the word before that one (skip). P(word | class, context) is a softmax over the class's words with a weight for the word
+with the class of the token before it (n-gram) and one for the word with the class of the token two before (skip).
 
-Training reads every training document. Counts of word after word class and of class after word start the weights;
-then each of ROUNDS rounds takes its share of the documents (by crc32), and every task sums, over its tokens, what
-each feature was seen with and what the model expects; the sums meet by feature in a distributed table and become one
-gradient step, scaled by the expected counts. Scoring runs over numpy batches with the features as sparse rows.
+Training reads every training document. Counts of class after word start the weights of the first factor; then each of
+ROUNDS rounds takes its share of the documents (by crc32), and every task sums, over its tokens, what each feature was
+seen with and what the model expects; the sums meet by feature, in a tree, and become one gradient step, scaled by the
+expected counts. The second factor's features say only classes, so over all tokens their gradient follows from sums that
+tasks take once: words with each class before, and two before, and how often these classes meet. WITHIN_ROUNDS steps
+are taken from those. Scoring runs over numpy batches with the features as sparse rows.
 
 Corpus counts of words are exact and never gathered: blocks of text send their distinct words, packed, to shards,
 which add up and answer each block with the counts of its own words.
@@ -36,14 +39,18 @@ from .substrings import _segments, _shards
 from .toxicity import remainder
 from .words import Words, mix, slices
 
-#: Words with an output of their own, classes that they are dealt to, and frequent words that describe what precedes.
+#: Words with an output of their own at least, classes that they are dealt to, and frequent words that describe what
+#: precedes.
 VOCABULARY = 8192
 CLASSES = 30
 PROFILE = 64
 #: Hashed rows of each of the three feature sets: 4 MB of weights.
 FEATURES = 1 << 13
 ROUNDS = 3
+WITHIN_ROUNDS = 12
 STEP = 0.5
+#: Tasks' sums that are added by one task at each level of the tree.
+FAN_IN = 64
 SMOOTH = 0.1
 BLOCK_BYTES = 8 << 20
 SHARD_WORDS = 1 << 18
@@ -79,7 +86,9 @@ class Model:
     of: np.ndarray  # class of each word of the vocabulary; the last class is that of all other words
     classes: int
     weights: np.ndarray = field(default=None)  # [3, FEATURES, classes]
-    within: np.ndarray = field(default=None)  # [classes + 1, words]: log P(word | its class, class before)
+    within: np.ndarray = field(default=None)  # [classes + 1, words]: of the word with the class before
+    skip: np.ndarray = field(default=None)  # [classes + 1, words]: of the word with the class two before
+    room: np.ndarray = field(default=None)  # [classes + 1, classes + 1, classes]: log of what these sum to, by class two before, class before, and class
     slots: np.ndarray = field(default=None)
 
     def __post_init__(self):
@@ -102,9 +111,14 @@ class Model:
     def classes_of(self, ids: np.ndarray) -> np.ndarray:
         return np.append(self.of, self.classes - 1)[ids]
 
-    def last_class(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Class of the token before; a class of its own at the start."""
-        return _before(self.classes_of(ids), place, 1, self.classes)
+    def last_class(self, ids: np.ndarray, place: np.ndarray, k: int = 1) -> np.ndarray:
+        """Class of the token k before; a class of its own at the start."""
+        return _before(self.classes_of(ids), place, k, self.classes)
+
+    def log_within(self, ids: np.ndarray, place: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """log P(word | its class, context) of those tokens that are words of the vocabulary."""
+        one, two, w = self.last_class(ids, place)[some], self.last_class(ids, place, 2)[some], ids[some]
+        return self.within[one, w] + self.skip[two, w] - self.room[two, one, self.of[w]]
 
     def row_before(self, token: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Row of the word before in the first feature set."""
@@ -170,12 +184,22 @@ def _added(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, n
     return words, values, np.bincount(inverse, np.concatenate(counts), len(values)).astype(np.int64), inverse
 
 
-def _top(table: pa.Table) -> pa.Table:
+def vocabulary(tokens: int) -> int:
+    """How many words have an output of their own: the power of two next to the square root of the training tokens, and
+    VOCABULARY at least."""
+    return max(VOCABULARY, 1 << round(np.log2(max(1, tokens)) / 2))
+
+
+def _top(most: int):
     """A shard's most frequent words, and its number of words seen in training."""
-    _, values, counts, _ = _added(table)
-    order = np.lexsort((values, -counts))[:VOCABULARY]
-    order = order[counts[order] > 0]
-    return pa.table({"word": pa.array(values[order].astype(np.int64)), "n": pa.array(counts[order]), "seen": pa.array(np.where(np.arange(len(order)) == 0, (counts > 0).sum(), 0).astype(np.int64))})
+
+    def run(table: pa.Table) -> pa.Table:
+        _, values, counts, _ = _added(table)
+        order = np.lexsort((values, -counts))[:most]
+        order = order[counts[order] > 0]
+        return pa.table({"word": pa.array(values[order].astype(np.int64)), "n": pa.array(counts[order]), "seen": pa.array(np.where(np.arange(len(order)) == 0, (counts > 0).sum(), 0).astype(np.int64))})
+
+    return run
 
 
 def _answer(table: pa.Table) -> pa.Table:
@@ -211,19 +235,23 @@ def _profiles(words: np.ndarray, frequent: np.ndarray):
 
 
 def _counts(model: Model):
-    """Counts of word after class, and of class after the hashed word before."""
+    """Counts of class after the hashed word before; of words with the class before, and two before; and of these classes
+    with the word's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, c = len(model.words), model.classes
-        after, seen = np.zeros((c + 1) * n, np.int64), np.zeros(FEATURES * c, np.int64)
+        seen, met = np.zeros(FEATURES * c, np.int64), np.zeros((c + 1) ** 2 * c, np.int64)
+        one, two = np.zeros((c + 1) * n, np.int64), np.zeros((c + 1) * n, np.int64)
         for batch in batches:
             for _, _, token, at in _batches(batch):
                 w = model.ids(token)
-                before = model.last_class(w, at)
+                k, b, b2 = model.classes_of(w), model.last_class(w, at), model.last_class(w, at, 2)
                 some = w < n
-                after += np.bincount(before[some] * n + w[some], minlength=len(after))
-                seen += np.bincount(model.row_before(token, at).astype(np.int64) * c + model.classes_of(w), minlength=len(seen))
-        for kind, total in ((0, after), (1, seen)):
+                one += np.bincount(b[some] * n + w[some], minlength=len(one))
+                two += np.bincount(b2[some] * n + w[some], minlength=len(two))
+                met += np.bincount((b2 * (c + 1) + b) * c + k, minlength=len(met))
+                seen += np.bincount(model.row_before(token, at).astype(np.int64) * c + k, minlength=len(seen))
+        for kind, total in enumerate((seen, one, two, met)):
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(total[at])], names=["kind", "cell", "n"])
 
@@ -231,9 +259,11 @@ def _counts(model: Model):
 
 
 def _gradients(model: Model):
-    """For each feature row the sums, over tokens, of the classes seen and of those expected."""
+    """For each feature row the sums, over tokens, of the classes seen and of those expected; src: the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         c = model.classes
         seen, expected = np.zeros((3, FEATURES * c), np.int64), np.zeros((3, FEATURES, c), np.float32)
         for batch in batches:
@@ -252,18 +282,65 @@ def _gradients(model: Model):
         seen, expected = seen.reshape(3 * FEATURES, c).astype(np.float32), expected.reshape(3 * FEATURES, c)
         some = np.flatnonzero(expected.any(1))
         blob = [np.concatenate([seen[i], expected[i]]).tobytes() for i in some]
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(blob, pa.binary())], names=["row", "sums"])
+        src = pa.array(np.full(len(some), TaskContext.get().partitionId()))
+        yield pa.RecordBatch.from_arrays([pa.array(some), src, pa.array(blob, pa.binary())], names=["row", "src", "sums"])
 
     return run
 
 
 def _summed(table: pa.Table) -> pa.Table:
-    table = table.sort_by("row")
+    table = table.sort_by([("row", "ascending"), ("src", "ascending")])
     rows = table.column("row").to_numpy()
     sums = np.stack([np.frombuffer(x, np.float32) for x in table.column("sums").to_pylist()]).astype(np.float64)
     first = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
-    total = np.add.reduceat(sums, first, axis=0)
-    return pa.table({"row": pa.array(rows[first]), "sums": pa.array([x.tobytes() for x in total], pa.binary())})
+    total = np.add.reduceat(sums, first, axis=0).astype(np.float32)
+    src = pa.array(table.column("src").to_numpy()[first] // FAN_IN)
+    return pa.table({"row": pa.array(rows[first]), "src": src, "sums": pa.array([x.tobytes() for x in total], pa.binary())})
+
+
+def _tree(sums: DataFrame, tasks: int) -> DataFrame:
+    """Sums by row over all tasks: FAN_IN tasks' at each level, in 32 parts of the rows."""
+    while True:
+        by = F.floor(F.col("src") / FAN_IN) if tasks > FAN_IN else F.lit(0)
+        dealt = sums.withColumn("part", F.pmod("row", F.lit(32))).withColumn("to", by.cast("long"))
+        sums = dealt.groupBy("part", "to").applyInArrow(lambda t: _summed(t.select(["row", "src", "sums"])), "row long, src long, sums binary")
+        if tasks <= FAN_IN:
+            return sums
+        tasks = -(-tasks // FAN_IN)
+
+
+def _within(of: np.ndarray, base: np.ndarray, one: np.ndarray, two: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of words with the class before and with the class two before, by gradient steps, and the logs of what
+    they sum to. base: log shares of words in their class, where the weights start."""
+    c = met.shape[2]
+    order = np.argsort(of, kind="stable")
+    kind = of[order]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(kind)) + 1])
+    n = np.diff(np.append(first, len(kind)))
+    held = kind[first]  # classes that have words
+    one, two = one[:, order].astype(np.float32), two[:, order].astype(np.float32)
+    a, b = np.repeat(base[order][None], c + 1, 0).astype(np.float32), np.zeros_like(two)
+    room = np.zeros(met.shape, np.float32)
+
+    def odds(t: int) -> np.ndarray:
+        e = np.exp(a + b[t])
+        z = np.add.reduceat(e, first, axis=1)
+        room[t][:, held] = np.log(z)
+        return e / np.repeat(z, n, 1)
+
+    for _ in range(WITHIN_ROUNDS):
+        want_one, want_two = np.zeros_like(one), np.zeros_like(two)
+        for t in range(c + 1):  # class two before
+            p = odds(t) * met[t][:, kind].astype(np.float32)
+            want_one += p
+            want_two[t] = p.sum(0)
+        # the two weights of a token are moved at once, each by half
+        a += 0.5 * np.clip((one - want_one) / (want_one + 5.0), -1, 3)
+        b += 0.5 * np.clip((two - want_two) / (want_two + 5.0), -1, 3)
+    for t in range(c + 1):
+        odds(t)
+    back = np.argsort(order)
+    return a[:, back], b[:, back], room
 
 
 def _classes(profile: np.ndarray, n: int) -> np.ndarray:
@@ -305,33 +382,29 @@ def train(docs: DataFrame, top: list[tuple[int, int]], ends: int, other: int) ->
     c = model.classes
     got = docs.select("text").mapInArrow(_counts(model), "kind int, cell long, n long").groupBy("kind", "cell").agg(F.sum("n").alias("n")).toArrow()
     kind, cell, value = (got.column(x).to_numpy() for x in ("kind", "cell", "n"))
-    after = np.zeros((c + 1) * len(words))
-    after[cell[kind == 0]] = value[kind == 0]
-    after = after.reshape(c + 1, len(words))
-    # weights of the word, and of the word after a class: their softmax over a class has these shares
-    base = (n + SMOOTH) / np.maximum(1e-300, np.bincount(of, n + SMOOTH, c)[of])
-    mass = np.zeros((c + 1, c))
-    for j in range(c):
-        mass[:, j] = after[:, of == j].sum(1)
-    prior = 20.0
-    model.within = np.log((after + prior * base) / (mass[:, of] + prior)).astype(np.float32)
-
-    seen = np.zeros(FEATURES * c)
-    seen[cell[kind == 1]] = value[kind == 1]
-    seen = seen.reshape(FEATURES, c)
+
+    def table(which: int, *shape: int) -> np.ndarray:
+        out = np.zeros(int(np.prod(shape)))
+        out[cell[kind == which]] = value[kind == which]
+        return out.reshape(shape)
+
+    base = np.log((n + SMOOTH) / np.maximum(1e-300, np.bincount(of, n + SMOOTH, c)[of]))
+    model.within, model.skip, model.room = _within(of, base, table(1, c + 1, len(words)), table(2, c + 1, len(words)), table(3, c + 1, c + 1, c))
+
+    seen = table(0, FEATURES, c)
     share = np.bincount(of, n, c)
     share[c - 1] = other
     share = (share + SMOOTH) / (share + SMOOTH).sum()
     start = np.log((seen + 2.0 * share) / (seen.sum(1, keepdims=True) + 2.0))
     model.weights = np.concatenate([start, np.zeros((2 * FEATURES, c))]).astype(np.float32).reshape(3, FEATURES, c)
     for turn in range(ROUNDS):
-        sums = docs.where(F.col("round") == turn).select("text").mapInArrow(_gradients(model), "row long, sums binary")
-        got = sums.withColumn("part", F.pmod("row", F.lit(32))).groupBy("part").applyInArrow(lambda t: _summed(t.select(["row", "sums"])), "row long, sums binary").toArrow()
+        sums = docs.where(F.col("round") == turn).select("text").mapInArrow(_gradients(model), "row long, src long, sums binary")
+        got = _tree(sums, docs.rdd.getNumPartitions()).select("row", "sums").toArrow()
         if not got.num_rows:
             continue
         rows = got.column("row").to_numpy()
         order = np.argsort(rows)
-        both = np.stack([np.frombuffer(x) for x in got.column("sums").to_pylist()])[order]
+        both = np.stack([np.frombuffer(x, np.float32) for x in got.column("sums").to_pylist()])[order]
         seen, expected = both[:, :c], both[:, c:]
         step = STEP * (seen - expected) / (expected + 5.0)
         model.weights.reshape(3 * FEATURES, c)[rows[order]] += np.clip(step, -1.0, 1.0).astype(np.float32)
@@ -368,7 +441,7 @@ def _scored(model: Model | None, shards: int, kind: pa.DataType, ends: int, othe
                         at = slice(a, a + step)
                         p[at] = model.log_class([r[at] for r in rows], k[at]) / np.log(10)
                     inside = w < len(model.words)
-                    p[inside] += model.within[model.last_class(w, place)[inside], w[inside]] / np.log(10)
+                    p[inside] += model.log_within(w, place, inside) / np.log(10)
                     p[~inside] += smooth[~inside] - room
                 begin = words.first[:-1] + np.arange(len(words.count))  # each text has a token at least
                 total = lambda x: np.add.reduceat(x, begin)  # noqa: E731, B023
@@ -396,10 +469,10 @@ def score_texts(docs: DataFrame, learn, fold, key: str = "doc_id", text: str = "
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).cast("int").alias("learn"), dealt.alias("block"))
     lessons = docs.where(learn).select(F.col(text).cast("string").alias("text"), F.pmod(fold, F.lit(ROUNDS)).alias("round"))
     asked = cut(rows.groupBy("block").applyInArrow(_ask(shards), "shard long, block long, words binary, counts binary"))
-    tops = asked.groupBy("shard").applyInArrow(_top, "word long, n long, seen long")
-    tops = cut(tops)
-    top = [(r["word"], r["n"]) for r in tops.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).collect()]
     facts = lessons.agg(F.count(F.lit(1)).alias("ends"), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")).alias("words")).first()
+    most = vocabulary((facts["words"] or 0) + facts["ends"])
+    tops = cut(asked.groupBy("shard").applyInArrow(_top(most), "word long, n long, seen long"))
+    top = [(r["word"], r["n"]) for r in tops.orderBy(F.col("n").desc(), "word").limit(most).collect()]
     seen = tops.agg(F.sum("seen")).first()[0] or 0
     ends, words = facts["ends"], facts["words"] or 0
     tokens, distinct = words + ends, seen + (1 if ends else 0)

@@ -302,11 +302,58 @@ def test_lm_is_a_distribution():
     rows = model.rows(token, ids, place)
     total = sum(np.exp(model.log_class(rows, np.full(102, c))) for c in range(6))
     assert np.allclose(total, 1, atol=1e-5)
+    # within a class, whatever stands before: over its words probabilities sum to one
+    n, c = 20, 6
+    of = np.sort(of)
+    one, two, met = r.integers(0, 50, (c + 1, n)).astype(float), r.integers(0, 50, (c + 1, n)).astype(float), r.integers(0, 30, (c + 1, c + 1, c)).astype(float)
+    model.of = of
+    model.within, model.skip, model.room = maxent._within(of, np.log(np.full(n, 0.25)), one, two, met)
+    chance = np.exp(model.within[None] + model.skip[:, None] - model.room[:, :, of])
+    assert chance.shape == (c + 1, c + 1, n) and all(np.allclose(chance[:, :, of == j].sum(2), 1, atol=1e-4) for j in set(of.tolist()))
+    ids = np.arange(n)
+    place = np.arange(n)
+    got = model.log_within(ids, place, np.ones(n, bool))
+    b, b2 = [c, *of[:-1]], [c, c, *of[:-2]]
+    assert np.allclose(got, [np.log(chance[b2[i], b[i], i]) for i in range(n)], atol=1e-4)
     close = np.array([words[0], words[0] + np.uint64(1), words[0] + np.uint64(2), words[1]], np.uint64)
     dense = maxent.Model(np.sort(close[:3]), np.zeros(3, np.int64), 2)
     assert dense.ids(close).tolist() == [0, 1, 2, 3]
 
 
+def test_within_is_trained():
+    """Steps raise the likelihood of words given both classes, towards what was seen."""
+    r = np.random.default_rng(3)
+    c, n, m = 4, 12, 40_000
+    of = np.arange(n) % 3
+    truth = r.normal(size=(2, c + 1, n))
+    b, b2 = r.integers(0, c + 1, m), r.integers(0, c + 1, m)
+    k = r.integers(0, 3, m)
+    z = truth[0][b] + truth[1][b2]
+    z[of[None] != k[:, None]] = -np.inf
+    p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+    w = (p.cumsum(1) > r.random(m)[:, None]).argmax(1)
+    one, two, met = np.zeros((c + 1, n)), np.zeros((c + 1, n)), np.zeros((c + 1, c + 1, c))
+    np.add.at(one, (b, w), 1)
+    np.add.at(two, (b2, w), 1)
+    np.add.at(met, (b2, b, k), 1)
+    base = np.log(np.bincount(w, minlength=n) / np.bincount(of[w], minlength=3)[of])
+    within, skip, room = maxent._within(of, base, one, two, met)
+    got = (within[b, w] + skip[b2, w] - room[b2, b, of[w]]).mean()
+    best, start = np.log(p[np.arange(m), w]).mean(), base[w].mean()
+    assert got > start + 0.9 * (best - start)
+
+
+def test_sums_meet_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "FAN_IN", 3)
+    r = np.random.default_rng(5)
+    rows = [(int(i), src, r.integers(0, 9, 4).astype(np.float32).tobytes()) for src in range(20) for i in r.choice(70, 30, replace=False)]
+    want = {}
+    for i, _, x in rows:
+        want[i] = want.get(i, 0) + np.frombuffer(x, np.float32)
+    got = maxent._tree(spark.createDataFrame(rows, "row long, src long, sums binary"), 20).collect()
+    assert len(got) == len(want) and all((np.frombuffer(x["sums"], np.float32) == want[x["row"]]).all() for x in got)
+
+
 def test_lm_odd_inputs(docs, nothing):
     assert maxent.score_texts(nothing, F.lit(True), F.lit(1)).count() == 0
     none = maxent.score_texts(docs, F.lit(False), F.lit(1)).collect()
