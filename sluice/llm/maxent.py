@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .packing import pack, unpack
 from .shared import cut, parts_for, text_bytes
-from .substrings import _segments, _shards
+from .substrings import _segments, _shards, scale
 from .toxicity import remainder
 from .words import Words, mix, slices
 
@@ -464,7 +464,8 @@ def score_texts(docs: DataFrame, learn, fold, key: str = "doc_id", text: str = "
     from pyspark.sql.pandas.types import to_arrow_type
 
     n, size = text_bytes(docs, text)
-    blocks, shards = parts_for(size, block_bytes), parts_for(size / 6 / 8, SHARD_WORDS)
+    times = scale(size)
+    blocks, shards = parts_for(size, block_bytes * times), parts_for(size / 6 / 8, SHARD_WORDS * times)
     dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("long")
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).cast("int").alias("learn"), dealt.alias("block"))
     lessons = docs.where(learn).select(F.col(text).cast("string").alias("text"), F.pmod(fold, F.lit(ROUNDS)).alias("round"))

@@ -3,15 +3,18 @@
 The corpus is dealt into blocks of some megabytes of text. A window's fingerprint is a rolling hash, computed from
 scratch wherever it is needed, so no window is ever written as a row.
 
-1. Each block sends the distinct cells of its windows, sorted and packed, to the shards of one distributed sketch.
-2. Each shard adds up what all blocks sent into its count-min rows and answers each block with a bit per cell:
-   estimated to occur in two blocks or not. Estimates are never below the count, so no repeated window is lost.
-   Shards grow in number with the corpus, so the sketch stays as selective at any size, and no task holds all of it.
+1. Each block sketches its distinct windows. The sketch is cut into shards by fingerprint, and each shard of it sent
+   sparse: as the sorted, packed codes of the windows, of which each code names one cell in every count-min row.
+2. Each shard merges the blocks' sketches cell by cell and answers each block with a bit per code: estimated to occur in
+   two blocks or not. Estimates are never below the count, so no repeated window is lost. Shards grow in number with
+   the corpus, so the sketch stays as selective at any size, and no task holds all of it.
 3. Each block sends the 128-bit fingerprints of windows estimated repeated, once each, to the same shards.
 4. Each shard groups them exactly and answers with those that two blocks hold.
 5. Each block removes the words covered by such windows or by windows that it holds twice itself.
 
 A window that a third of all documents hold is one entry per block, so no shard gets more than a row for each block.
+Blocks and shards grow with the square root of the corpus from SCALE_BYTES on, eightfold at most, so that a message
+between the two doesn't shrink at once; beyond that it holds fewer windows as the corpus grows.
 
 Defined results: a null or empty text has no words, none removed, and the hash of the empty string; texts shorter
 than a window keep all words; equal rows are each other's repetition; an empty table gives an empty result. Other
@@ -40,6 +43,9 @@ SHARD_CELLS = 1 << 19
 SKETCH_WIDTH = 1 << 22
 SKETCH_ROWS = ((0x9E3779B1, 7), (0x85EBCA6B, 3))
 _CODE_BITS = 24
+SCALE_BYTES = 32 << 30
+#: Blocks' sketches that are merged at once.
+MERGED = 256
 
 _U = np.uint64
 
@@ -61,10 +67,33 @@ def _distinct(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return values, second[at], count > 1
 
 
-def _shards(values: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shard and cell code of sorted fingerprints; both follow their order."""
+def scale(size: float) -> int:
+    """How many times larger blocks and shards are: 1, 2, 4 or 8."""
+    return 1 << min(3, max(0, int(np.log2(max(1.0, size / SCALE_BYTES)) / 2)))
+
+
+def _shards(values: np.ndarray, shards: int, times: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Shard and code of sorted fingerprints; both follow their order."""
     wide = (values >> _U(32)) * _U(shards)
-    return (wide >> _U(32)).astype(np.int64), (wide & _U(0xFFFFFFFF)) >> _U(32 - _CODE_BITS)
+    return (wide >> _U(32)).astype(np.int64), (wide & _U(0xFFFFFFFF)) >> _U(32 - _CODE_BITS - times.bit_length() + 1)
+
+
+class Sketch:
+    """Count-min rows of one shard. ``add`` merges blocks' sketches, given as their codes, cell by cell."""
+
+    def __init__(self, width: int):
+        self.rows = [np.zeros(width, np.uint32) for _ in SKETCH_ROWS]
+
+    def cells(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for row, (factor, shift) in zip(self.rows, SKETCH_ROWS, strict=True):
+            yield row, (((codes * _U(factor) & _U(0xFFFFFFFF)) >> _U(shift)) % _U(len(row))).astype(np.int64)
+
+    def add(self, blocks: list[np.ndarray]) -> None:
+        for row, cell in self.cells(np.concatenate(blocks)):
+            row += np.bincount(cell, minlength=len(row)).astype(np.uint32)
+
+    def estimate(self, codes: np.ndarray) -> np.ndarray:
+        return np.minimum.reduce([row[cell] for row, cell in self.cells(codes)])
 
 
 def _segments(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -84,31 +113,33 @@ _PRINTS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("first", pa.
 _FOUND = pa.schema([("block", pa.int64()), ("first", pa.binary())])
 
 
-def _send_cells(k: int, shards: int):
+def _send_cells(k: int, shards: int, times: int):
     def send(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         values, _, _ = _distinct(table, k)
-        shard, code = _shards(values, shards)
+        shard, code = _shards(values, shards, times)
         out = [(s, block, pack(code[a:b])) for s, a, b in _segments(shard)]
         return _rows(_CELLS, [list(c) for c in zip(*out, strict=True)] or [[], [], []])
 
     return send
 
 
-def _estimate(table: pa.Table) -> pa.Table:
-    """One shard: merges the blocks' sketches and tells each block which of its cells are estimated repeated."""
+def _estimate(times: int):
+    """One shard: merges the blocks' sketches and tells each block which of its windows are estimated repeated."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _estimated(table, Sketch(SKETCH_WIDTH * times))
+
+    return run
+
+
+def _estimated(table: pa.Table, merged: Sketch) -> pa.Table:
     codes = [unpack(x) for x in table.column("cells").to_pylist()]
-    every = np.concatenate(codes)
-    low = None
-    for factor, shift in SKETCH_ROWS:
-        cell = ((every * _U(factor) & _U(0xFFFFFFFF)) >> _U(shift)) % _U(SKETCH_WIDTH)
-        cell = cell.astype(np.int64)
-        counts = np.bincount(cell, minlength=SKETCH_WIDTH)[cell]
-        low = counts if low is None else np.minimum(low, counts)
-    shard, out, at = table.column("shard")[0].as_py(), [], 0
+    for at in range(0, len(codes), MERGED):
+        merged.add(codes[at : at + MERGED])
+    shard, out = table.column("shard")[0].as_py(), []
     for block, own in zip(table.column("block").to_pylist(), codes, strict=True):
-        hot = low[at : at + len(own)] > 1
-        at += len(own)
+        hot = merged.estimate(own) > 1
         if hot.any():
             out.append((block, shard, np.packbits(hot).tobytes()))
     return _rows(_MASKS, [list(c) for c in zip(*out, strict=True)] or [[], [], []])
@@ -192,13 +223,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
 
     ``docs`` must give the same rows in the same partitions whenever it is read, as tables and files do."""
     n, size = text_bytes(docs, text)
-    blocks = parts_for(size, block_bytes)
-    shards = parts_for(size / 6, shard_cells)
+    times = scale(size)
+    blocks = parts_for(size, block_bytes * times)
+    shards = parts_for(size / 6, shard_cells * times)
     dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("long")
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), dealt.alias("block"))
     by_block = lambda d: d.groupBy("block")
-    cells = by_block(rows).applyInArrow(_send_cells(window, shards), "shard long, block long, cells binary")
-    masks = cells.groupBy("shard").applyInArrow(_estimate, "block long, shard long, mask binary")
+    cells = by_block(rows).applyInArrow(_send_cells(window, shards, times), "shard long, block long, cells binary")
+    masks = cells.groupBy("shard").applyInArrow(_estimate(times), "block long, shard long, mask binary")
     prints = by_block(rows).cogroup(by_block(masks)).applyInArrow(_send_prints(window, shards), "shard long, block long, first binary, second binary")
     found = prints.groupBy("shard").applyInArrow(_group, "block long, first binary")
     kind = rows.schema["key"].dataType

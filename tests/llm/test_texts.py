@@ -76,6 +76,28 @@ def test_substrings(docs, k, block, cells):
     assert {r["n_chars"]: (r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in got} == want and len(got) == len(rows)
 
 
+def test_sketches_merge():
+    """A merged sketch has the counts of all blocks in it, never too few, mostly none too many."""
+    r = np.random.default_rng(2)
+    blocks = [np.unique(r.integers(0, 1 << 24, 3000, dtype=np.uint64)) for _ in range(6)] + [np.arange(100, dtype=np.uint64)] * 3
+    merged = substrings.Sketch(1 << 18)
+    merged.add(blocks[:4])
+    merged.add(blocks[4:])
+    count = Counter(np.concatenate(blocks).tolist())
+    codes = np.array(sorted(count), np.uint64)
+    got, want = merged.estimate(codes), np.array([count[c] for c in codes.tolist()])
+    assert (got >= want).all() and (got == want).mean() > 0.97 and (got[:100] >= 3).all()
+
+
+def test_larger_blocks_and_shards(docs, monkeypatch):
+    monkeypatch.setattr(substrings, "SCALE_BYTES", 100)
+    rows = docs.select("n_chars", "text").collect()
+    want = {r["n_chars"]: x for r, x in zip(rows, brute_repeats([r["text"] for r in rows], 5))}
+    got = substrings.remove_repeats(docs, 5, key="n_chars", block_bytes=2000, shard_cells=300).collect()
+    assert substrings.scale(1 << 20) == 8 and [substrings.scale(x) for x in (0, 100, 400, 1600, 6400, 1 << 40)] == [1, 1, 2, 4, 8, 8]
+    assert {r["n_chars"]: (r["n_words"], r["n_removed"], r["kept_sha256"], r["kept"]) for r in got} == want
+
+
 def test_components(spark, monkeypatch):
     r = random.Random(3)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)] + [(7, 7)]
