@@ -312,20 +312,20 @@ def _ties(rows: DataFrame, named: DataFrame, k: int, percent: int, tile: int) ->
     tested = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_tested(percent), "a long, b long, ok boolean"))
     first = components(tested.where("ok").select("a", "b"))
     open_ = kept.join(tested.where("not ok").select(F.col("a").alias("root"), F.col("b").alias("node")), ["root", "node"]).select("sig").distinct()
-    members = kept.join(open_, "sig").select("sig", "node").join(first.withColumnRenamed("root", "label"), "node", "left")
-    members = stored(members.select(F.col("sig").alias("forest"), "node", F.coalesce("label", "node").alias("label")))
-    apart = members.groupBy("forest").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("forest")
-    sized = members.join(apart, "forest").join(sketches.select("node", "n"), "node")
-    total = sized.groupBy("forest").agg(F.sum(F.greatest(F.col("n"), F.lit(64))).alias("weight")).withColumn("chunks", F.ceil(F.col("weight") / tile).cast("long"))
-    dealt = stored(sized.join(total, "forest").select("forest", "node", "label", "chunks"))
-    weight = total.agg(F.sum("weight")).first()[0]
+    members = kept.join(open_, "sig").select("sig", "node").join(first.withColumnRenamed("root", "label"), "node", "left").join(sketches.select("node", "n"), "node")
+    members = stored(members.select(F.col("sig").alias("forest"), "node", F.coalesce("label", "node").alias("label"), F.greatest(F.col("n"), F.lit(64)).alias("n")))
+    # a key's members are summed up in parts first, and joined with their group's sums alone, which Spark can split
+    groups = members.groupBy("forest").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.sum("n").alias("weight")).where("x <> y")
+    groups = stored(groups.select("forest", "weight", F.ceil(F.col("weight") / tile).cast("long").alias("chunks")))
+    dealt = stored(members.join(groups, "forest").select("forest", "node", "label", "chunks"))
+    weight = groups.agg(F.sum("weight")).first()[0]
     alone = dealt.where("chunks = 1").select("forest", F.lit(0).alias("i"), F.lit(0).alias("j"), "label", "node")
     # the groups of many keys are small: each is put into one of few tables
     tiles = alone.union(_against(dealt.where("chunks > 1"))).join(sketches, "node")
     more = tiles.withColumn("bucket", F.pmod(F.xxhash64("forest", "i", "j"), F.lit(parts_for(weight, tile / 2)))).groupBy("bucket").applyInArrow(_tied(percent), "a long, b long")
     second = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").union(more))
     out = stored(second.select("node", F.col("root").alias("forest")))
-    forget(spark, kept, sketches, tested, first, members, dealt, second)
+    forget(spark, kept, sketches, tested, first, members, groups, dealt, second)
     release(spark)
     return out
 
@@ -537,13 +537,14 @@ def _labels(rows: DataFrame, named: DataFrame, forests: DataFrame, k: int, perce
     """``node, label`` of nodes in a forest: label is the smallest node of the component."""
     spark = rows.sparkSession
     sizes = named.where("node is not null").groupBy("node").agg(F.max("n").alias("n"))
-    sized = forests.join(sizes, "node")
+    sized = stored(forests.join(sizes, "node"))
     total = sized.groupBy("forest").agg(F.sum("n").alias("weight")).withColumn("chunks", F.ceil(F.col("weight") / tile).cast("long"))
-    now = stored(sized.join(total, "forest").select("node", "forest", "chunks", F.col("node").alias("label"), "n"))
-    facts = now.agg(F.max("chunks"), F.sum("n")).first()
-    now = now.drop("n")
+    facts = total.agg(F.max("chunks"), F.sum("weight")).first()
     if facts[0] is None:
-        return now.select("node", "label")
+        return sized.select("node", F.col("node").alias("label"))
+    several = total.where("chunks > 1").select("forest", "chunks")  # at most as many as tiles
+    now = stored(sized.join(several, "forest", "left").select("node", "forest", F.coalesce("chunks", F.lit(1)).alias("chunks"), F.col("node").alias("label")))
+    forget(spark, sized)
     buckets = parts_for(facts[1], tile / 2)
     sent = rows.select("text").mapInArrow(_sent(k, _filter(forests, "node")), "node long, shingles binary")
     if facts[0] == 1:
