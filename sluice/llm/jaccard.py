@@ -306,7 +306,8 @@ def _ties(rows: DataFrame, named: DataFrame, k: int, percent: int, tile: int) ->
     release(spark)
 
     needed = kept.select("node").distinct()
-    sketches = stored(named.where("node is not null").join(needed, "node", "left_semi").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    each = named.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))  # copies become one row first
+    sketches = stored(each.join(needed, "node", "left_semi"))
     side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
     pairs = kept.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()
     tested = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(_tested(percent), "a long, b long, ok boolean"))
