@@ -529,7 +529,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, key: str = "
     label = _labels(rows, named, forests, k, percent, tile)
 
     joined = named.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    lowest = joined.where("label is not null").groupBy("label").agg(F.min("key").alias("lowest")).withColumnRenamed("label", "l")
+    # a table of its own: joined with nothing but that, a component of a third of all rows can be split
+    lowest = stored(joined.where("label is not null").groupBy("label").agg(F.min("key").alias("lowest")).withColumnRenamed("label", "l"))
     out = joined.join(lowest, joined["label"] == lowest["l"], "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("lowest")).alias("component_id"), "node", "label")
 
