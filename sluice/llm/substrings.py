@@ -243,3 +243,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
+
+
+ORACLE = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, unnest(generate_series(1, len(ws))) AS i, unnest(ws) AS word FROM d),
+s AS (
+  SELECT r, i, word, string_agg(word, ' ') OVER f AS win, count(*) OVER f AS n
+  FROM w WINDOW f AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+t AS (SELECT r, i, word, n = 35 AND count(*) OVER (PARTITION BY win) > 1 AS twice FROM s),
+c AS (SELECT r, i, word, bool_or(twice) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM t),
+k AS (
+  SELECT r, count(*) AS n, count(*) FILTER (gone) AS removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY r)
+SELECT d.doc_id, coalesce(k.n, 0)::BIGINT AS n_words, coalesce(k.removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
