@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _SCALAR: dict[str, Callable[[Column], Column]] = {"upper@0.1.0": F.upper, "lower@0.1.0": F.lower, "trim@0.1.0": F.trim}
+_TABLE: dict[str, Callable] = {}
 _BATCH: dict[str, tuple[Callable, Callable[[T.StructType], T.StructType]]] = {}
 
 
@@ -72,6 +73,25 @@ def apply_batch(name: str, frame: DataFrame) -> DataFrame:
     return frame.mapInPandas(function, derived(frame.schema))
 
 
+def register_table(spark, name: str, function: type, returns: str | T.StructType, deterministic: bool = True) -> str:
+    """A table function, called by name in SQL or by ``apply_table``: a class whose ``eval`` yields the rows that a row
+    becomes. Its SQL name is that before the ``@``."""
+    if "@" not in name:
+        raise FunctionError("name@version expected")
+    made = F.udtf(function, returnType=returns)
+    sql_name = name.split("@")[0]
+    spark.udtf.register(sql_name, made.asDeterministic() if deterministic else made)
+    _TABLE[name] = made
+    return sql_name
+
+
+def apply_table(name: str, frame: DataFrame, *arguments: str) -> DataFrame:
+    """Each row beside the rows that the table function makes of its arguments; rows of which it makes none go."""
+    if name not in _TABLE:
+        raise FunctionError(f"no function {name!r}")
+    return frame.lateralJoin(_TABLE[name](*[F.col(a).outer() for a in arguments]))
+
+
 def aggregate(function: Callable[[pd.Series], float], returns: str = "double") -> Callable[[Column], Column]:
     """A grouped aggregate of one column; a group's values must fit a worker, so pre-aggregate hot groups first."""
 

@@ -13,6 +13,7 @@ from ..operators import chain
 from ..operators.transforms import Operator
 from ..sinks.base import LoadId, Sink
 from ..sources.cursor import CursorScan
+from ..sources.readers import Limits
 from .evolution import Recorder, conform
 from .state import Cursor, Positions, Store
 
@@ -34,13 +35,20 @@ class Summary:
     overlap: int = 0
     cursor: str | None = None
     schema_version: int | None = None
+    more: bool = False
+    seconds: float = 0.0
     counters: list[dict[str, int]] = field(default_factory=list)
 
 
 @dataclass
 class Pipeline:
     """A pipeline over one stream. The position and the end of the run follow the rows read, not the rows kept, so a
-    batch whose rows are all filtered out is passed like any other."""
+    batch whose rows are all filtered out is passed like any other.
+
+    ``limits`` end a run between batches, as soon as one is reached; ``more`` in the summary says that rows may be left.
+    With a sink whose fence is the run, the position that other runs see moves after the sink's commit. The commit is
+    decided on first, in one document, so after a crash the next run finishes it before all else; batches of a run that
+    failed wait for it to come again, and are dropped when another run begins."""
 
     spark: SparkSession
     store: Store
@@ -55,6 +63,7 @@ class Pipeline:
     policy: str = "propagate_additive"
     threshold: float | None = 0.01
     fail_on_any: bool = False
+    limits: Limits = field(default_factory=Limits)
 
     def __post_init__(self):
         if getattr(self.sink, "order", None) == ():  # of rows with one key in a batch the last one counts
@@ -68,16 +77,64 @@ class Pipeline:
             raise RunFailed(f"tenant {self.tenant} is suspended")
         out = Summary(run_id, "running")
         self._record(out)
+        began = time.monotonic()
         try:
-            self._loop(table, out, attempts, wait)
+            if self._settled() != run_id:
+                self.sink.prepare(self._id(run_id))
+                self._loop(table, out, attempts, wait)
             out.state = "completed"
         except BaseException:
             out.state = "failed"
             raise
         finally:
+            out.seconds = time.monotonic() - began
             self._record(out)
         return out
 
+    def abort(self) -> None:
+        """Drops what a failed run has staged."""
+        positions = Positions(self.store)
+        held = positions.run(self.name, self._staged)
+        if held and self.sink.fence == "run":
+            self.sink.abort(self._id(held))
+            positions.begin(self.name, self._staged, None, None)
+
+    def _id(self, run: str, batch: int = 0) -> LoadId:
+        return LoadId(self.tenant, self.name, run, batch, self.stream)
+
+    @property
+    def _staged(self) -> str:
+        return f"{self.stream}.staged"
+
+    def _place(self, run: str, positions: Positions) -> str:
+        """The stream under whose name the run's own position is held."""
+        if self.sink.fence == "batch":
+            return self.stream
+        if positions.run(self.name, self._staged) != run:
+            self.abort()
+            positions.begin(self.name, self._staged, positions.get(self.name, self.stream), run)
+        return self._staged
+
+    def _settled(self) -> str | None:
+        """Finishes a commit that was decided on, and says whose it was."""
+        place, positions = f"committing/{self.name}/{self.stream}", Positions(self.store)
+        decided = self.store.get(place)
+        if not decided:
+            return None
+        self.sink.commit(self._id(decided["run"], decided["batches"]))
+        if decided["at"]:
+            positions.commit(self.name, self.stream, Cursor(*decided["at"]), run=decided["run"], batches=decided["batches"])
+        if decided["without"]:
+            self.store.put(f"without/{self.name}/{self.stream}", {"run": decided["run"]})
+        positions.begin(self.name, self._staged, None, None)
+        self.store.put(place, None)
+        return decided["run"]
+
+    def _enough(self, out: Summary, first: int, size: int, began: float) -> bool:
+        most = self.limits
+        pairs = ((most.rows, out.read), (most.batches, out.batches - first), (most.bytes, size), (most.seconds, time.monotonic() - began))
+        return any(bound is not None and had >= bound for bound, had in pairs)
+
     def _record(self, out: Summary) -> None:
         self.store.put(f"runs/{self.name}/{out.run}", {k: v for k, v in out.__dict__.items()})
 
@@ -87,10 +144,22 @@ class Pipeline:
         version = Recorder(self.store, f"{self.name}/{self.stream}").resolve(derived, self.policy)
         out.schema_version = version.version
         positions = Positions(self.store)
-        out.batches = positions.batches(self.name, self.stream, out.run)
+        place = self._place(out.run, positions)
+        out.batches = positions.batches(self.name, place, out.run)
         self._without(table, out, version.struct(), attempts, wait)
+        self._pages(table, out, version, positions, place, attempts, wait)
+        if place != self.stream:
+            at = positions.get(self.name, place)
+            self.store.put(f"committing/{self.name}/{self.stream}", {"run": out.run, "batches": out.batches, "at": [at.kind, at.value] if at else None, "without": table.schema[self.scan.cursor].nullable})
+            self._settled()
+
+    def _pages(self, table: DataFrame, out: Summary, version, positions: Positions, place: str, attempts: int, wait: float) -> None:
+        first, size, began = out.batches, 0, time.monotonic()
         while True:
-            position = positions.get(self.name, self.stream)
+            if self._enough(out, first, size, began):
+                out.more = True
+                return
+            position = positions.get(self.name, place)
             begun = self.store.get(f"pending/{self.name}/{self.stream}")
             upto = Cursor(*begun["upto"]) if begun and (begun["run"], begun["batch"]) == (out.run, out.batches) else None
             page = self.scan.page(table, position, self.batch_size, upto).persist(StorageLevel.MEMORY_AND_DISK)
@@ -110,7 +179,9 @@ class Pipeline:
                     if n:
                         self._load(page, out, version.struct(), n, attempts, wait)
                     out.read, out.overlap, out.batches = out.read + n, out.overlap + stale, out.batches + 1
-                    positions.commit(self.name, self.stream, at, run=out.run, batches=out.batches)
+                    positions.commit(self.name, place, at, run=out.run, batches=out.batches)
+                    if self.limits.bytes is not None:
+                        size += page.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
                     out.cursor = at.value
                 if n < self.batch_size and upto is None:
                     return
@@ -128,7 +199,8 @@ class Pipeline:
             if n:
                 self._load(rows, out, schema, n, attempts, wait, LoadId(self.tenant, self.name, f"{out.run}.without", 0, self.stream))
                 out.read += n
-            self.store.put(place, {"run": out.run, "rows": n})
+            if self.sink.fence == "batch":
+                self.store.put(place, {"run": out.run, "rows": n})
         finally:
             rows.unpersist()
 

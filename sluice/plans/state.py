@@ -107,7 +107,15 @@ class Positions:
 
     def get(self, pipeline: str, stream: str) -> Cursor | None:
         held = self.store.get(f"positions/{pipeline}/{stream}")
-        return Cursor(held["kind"], held["value"]) if held else None
+        return Cursor(held["kind"], held["value"]) if held and held["kind"] else None
+
+    def run(self, pipeline: str, stream: str) -> str | None:
+        """The run that the position comes from."""
+        return (self.store.get(f"positions/{pipeline}/{stream}") or {}).get("run")
+
+    def begin(self, pipeline: str, stream: str, cursor: Cursor | None, run: str | None) -> None:
+        """Sets a position, or none, whatever was held."""
+        self.store.put(f"positions/{pipeline}/{stream}", {"kind": cursor.kind if cursor else None, "value": cursor.value if cursor else None, "run": run, "batches": 0})
 
     def batches(self, pipeline: str, stream: str, run: str) -> int:
         """How many batches of a run are behind the position."""

@@ -19,17 +19,20 @@ from pyspark.sql import types as T
 from .functions import registry, scalars
 from .operators import chain, joins
 from .operators.transforms import AddColumn, Aggregate, Cast, Dedupe, Enrich, Filter, Flatten, Mask, Project, Rename, ScalarUdf, Select, Split, Union, Unnest, Validate, Virtual
-from .plans import audit, sqlmode
+from .plans import audit, metrics, sqlmode
 from .plans.evolution import POLICIES, decide, diff
 from .plans.run import Pipeline
 from .plans.state import Store
 from .sinks.base import LoadId
 from .sinks.files import BatchFolders, dead_letters, event_log
 from .sinks.keyed import KeyedTable, Routed
+from .sinks.staging import Staged
 from .sources import changes, cursor, readers
 from .sources.cursor import CursorScan
 from .sources.positions import GtidSet
+from .sources.readers import Limits
 from .streaming import windows
+from .streaming.changes import lag_tiers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -282,7 +285,10 @@ def snapshot_chunk(t):
 
 def _folder(t: Tables) -> str:
     """A new folder in the cluster's shared one; only where that is unset, in a temporary one."""
-    shared = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sluice-")
+    shared = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and t.spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="sluice-")
     return f"{shared}/tables-{uuid.uuid4().hex}"
 
 
@@ -417,6 +423,49 @@ def run_after_crash(t):
     return sink.read()
 
 
+@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders")
+def sink_staged_run(t):
+    """Half of the orders change within the run: both rows of such a key are staged, one merge at the run's end keeps the
+    later one. A first run is bounded to two batches, a second one takes up from there."""
+    rows = t.orders.select("o_orderkey", "o_orderdate", "o_totalprice")
+    earlier = rows.where("o_totalprice > 150000").select("o_orderkey", F.expr("o_orderdate - INTERVAL 400 DAYS").alias("o_orderdate"), F.lit(0.0).alias("o_totalprice"))
+    at, size = _folder(t), max(1, t.orders.count() // 4)
+    sink = Staged(KeyedTable(t.spark, f"{at}/table", ("o_orderkey",), _buckets(t.orders)), f"{at}/staging")
+    for name, limits in (("first", Limits(batches=2)), ("second", Limits())):
+        Pipeline(t.spark, Store(t.spark, at), "queries", "staged", "orders", CursorScan("o_orderdate", ("o_orderkey",)), sink, batch_size=size, limits=limits).run(rows.union(earlier), name, attempts=1)
+    return sink.table.read()
+
+
+@query("SELECT unnest(['etl_activity_duration_seconds', 'etl_rows_loaded_total', 'etl_rows_read_total', 'etl_rows_rejected_total', 'etl_runs_completed_total', 'etl_runs_failed_total', 'etl_runs_started_total']) AS name, unnest([1, n, n, 0, 1, 0, 1])::DOUBLE AS value FROM (SELECT count(*) AS n FROM orders)")
+def run_metrics(t):
+    """The counters of one run; its duration is given as 1 if there is one."""
+    at, rows = _folder(t), t.orders.select("o_orderkey", "o_orderdate")
+    store = Store(t.spark, at)
+    Pipeline(t.spark, store, "queries", "metrics", "orders", CursorScan("o_orderdate", ("o_orderkey",), resume="strict"), BatchFolders(f"{at}/out"), batch_size=max(1, rows.count())).run(rows, "r", attempts=1)
+    found = metrics.rows(t.spark, metrics.of_runs(store, "metrics"))
+    return found.select("name", F.when(F.col("name") == metrics.DURATION_SECONDS, F.ceil(F.least("value", F.lit(1.0))).cast("double")).otherwise(F.col("value")).alias("value"))
+
+
+@query("SELECT event_id, CASE WHEN event_id * 67108864 >= 53687091200 OR value / 4 >= 24 THEN 'critical' WHEN event_id * 67108864 >= 10737418240 OR value / 4 >= 6 THEN 'warning' WHEN event_id * 67108864 >= 1073741824 OR value / 4 >= 1 THEN 'notice' ELSE 'ok' END AS tier FROM events")
+def slot_lag_tiers(t):
+    return t.events.select("event_id", lag_tiers(F.col("event_id") * (1 << 26), F.col("value") / 4).alias("tier"))
+
+
+class _Lines:
+    """The items of a text between commas, numbered."""
+
+    def eval(self, text: str):
+        for i, item in enumerate((text or "").split(",")):
+            yield i, item
+
+
+@query("SELECT p_partkey, i::INTEGER AS nth, word FROM (SELECT p_partkey, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM (SELECT p_partkey, string_split(replace(p_name, ' ', ','), ',') AS ws FROM part))")
+def table_function(t):
+    registry.register_table(t.spark, "sluice_items@0.1.0", _Lines, "nth int, word string")
+    rows = t.part.select("p_partkey", F.replace("p_name", F.lit(" "), F.lit(",")).alias("items"))
+    return registry.apply_table("sluice_items@0.1.0", rows, "items").drop("items")
+
+
 _RELATION = changes.Relation(7, "public", "items", [("id", 20, True), ("name", 25, False)])
 
 
@@ -812,6 +861,11 @@ def mask_documents(t):
     return t.documents.select("doc_id", F.regexp_replace("text", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "[EMAIL]").alias("text"))
 
 
-@query()
+_HTML = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+for _entity, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _HTML = f"replace({_HTML}, '{_entity}', '{_char}')"
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_HTML}, '[\\t\\n\\x0B\\f\\r ]+', ' ', 'g'), ' ') AS text FROM pages")
 def html_text_pages(t):
     return readers.documents_as_html_text(t.pages.select("page_id", "html")).drop("html")

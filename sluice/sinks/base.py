@@ -34,9 +34,23 @@ class Loaded:
 
 
 class Sink(ABC):
+    """``fence``: when a run's position may be used, after each ``batch`` or only after the whole ``run``."""
+
+    fence = "batch"
+
     def validate(self) -> None:
         """Raises if the destination can't take rows."""
 
+    def prepare(self, load: LoadId) -> None:
+        """Before a run's first batch."""
+        self.validate()
+
+    def commit(self, load: LoadId) -> None:
+        """After a run's last batch. It may come again."""
+
+    def abort(self, load: LoadId) -> None:
+        """Forgets what a run has brought that isn't committed."""
+
     @abstractmethod
     def load(self, load: LoadId, batch: DataFrame) -> Loaded: ...
 

@@ -131,14 +131,15 @@ class KeyedTable(Sink):
         finally:
             rows.unpersist()
 
-    def _last(self, rows: DataFrame) -> DataFrame:
-        """One row for each key: the last by ``order``. Partial maxima are taken before the shuffle."""
+    def _last(self, rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+        """One row for each key: the last by ``order``, then by ``more``. Partial maxima are taken before the shuffle."""
+        order = [c for c in (*self.order, *more) if c in rows.columns]
         keys = [F.col(f"`{k}`") for k in self.keys]
         rest = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in self.keys]
         if not rest:
             return rows.distinct()
         plain = [F.col(f"`{f.name}`") for f in rows.schema if f.name not in self.keys and not isinstance(f.dataType, (T.MapType, T.VariantType))]
-        by = F.struct(*[F.col(f"`{c}`").isNotNull() for c in self.order if c in rows.columns], *[F.col(f"`{c}`") for c in self.order if c in rows.columns], F.lit(0), *plain)
+        by = F.struct(*[F.col(f"`{c}`").isNotNull() for c in order], *[F.col(f"`{c}`") for c in order], F.lit(0), *plain)
         found = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), by).alias("_last"))
         return found.select(*[F.col(f"`{f.name}`") if f.name in self.keys else F.col("_last").getField(f.name).alias(f.name) for f in rows.schema])
 

@@ -98,7 +98,10 @@ class CursorScan:
         found = self.after(table, position).where(column.isNotNull())
         if upto is not None:
             return found.where(column <= literal(upto, table.schema[self.cursor]))
-        last = found.orderBy(column).limit(rows).agg(F.max(column).alias("last"), F.count(F.lit(1)).alias("n")).first()
+        fresh = found  # rows at an inclusive position come again; they don't count, or they could fill the page for ever
+        if position is not None and self.resume == "inclusive":
+            fresh = found.where(column > literal(position, table.schema[self.cursor]))
+        last = fresh.orderBy(column).limit(rows).agg(F.max(column).alias("last"), F.count(F.lit(1)).alias("n")).first()
         if last["n"] < rows:
             return found
         return found.where(column <= F.lit(last["last"]))

@@ -29,10 +29,11 @@ class Stream:
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of one read."""
+    """Bounds of one read; ``bytes`` of its rows as JSON."""
 
     rows: int | None = None
     batches: int | None = None
+    bytes: int | None = None
     seconds: float | None = None
 
 

@@ -9,14 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQueryListener
 
 from ..plans.state import Store
 from ..sinks.base import LoadId, Sink
-from ..sources.changes import from_envelopes, snapshot
+from ..sources.changes import from_envelopes, meta, snapshot
 from ..sources.cursor import snapshot_chunk
+from ..sources.positions import lsn_number
+from ..sources.slots import Slot
 
 #: Lag in bytes and hours beyond which a slot is at notice, warning and critical.
 LAG_TIERS = ((50 << 30, 24, "critical"), (10 << 30, 6, "warning"), (1 << 30, 1, "notice"))
@@ -26,8 +29,18 @@ def lag_tier(size: int, hours: float = 0.0) -> str:
     return next((name for b, h, name in LAG_TIERS if size >= b or hours >= h), "ok")
 
 
+def lag_tiers(size: Column, hours: Column) -> Column:
+    """The tier of each row's lag. A null counts as no lag."""
+    out = F.lit("ok")
+    for b, h, name in reversed(LAG_TIERS):
+        out = F.when((F.coalesce(size, F.lit(0)) >= b) | (F.coalesce(hours, F.lit(0)) >= h), name).otherwise(out)
+    return out
+
+
 @dataclass
 class ChangeRun:
+    """``slot``: confirms a batch's last position, that of heartbeats too, after the sink has loaded the batch."""
+
     spark: SparkSession
     store: Store
     sink: Sink
@@ -35,6 +48,7 @@ class ChangeRun:
     pipeline: str
     stream: str
     key: str
+    slot: Slot | None = None
 
     def _id(self, phase: str, batch: int) -> LoadId:
         return LoadId(self.tenant, self.pipeline, phase, batch, self.stream)
@@ -47,8 +61,6 @@ class ChangeRun:
         while not held["done"]:
             chunk = snapshot_chunk(table, self.key, held["last"], rows).persist()
             try:
-                from pyspark.sql import functions as F
-
                 facts = chunk.agg(F.count(F.lit(1)).alias("n"), F.max(self.key).alias("last")).first()
                 if facts["n"]:
                     self.sink.load(self._id("snapshot", held["chunk"]), snapshot(chunk, held["pin"], self.key))
@@ -65,6 +77,10 @@ class ChangeRun:
 
         def load(batch: DataFrame, number: int) -> None:
             self.sink.load(self._id("stream", number), batch)
+            if self.slot:
+                last = batch.agg(F.max_by(meta("lsn"), lsn_number(meta("lsn")))).first()[0]
+                if last:
+                    self.slot.advance(last)
             if after:
                 after(batch, number)
 

@@ -5,12 +5,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.operators.transforms import Filter, Mask, Validate
-from sluice.plans import audit, evolution, run, spec, sqlmode
+from sluice.plans import audit, evolution, metrics, run, spec, sqlmode
 from sluice.plans.state import BackwardsCursor, Cursor, Positions, Store
 from sluice.sinks.files import BatchFolders, dead_letters
+from sluice.sinks.base import LoadId, SinkError
 from sluice.sinks.keyed import KeyedTable
+from sluice.sinks.staging import EMITTED, Staged
 from sluice.sources.cursor import CursorScan
 from sluice.sources.positions import GtidSet, lsn, lsn_number, lsn_text
+from sluice.sources.readers import Limits
+from sluice.sources.slots import PreflightError, Slot, mysql_preflight
 
 
 def schema(*fields):
@@ -222,6 +226,112 @@ def test_ties_beyond_a_page(spark, tmp_path):
     assert p.sink.read().count() == 10
 
 
+def test_ties_at_an_inclusive_position(spark, tmp_path):
+    """More rows at the position than a page takes: the rows behind them still come."""
+    rows = spark.range(30).select("id", F.when(F.col("id") < 12, 0).otherwise(F.col("id")).alias("at"))
+    sink = KeyedTable(spark, str(tmp_path / "t"), ("id",), 2)
+    run.Pipeline(spark, Store(spark, str(tmp_path)), "t", "p", "s", CursorScan("at", ("id",)), sink, batch_size=5).run(rows, "r1")
+    assert sorted(r["id"] for r in sink.read().collect()) == list(range(30))
+
+
+class Crash(Exception):
+    pass
+
+
+def staged(spark, tmp_path, keys=("id",), **more):
+    sink = Staged(KeyedTable(spark, str(tmp_path / "t"), keys, 3), str(tmp_path / "staging"))
+    return run.Pipeline(spark, Store(spark, str(tmp_path)), "t", "p", "s", CursorScan("at", ("id",), resume="strict"), sink, batch_size=7, **more), sink
+
+
+@pytest.mark.parametrize("where, same, keys", [("batch", True, ()), ("batch", False, ("id",)), ("before_load", False, ()), ("after_load", True, ()), ("after_commit", True, ("id",))])
+def test_staged_run_survives_a_crash(spark, tmp_path, monkeypatch, where, same, keys):
+    """Nothing shows before a run's commit; whatever comes after a crash, each row is there once."""
+    rows = spark.range(30).select("id", F.when(F.col("id") % 10 != 9, F.col("id")).alias("at"))
+    p, sink = staged(spark, tmp_path, keys)
+    p.batch_size = 14
+    calls = {"n": 0}
+
+    def crash(target, name, nth=1, after=False):
+        real = getattr(target, name)
+
+        def run_(*a, **k):
+            calls["n"] += 1
+            if calls["n"] != nth:
+                return real(*a, **k)
+            if after:
+                real(*a, **k)
+            raise Crash
+
+        monkeypatch.setattr(target, name, run_)
+
+    {"batch": lambda: crash(sink, "load", 3), "before_load": lambda: crash(sink, "commit"), "after_load": lambda: crash(sink, "abort"), "after_commit": lambda: crash(sink, "commit", after=True)}[where]()
+    with pytest.raises(Crash):
+        p.run(rows, "r1", attempts=1)
+    if where in ("batch", "before_load"):
+        assert not sink.table.versions()
+    monkeypatch.undo()
+    more = rows.union(spark.sql("SELECT 100L AS id, 100L AS at"))
+    assert p.run(more, "r1" if same else "r2", attempts=1).state == "completed"
+    p.run(more, "r3")
+    assert sorted(r["id"] for r in sink.table.read().collect()) == [*range(30), 100]
+    assert not sink._folders(LoadId("t", "p", "r1", 0, "s"))
+
+
+def test_staged_ties_and_abort(spark, tmp_path):
+    """Of rows with one key the highest cursor counts, of equal ones the batch emitted last; aborted rows are gone."""
+    p, sink = staged(spark, tmp_path)
+    sink.order = ("at",)
+    load = lambda n: LoadId("t", "p", "r", n, "s")
+    for n, text in enumerate(("(1, 5, 'a'), (2, 9, 'a')", "(1, 5, 'b'), (2, 8, 'b')")):
+        for _ in range(2):
+            sink.load(load(n), spark.sql(f"SELECT * FROM VALUES {text} AS v(id, at, name)"))
+    sink.commit(load(2))
+    sink.commit(load(2))
+    assert sorted((r["id"], r["name"]) for r in sink.table.read().collect()) == [(1, "b"), (2, "a")]
+    assert sink.table.versions() == [1]
+    sink.load(load(3), spark.sql("SELECT 7 AS id, 7 AS at, 'x' AS name"))
+    sink.abort(load(3))
+    assert sink.commit(load(4)).rows == 0
+    with pytest.raises(SinkError):
+        sink.load(load(5), spark.sql(f"SELECT 1 AS id, 1 AS {EMITTED}"))
+
+
+@pytest.mark.parametrize("limits, batches", [(Limits(rows=8), 2), (Limits(batches=3), 3), (Limits(bytes=1), 1), (Limits(seconds=0), 0)])
+def test_limits(spark, tmp_path, limits, batches):
+    rows = spark.range(30).select("id", F.col("id").alias("at"))
+    p, sink = staged(spark, tmp_path, limits=limits)
+    done = p.run(rows, "r1")
+    assert (done.batches, done.more, done.read) == (batches, True, 7 * batches)
+    p.limits = Limits()
+    done = p.run(rows, "r2")
+    assert done.read == 30 - 7 * batches and not done.more
+    assert sink.table.read().count() == 30
+
+
+def test_metrics(spark, tmp_path):
+    p, _ = staged(spark, tmp_path)
+    p.run(spark.range(9).select("id", F.col("id").alias("at")), "r1")
+    found = metrics.of_runs(p.store, "p") | metrics.of_changes(4, 10)
+    assert len(found) == 9 and found[metrics.ROWS_READ] == 9 and found[metrics.RUNS_COMPLETED] == 1
+    assert 'etl_rows_read_total{pipeline="a\\"b"} 9\n' in metrics.exposition(found, pipeline='a"b')
+    assert sum(metrics.of_runs(p.store, "none").values()) == 0
+
+
+def test_preflight_and_slot(spark, tmp_path):
+    assert mysql_preflight({"GTID_MODE": "on", "binlog_format": "ROW"}, {"s.t"}, "s.t") == []
+    assert len(mysql_preflight({"binlog_format": "MIXED"}, set(), "s.t")) == 3
+    slot = Slot(Store(spark, str(tmp_path)), "one")
+    with pytest.raises(PreflightError):
+        slot.confirmed()
+    assert slot.ensure(("a",), "0/10") == "0/10" and slot.ensure(("b",), "0/FF") == "0/10" and slot.tables() == ["a", "b"]
+    assert slot.advance("0/20") == "0/20" and slot.advance("0/15") == "0/20"
+    assert slot.lag("1/20") == 1 << 32 and slot.lag("0/1") == 0
+    slot.release()
+    slot.release()
+    with pytest.raises(PreflightError):
+        slot.lag("0/1")
+
+
 def test_batches_that_keep_nothing(spark, tmp_path):
     p = pipeline(spark, tmp_path, batch_size=3, operators=[Filter("id > 8")])
     out = p.run(customers(spark, 10), "r1")
