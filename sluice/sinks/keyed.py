@@ -159,7 +159,7 @@ class KeyedTable(Sink):
     def _changes(self, m: Manifest | None, load: LoadId, batch: DataFrame) -> Loaded:
         if not self.keys:
             raise SinkError("changes need keys")
-        batch = check_ops(batch).persist()
+        batch, last = check_ops(batch).persist(), None
         try:
             counts = {r["op"]: r["n"] for r in batch.groupBy(meta("op").alias("op")).agg(F.count(F.lit(1)).alias("n")).collect()}
             schema = self._schema(m, batch, evolve=m is None or bool(counts.get("c")))
@@ -174,7 +174,7 @@ class KeyedTable(Sink):
                 m = Manifest(m.version, m.schema, m.keys, m.buckets, {}, m.loads) if m else None
             by_key = Window.partitionBy(*[F.col(f"`{k}`") for k in self.keys])
             last = rows.withColumn("_nth", F.row_number().over(by_key.orderBy(meta("seq").desc(), (meta("op") == "s").asc()))).where("_nth = 1").drop("_nth")
-            last = self._filled(m, rows, last, by_key)
+            last = self._filled(m, rows, last, by_key).persist()  # read for the buckets, the keys and the rows
             upserts = _shaped(last.where(meta("op") != "d"), schema)
             dropped = last.where(meta("op") == "d")
             if self.deletes == "column":
@@ -186,7 +186,8 @@ class KeyedTable(Sink):
             n = sum(counts.get(op, 0) for op in "iusd")
             return self._merge(m, schema, upserts, dropped, load, n)
         finally:
-            batch.unpersist()
+            for held in filter(None, (batch, last)):
+                held.unpersist()
 
     def _filled(self, m: Manifest | None, rows: DataFrame, last: DataFrame, by_key) -> DataFrame:
         """Cells that an update left alone: the key's last value in this batch, else the stored one."""

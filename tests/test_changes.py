@@ -12,6 +12,7 @@ from sluice.sinks.base import LoadId, SinkError, safe
 from sluice.sinks.files import BatchFolders, event_log
 from sluice.sinks.keyed import Conflict, KeyedTable, Routed
 from sluice.sources import changes, cursor, readers
+from sluice.sources.slots import Slot
 from sluice.streaming import windows
 from sluice.streaming.changes import ChangeRun, lag_tier
 
@@ -281,7 +282,11 @@ def test_snapshot_then_stream(spark, tmp_path, table):
     where = str(tmp_path / "checkpoint")
     with pytest.raises(Exception, match="crash"):
         change.follow(str(folder), schema, where, after=crash).awaitTermination()
+    (folder / "3.json").write_text(json.dumps({"op": "h", "lsn": "0/A", "ts_us": 0, "txid": 9, "seq": 9, "row": None}) + "\n")
+    change.slot = Slot(Store(spark, str(tmp_path)), "items")
+    change.slot.ensure(("items",), "0/5")
     change.follow(str(folder), schema, where).awaitTermination()
+    assert change.slot.confirmed() == "0/A"  # a heartbeat's position counts
     assert state(table) == {-1: "a", 1: "B", 3: "d"}
     assert change.snapshot(source, "0/9") == 2  # done: nothing is read again
     assert (lag_tier(0), lag_tier(2 << 30), lag_tier(0, 7), lag_tier(60 << 30)) == ("ok", "notice", "warning", "critical")
