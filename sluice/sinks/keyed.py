@@ -92,13 +92,14 @@ class KeyedTable(Sink):
             raise Conflict(f"version {version} exists")
 
     def _put(self, frame: DataFrame, touched: list[str] | None) -> dict[str, list[str]]:
-        """Writes rows in a new folder by bucket; which folders now hold each touched bucket."""
+        """Writes rows in a new folder by bucket; which folders now hold each touched bucket. A task sorts what it writes
+        by bucket, so buckets beyond the size that adaptive execution gives a task are dealt to several tasks."""
         at = f"data/{uuid.uuid4().hex}"
         if not self.keys:
             frame.write.parquet(f"{self.path}/{at}/{BUCKET}=0")
             return {"0": [f"{at}/{BUCKET}=0"]}
         tagged = frame.withColumn(BUCKET, self._bucket())
-        tagged.repartition(min(self.buckets, len(touched) if touched else self.buckets), BUCKET).write.partitionBy(BUCKET).parquet(f"{self.path}/{at}")
+        tagged.hint("rebalance", len(touched) if touched else self.buckets, F.col(BUCKET)).write.partitionBy(BUCKET).parquet(f"{self.path}/{at}")
         made = {n.split("=")[1] for n in self.files.names(at) if n.startswith(f"{BUCKET}=")}
         return {b: [f"{at}/{BUCKET}={b}"] if b in made else [] for b in (touched or [str(i) for i in range(self.buckets)])}
 

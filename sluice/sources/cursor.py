@@ -16,6 +16,12 @@ from pyspark.sql import types as T
 from ..plans.state import Cursor
 
 
+#: Rows up to which a page's bound comes from a top-k; beyond it each task would hold a page of rows, one task all bounds.
+TOP = 10_000
+#: Ranges of cursor values that one step of a larger page's bound counts.
+RANGES = 1000
+
+
 class CursorError(ValueError):
     pass
 
@@ -92,8 +98,9 @@ class CursorScan:
         return self.after(table, None).where(F.col(f"`{self.cursor}`").isNull())
 
     def page(self, table: DataFrame, position: Cursor | None, rows: int, upto: Cursor | None = None) -> DataFrame:
-        """About ``rows`` rows in cursor order, with all ties of the last one. The bound comes from a top-k, not a sort
-        of the table, or is given: then all rows up to it. Rows without a cursor value are in no page, see ``without``."""
+        """About ``rows`` rows in cursor order, with all ties of the last one. The bound comes from a top-k or, for a
+        large page, from counts of ranges, not from a sort of the table, or is given: then all rows up to it. Rows
+        without a cursor value are in no page, see ``without``."""
         column = F.col(f"`{self.cursor}`")
         found = self.after(table, position).where(column.isNotNull())
         if upto is not None:
@@ -101,10 +108,8 @@ class CursorScan:
         fresh = found  # rows at an inclusive position come again; they don't count, or they could fill the page for ever
         if position is not None and self.resume == "inclusive":
             fresh = found.where(column > literal(position, table.schema[self.cursor]))
-        last = fresh.orderBy(column).limit(rows).agg(F.max(column).alias("last"), F.count(F.lit(1)).alias("n")).first()
-        if last["n"] < rows:
-            return found
-        return found.where(column <= F.lit(last["last"]))
+        last = _nth(fresh, self.cursor, rows)
+        return found if last is None else found.where(column <= last)
 
     def position(self, rows: DataFrame) -> Cursor | None:
         """The position after these rows: the largest cursor value, as the source gave it."""
@@ -113,6 +118,44 @@ class CursorScan:
         return None if got is None else Cursor(kind_of(field), got)
 
 
+def _number(value: Column, field: T.StructField) -> Column:
+    """A cursor value as a whole number in the same order: days, microseconds or itself."""
+    if isinstance(field.dataType, T.DateType):
+        value = F.unix_date(value)
+    elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+        value = F.unix_micros(value.cast("timestamp"))
+    return value.cast("long")
+
+
+def _value(number: int, field: T.StructField) -> Column:
+    """The cursor value that a number stands for."""
+    if isinstance(field.dataType, T.DateType):
+        return F.date_from_unix_date(F.lit(number))
+    out = F.timestamp_micros(F.lit(number).cast("long")) if kind_of(field) == "timestamp_tz" else F.lit(number)
+    return out.cast(field.dataType)
+
+
+def _nth(table: DataFrame, cursor: str, n: int) -> Column | None:
+    """The n-th smallest value of a column without nulls, None where there are fewer rows. Beyond ``TOP`` the range that
+    holds it is narrowed some thousandfold a step, so no task holds more than counts of ranges."""
+    column, field = F.col(f"`{cursor}`"), table.schema[cursor]
+    if n <= TOP:
+        last = table.orderBy(column).limit(n).agg(F.max(column).alias("last"), F.count(F.lit(1)).alias("n")).first()
+        return None if last["n"] < n else F.lit(last["last"])
+    values = table.select(_number(column, field).alias("v"))
+    low, high, count = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if count < n:
+        return None
+    while low < high:
+        width = (high - low) // RANGES + 1
+        held = values.where(F.col("v").between(low, high)).groupBy(F.expr(f"v div {width}L").alias("nth"))
+        for _, low, high, count in sorted(held.agg(F.min("v"), F.max("v"), F.count("v")).collect()):
+            if n <= count:
+                break
+            n -= count
+    return _value(low, field)
+
+
 def snapshot_chunk(table: DataFrame, key: str, last: int | None, rows: int) -> DataFrame:
     """The next chunk of a keyed snapshot. Without a last key it starts at the smallest, below zero too."""
     column = F.col(f"`{key}`")

@@ -149,6 +149,24 @@ def test_versions_compaction_conflict(spark, table):
         table._commit(stale, m.schema, m.folders, None, 0)
 
 
+def test_large_buckets_are_written_by_several_tasks(spark, tmp_path):
+    """No task sorts a whole bucket, on the first load and on a merge with what the bucket holds."""
+    t, share = KeyedTable(spark, str(tmp_path / "t"), ("id",), 2), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(share)
+    spark.conf.set(share, "64k")
+    try:
+        for n, rows in enumerate((spark.range(200_000), spark.range(100_000, 300_000))):
+            t.load(load(n), rows.repartition(8).select("id", F.lit(n).alias("name")))
+            for folder in sum(t.manifest().folders.values(), []):
+                files = [r["count"] for r in spark.read.parquet(f"{t.path}/{folder}").groupBy(F.input_file_name()).count().collect()]
+                assert len(files) > 1 and max(files) < 0.6 * sum(files)
+    finally:
+        spark.conf.set(share, before)
+    held = t.read()
+    assert held.count() == held.select("id").distinct().count() == 300_000
+    assert held.where((F.col("id") >= 100_000) != (F.col("name") == 1)).count() == 0
+
+
 def state_at(table, version):
     return {r["id"]: r["name"] for r in table.read(version).collect()}
 
@@ -228,6 +246,32 @@ def test_cursor_scans(spark):
     assert cursor.composite(rows, ["at", "id"], [10, 1]).count() == 2
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "date", "timestamp", "timestamp_ntz"])
+def test_bound_of_a_large_page(spark, monkeypatch, kind):
+    """Counts of ranges find the bound that a top-k finds, with ties, values below zero and far ends, and without one."""
+    number = {"long": "n", "int": "CAST(n % 2000000011 AS int)", "date": "date_from_unix_date(CAST(n % 40000 AS int))"}.get(kind, f"CAST(timestamp_micros(n % 4000000000000007) AS {kind})")
+    ends = "UNION ALL VALUES (-9223372036854775807L), (9223372036854775807L), (9223372036854775806L)"
+    rows = spark.sql(f"SELECT {number} AS at FROM (SELECT (id - 300) * (id - 300) * (id - 300) * IF(id % 3 = 0, 1, 977) DIV 50 AS n FROM range(600) UNION ALL SELECT 5L FROM range(200) {ends})").cache()
+    ordered = sorted(r["at"] for r in rows.collect())
+    scan = cursor.CursorScan("at", ("at",))
+    monkeypatch.setattr(cursor, "TOP", 0)
+    for n in (1, 401, 803, 804):
+        want = [v for v in ordered if n > len(ordered) or v <= ordered[n - 1]]
+        page = scan.page(rows, None, n)
+        assert sorted(r["at"] for r in page.collect()) == want
+    assert scan.page(rows.limit(0), None, 1).count() == 0
+    rows.unpersist()
+
+
+def test_large_pages_take_no_top_k(spark, monkeypatch):
+    """Beyond ``TOP`` no task holds a page of rows."""
+    monkeypatch.setattr(cursor, "RANGES", 10)
+    seen, order = [], type(spark.range(1)).orderBy
+    monkeypatch.setattr(type(spark.range(1)), "orderBy", lambda self, *a, **k: seen.append(a) or order(self, *a, **k))
+    assert cursor.CursorScan("id", ("id",)).page(spark.range(50_000), None, 20_000).count() == 20_000 and not seen
+    assert cursor.CursorScan("id", ("id",)).page(spark.range(50_000), None, 200).count() == 200 and seen
+
+
 def test_readers(spark, tmp_path):
     assert readers.greeting(spark).count() == 3
     assert [tuple(r) for r in readers.csv_text(spark, "a,b\n1,x\n2,y\n", after=0).collect()] == [(1, "2", "y")]
